@@ -5,8 +5,9 @@
 2. Root level: sets whose Jaccard similarity reaches t differ in a bounded number of shingles D. Cut by hash into
    D + 1 + e parts, at least e + 1 parts agree, so linked classes share the signature of a part, and one that is not
    empty if either has at most e empty parts. Size bands keep D small. This is exact: no link is lost.
-3. Classes that share signatures form clusters (components over star-shaped edges). Clusters are dealt to blocks of
-   bounded size; blocks that share a signature meet, a task for each pair of blocks.
+3. Classes that share several signatures form families (components over star-shaped edges), which are dealt to blocks of
+   bounded size. A block meets itself and each block that shares a signature and whose sizes allow links; a signature
+   that very many blocks share has blocks of its own, cut by size.
 4. In a block, a signature tree: its nodes hold the OR of their documents' token bitmaps and their range of sizes. A dual
    traversal drops node pairs whose greatest possible overlap or size ratio is too small, or that are known to be
    connected; at the leaves the sets themselves decide.
@@ -23,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import settle
@@ -32,6 +33,8 @@ from lectern.llm.components import components
 BAND = 1.5
 #: Shingles a block holds, about; a larger document is a block of its own.
 BLOCK = 60_000
+#: Signatures that tie a class to its family, and blocks of a signature beyond which it has blocks of its own.
+TIES, HOT = 3, 48
 #: Hashes of so many words are remembered by a worker (a cache: results don't depend on it).
 REMEMBERED = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -99,14 +102,16 @@ def _scheme(band: int, percent: int) -> tuple[int, int]:
     """
     most, below = math.floor(BAND**band), math.floor(BAND ** (band - 1))
     differ = 2 * most * (100 - percent) // (100 + percent)
+    if not differ:
+        return 0, 0  # only equal sets are linked
     spare, least = 1, percent * (below + 1) / 100
-    while differ:
+    while spare < differ // 3:
         parts = differ + 1 + spare
         empty = parts * math.exp(-least / parts)
-        if spare >= (need := math.ceil(empty + 2 * math.sqrt(empty))) or spare > 2 * differ + 8:
-            return parts, spare
-        spare = need
-    return 0, 0
+        if spare >= empty + 2 * math.sqrt(empty):
+            break
+        spare += 1
+    return differ + 1 + spare, spare
 
 
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
@@ -119,7 +124,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
             continue  # too small to be linked with a set of the next band
         parts, spare = _scheme(b, percent)
         if not parts:
-            continue  # only equal sets are linked
+            continue
         part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])  # s is sorted: parts lie one after another
         salt = mix(np.full(1, b, dtype=np.uint64) * _MIX[0])
@@ -255,6 +260,43 @@ def _links(docs: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
     return rows.groupBy("pair").applyInPandas(links, "a long, b long")
 
 
+def _fits(percent: int) -> Column:
+    """Whether the size ranges of blocks x and y allow a link."""
+    return (F.col("x.high") * 100 >= F.col("y.low") * percent) & (F.col("y.high") * 100 >= F.col("x.low") * percent)
+
+
+def _meetings(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """key, doc_id and pairs: the (pair, side) of every comparison of blocks that a class takes part in."""
+    ties = shared.groupBy("first", "key").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= TIES) & (F.col("first") != F.col("key")))
+    families = components(ties.select(F.col("first").alias("a"), F.col("key").alias("b")))
+    members = shared.select("key", "n").distinct().join(families, F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce("component", "key").alias("family"))
+    members = settle(members, "jaccard-families")
+    large = members.groupBy("family").agg(F.sum("n").alias("all")).filter(F.col("all") > BLOCK).select("family", F.ceil(F.col("all") / BLOCK).alias("blocks"))
+    part = F.when(F.col("blocks").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("key"), "blocks"))
+    dealt = settle(members.join(large, "family", "left").select("key", "n", F.xxhash64("family", part).alias("block")), "jaccard-dealt")
+    at = shared.join(dealt.select("key", "block"), "key").groupBy("sig", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    at = settle(at.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("sig"))).filter("met > 1"), "jaccard-met")
+
+    def sides(meet: DataFrame, own: DataFrame) -> DataFrame:
+        pair = F.xxhash64("x", "y").alias("pair")
+        each = meet.select(F.col("x").alias("block"), pair, F.lit(0).alias("side")).unionByName(meet.filter("x != y").select(F.col("y").alias("block"), pair, F.lit(1).alias("side")))
+        return own.select("block", "key").join(each, "block").select("key", F.struct("pair", "side").alias("p"))
+
+    some = at.filter(F.col("met") <= HOT)
+    across = some.alias("x").join(some.alias("y"), "sig").filter((F.col("x.block") < F.col("y.block")) & _fits(percent)).select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
+    inside = dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("block").alias("x"), F.col("block").alias("y"))
+    # a signature with very many blocks: its own members, cut by size
+    hot = at.filter(F.col("met") > HOT).select("sig").distinct()
+    upto = Window.partitionBy("sig").orderBy("n", "key").rowsBetween(Window.unboundedPreceding, 0)
+    cut = shared.join(hot, "sig").select("sig", "key", "n").distinct().withColumn("block", F.xxhash64("sig", F.floor(F.sum("n").over(upto) / BLOCK), F.lit("hot")))
+    cut = settle(cut, "jaccard-hot")
+    spans = cut.groupBy("sig", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    crowd = spans.alias("x").join(spans.alias("y"), "sig").filter((F.col("x.block") <= F.col("y.block")) & _fits(percent)).select(F.col("x.block").alias("x"), F.col("y.block").alias("y"))
+    rows = sides(across.unionByName(inside), dealt).unionByName(sides(crowd, cut))
+    rows = rows.groupBy("key").agg(F.collect_list("p").alias("pairs"))
+    return rows.join(classes, "key").select("key", F.col("rep").alias("doc_id"), "pairs")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text; other columns are ignored).
 
@@ -267,22 +309,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     known = sets.filter("doc_id is not null and key is not null")
     classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     same = Window.partitionBy("sig")
-    shared = known.select(F.explode("sigs").alias("sig"), "key").withColumn("first", F.min("key").over(same)).withColumn("last", F.max("key").over(same))
-    shared = settle(shared.filter("first != last").select("sig", "key", "first"), "jaccard-shared")
-    clusters = settle(components(shared.select(F.col("first").alias("a"), F.col("key").alias("b"))), "jaccard-clusters")
-    members = clusters.join(classes, F.col("node") == F.col("key")).select("key", "rep", "n", F.col("component").alias("cluster"))
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    dealt = members.join(sizes, "cluster").withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("key"), "blocks")))
-    dealt = settle(dealt.select("key", "rep", "cluster", "block", "blocks"), "jaccard-dealt")
-    pair = lambda a, b: F.xxhash64("cluster", a, b)
-    inside = dealt.select("key", "rep", F.struct(pair("block", "block").alias("pair"), F.lit(0).alias("side")).alias("p"))
-    many = dealt.filter("blocks > 1").select("key", "rep", "cluster", F.col("block").cast("long").alias("block"))
-    at = shared.join(many, "key").select("sig", "cluster", "block").distinct()
-    meet = at.join(at.withColumnRenamed("block", "other").drop("cluster"), "sig").filter("block < other").select("cluster", "block", "other").distinct()
-    meet = meet.withColumn("pair", pair("block", "other"))
-    met_by = meet.select("cluster", "block", "pair", F.lit(0).alias("side")).unionByName(meet.select("cluster", F.col("other").alias("block"), "pair", F.lit(1).alias("side")))
-    across = many.join(met_by, ["cluster", "block"]).select("key", "rep", F.struct("pair", "side").alias("p"))
-    pairs = inside.unionByName(across).groupBy("key", F.col("rep").alias("doc_id")).agg(F.collect_list("p").alias("pairs"))
+    shared = known.select(F.explode("sigs").alias("sig"), "key", "n").withColumn("first", F.min("key").over(same)).withColumn("last", F.max("key").over(same))
+    shared = settle(shared.filter("first != last").select("sig", "key", "n", "first"), "jaccard-shared")
+    pairs = settle(_meetings(shared, classes, percent), "jaccard-pairs")
     links = settle(_links(docs, pairs, k, percent), "jaccard-links")
     joined = components(links).select(F.col("node").alias("key"), "component")
     grouped = classes.join(joined, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
