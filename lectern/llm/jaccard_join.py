@@ -6,8 +6,9 @@
    D + 1 + e parts, at least e + 1 parts agree, so linked classes share the signature of a part, and one that is not
    empty if either has at most e empty parts. Size bands keep D small. This is exact: no link is lost.
 3. Classes that share several signatures form families (components over star-shaped edges), which are dealt to blocks of
-   bounded size. A block meets itself and each block that shares a signature and whose sizes allow links; a signature
-   that very many blocks share has blocks of its own, cut by size.
+   bounded size. A block meets itself and each block of fitting sizes that shares as many signatures as a link must
+   share. Signatures that very many blocks share are left out of that count; only blocks for which they might be all
+   that a link shares are compared by them, cut anew by size.
 4. In a block, a signature tree: its nodes hold the OR of their documents' token bitmaps and their range of sizes. A dual
    traversal drops node pairs whose greatest possible overlap or size ratio is too small, or that are known to be
    connected; at the leaves the sets themselves decide.
@@ -114,11 +115,14 @@ def _scheme(band: int, percent: int) -> tuple[int, int]:
     return differ + 1 + spare, spare
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of which any two linked, different sets share one."""
+def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """Hashes of which any two linked, different sets share some, and how many at least: of the even and the odd ones.
+
+    A set has the schemes of its own band and of the next; the lowest bit of a hash is that of its band's number.
+    """
     n = len(s)
     j, top = _band(n)
-    out = []
+    out, need = [np.zeros(0, dtype=np.uint64)], [1, 1]
     for b in (j, j + 1):
         if b > j and 100 * n < percent * (top + 1):
             continue  # too small to be linked with a set of the next band
@@ -129,11 +133,14 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])  # s is sorted: parts lie one after another
         salt = mix(np.full(1, b, dtype=np.uint64) * _MIX[0])
         label = mix(part[starts] + salt)
-        out.append(mix(np.add.reduceat(mix(s ^ np.uint64(b * 1000003 + 17)), starts) + label))
+        own = [mix(np.add.reduceat(mix(s ^ np.uint64(b * 1000003 + 17)), starts) + label)]
         if parts - len(starts) > spare:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts])
-            out.append(mix(mix(empty + salt) ^ _MIX[2]))
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+            own.append(mix(mix(empty + salt) ^ _MIX[2]))
+        out += [x >> np.uint64(1) << np.uint64(1) | np.uint64(b & 1) for x in own]
+        largest = min(math.floor(BAND**b), 100 * n // percent)
+        need[b & 1] = max(1, len(starts) - (n + largest) * (100 - percent) // (100 + percent))
+    return np.concatenate(out), need
 
 
 class _Union:
@@ -221,28 +228,33 @@ def tree_links(keys: list[int], sides: list[int], sets: list[np.ndarray], percen
 
 
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, key (of the class; null for an empty set), n, and signatures. A task gives a class's signatures once."""
+    """doc_id, key (of the class; null for an empty set), n, signatures and the least numbers shared by links.
+
+    A task gives a class's signatures once, however many copies it meets.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for lo in range(0, len(ids), 2000):
-                keys, sizes, sigs = [], [], []
+                keys, sizes, sigs, needs = [], [], [], []
                 for doc, text in zip(ids[lo : lo + 2000].to_pylist(), texts[lo : lo + 2000].to_pylist()):
                     s = shingle_set(text, k)
                     key = set_key(s) if len(s) else None
                     new = doc is not None and key is not None and key not in seen
-                    sigs.append(signatures(s, percent).view(np.int64) if new else np.zeros(0, dtype=np.int64))
+                    own, need = signatures(s, percent) if new else (np.zeros(0, dtype=np.uint64), [None, None])
+                    sigs.append(own.view(np.int64))
+                    needs.append(need)
                     if new:
                         seen.add(key)
                     keys.append(key)
                     sizes.append(len(s))
                 offsets = np.r_[0, np.cumsum([len(x) for x in sigs])].astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
-                yield pa.RecordBatch.from_arrays([ids[lo : lo + 2000], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), column], ["doc_id", "key", "n", "sigs"])
+                yield pa.RecordBatch.from_arrays([ids[lo : lo + 2000], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), column, *(pa.array(x, pa.int64()) for x in zip(*needs))], ["doc_id", "key", "n", "sigs", "need0", "need1"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(read, "doc_id long, key long, n long, sigs array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(read, "doc_id long, key long, n long, sigs array<long>, need0 long, need1 long")
 
 
 def _links(docs: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
@@ -274,27 +286,34 @@ def _meetings(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     large = members.groupBy("family").agg(F.sum("n").alias("all")).filter(F.col("all") > BLOCK).select("family", F.ceil(F.col("all") / BLOCK).alias("blocks"))
     part = F.when(F.col("blocks").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("key"), "blocks"))
     dealt = settle(members.join(large, "family", "left").select("key", "n", F.xxhash64("family", part).alias("block")), "jaccard-dealt")
-    at = shared.join(dealt.select("key", "block"), "key").groupBy("sig", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    odd = F.pmod("sig", F.lit(2)).alias("odd")
+    rows = shared.select("sig", "key", "n", "need", odd).distinct().join(dealt.select("key", "block"), "key")
+    at = rows.groupBy("sig", "odd", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("need").alias("need"))
     at = settle(at.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("sig"))).filter("met > 1"), "jaccard-met")
+    # how many of a block's signatures very many blocks share; links that share others too are found by these
+    hot = at.filter(F.col("met") > HOT)
+    heat = settle(hot.groupBy("block", "odd").agg(F.count(F.lit(1)).alias("hot"), F.min("need").alias("need")), "jaccard-heat")
 
     def sides(meet: DataFrame, own: DataFrame) -> DataFrame:
         pair = F.xxhash64("x", "y").alias("pair")
         each = meet.select(F.col("x").alias("block"), pair, F.lit(0).alias("side")).unionByName(meet.filter("x != y").select(F.col("y").alias("block"), pair, F.lit(1).alias("side")))
         return own.select("block", "key").join(each, "block").select("key", F.struct("pair", "side").alias("p"))
 
-    some = at.filter(F.col("met") <= HOT)
-    across = some.alias("x").join(some.alias("y"), "sig").filter((F.col("x.block") < F.col("y.block")) & _fits(percent)).select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
+    some = at.filter(F.col("met") <= HOT).join(heat.select("block", "odd", "hot"), ["block", "odd"], "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    both = some.alias("x").join(some.alias("y"), "sig").filter((F.col("x.block") < F.col("y.block")) & _fits(percent))
+    both = both.groupBy(F.col("x.block").alias("x"), F.col("y.block").alias("y"), F.col("x.odd").alias("odd")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("x.need", "y.need") - F.least("x.hot", "y.hot")).alias("need"))
+    across = both.filter(F.col("shared") >= F.col("need")).select("x", "y").distinct()
     inside = dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("block").alias("x"), F.col("block").alias("y"))
-    # a signature with very many blocks: its own members, cut by size
-    hot = at.filter(F.col("met") > HOT).select("sig").distinct()
+    # links that may share hot signatures only: the blocks in question are cut anew, by size
+    crowded = heat.filter("hot >= need").select("block", "odd")
     upto = Window.partitionBy("sig").orderBy("n", "key").rowsBetween(Window.unboundedPreceding, 0)
-    cut = shared.join(hot, "sig").select("sig", "key", "n").distinct().withColumn("block", F.xxhash64("sig", F.floor(F.sum("n").over(upto) / BLOCK), F.lit("hot")))
-    cut = settle(cut, "jaccard-hot")
+    cut = rows.join(hot.select("sig", "block", "odd").join(crowded, ["block", "odd"]).select("sig", "block"), ["sig", "block"]).select("sig", "key", "n")
+    cut = settle(cut.withColumn("block", F.xxhash64("sig", F.floor(F.sum("n").over(upto) / BLOCK), F.lit("hot"))), "jaccard-hot")
     spans = cut.groupBy("sig", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     crowd = spans.alias("x").join(spans.alias("y"), "sig").filter((F.col("x.block") <= F.col("y.block")) & _fits(percent)).select(F.col("x.block").alias("x"), F.col("y.block").alias("y"))
-    rows = sides(across.unionByName(inside), dealt).unionByName(sides(crowd, cut))
-    rows = rows.groupBy("key").agg(F.collect_list("p").alias("pairs"))
-    return rows.join(classes, "key").select("key", F.col("rep").alias("doc_id"), "pairs")
+    met = sides(across.unionByName(inside), dealt).unionByName(sides(crowd, cut))
+    met = met.groupBy("key").agg(F.collect_list("p").alias("pairs"))
+    return met.join(classes, "key").select("key", F.col("rep").alias("doc_id"), "pairs")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -309,8 +328,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     known = sets.filter("doc_id is not null and key is not null")
     classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     same = Window.partitionBy("sig")
-    shared = known.select(F.explode("sigs").alias("sig"), "key", "n").withColumn("first", F.min("key").over(same)).withColumn("last", F.max("key").over(same))
-    shared = settle(shared.filter("first != last").select("sig", "key", "n", "first"), "jaccard-shared")
+    shared = known.select(F.explode("sigs").alias("sig"), "key", "n", "need0", "need1").withColumn("first", F.min("key").over(same)).withColumn("last", F.max("key").over(same))
+    shared = settle(shared.filter("first != last").select("sig", "key", "n", "first", F.when(F.col("sig") % 2 == 0, F.col("need0")).otherwise(F.col("need1")).alias("need")), "jaccard-shared")
     pairs = settle(_meetings(shared, classes, percent), "jaccard-pairs")
     links = settle(_links(docs, pairs, k, percent), "jaccard-links")
     joined = components(links).select(F.col("node").alias("key"), "component")
