@@ -28,9 +28,12 @@ def expand_runs(frames: DataFrame, least: int) -> DataFrame:
 
 
 def merge_intervals(intervals: DataFrame) -> DataFrame:
-    """Overlapping and touching intervals of a clip become one; empty ones are dropped."""
+    """Overlapping and touching intervals of a clip become one; empty ones are dropped.
+
+    Repeated intervals go first, so that the order within a clip has no ties.
+    """
     order = Window.partitionBy("clip").orderBy("start", "end")
-    i = intervals.filter(F.col("end") > F.col("start")).withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    i = intervals.filter(F.col("end") > F.col("start")).distinct().withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     i = i.withColumn("island", F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return i.groupBy("clip", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 

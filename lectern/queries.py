@@ -258,7 +258,7 @@ def partials(spark, d):
 
 FLAGS = "flags as (select user_id clip, row_number() over (partition by user_id order by ts, event_id) - 1 frame_no, value >= 35 flag, value >= 15 support, value from events)"
 SPANS = "spans as (select user_id clip, cast(epoch(date_trunc('second', ts)) as bigint) s, cast(epoch(date_trunc('second', ts)) as bigint) + cast(ceil(60 * value) as bigint) e from events)"
-MERGED = "m1 as (select *, max(e) over (partition by clip order by s, e rows between unbounded preceding and 1 preceding) b from spans where e > s), m2 as (select *, sum(case when s <= b then 0 else 1 end) over (partition by clip order by s, e rows unbounded preceding) i from m1), merged as (select clip, min(s) s, max(e) e from m2 group by clip, i)"
+MERGED = "m1 as (select *, max(e) over (partition by clip order by s, e rows between unbounded preceding and 1 preceding) b from (select distinct * from spans) where e > s), m2 as (select *, sum(case when s <= b then 0 else 1 end) over (partition by clip order by s, e rows unbounded preceding) i from m1), merged as (select clip, min(s) s, max(e) e from m2 group by clip, i)"
 
 
 @query(f"""with {FLAGS}, r as (select clip, frame_no, frame_no - row_number() over (partition by clip order by frame_no) i from flags where flag)
@@ -267,10 +267,10 @@ def flag_runs(spark, d):
     return intervals.flag_runs(S.flags(spark, d), 2)
 
 
-EXPANDED = f"""{FLAGS}, x as materialized (select *, coalesce(max(case when not support then frame_no end) over (partition by clip order by frame_no rows between unbounded preceding and 1 preceding) + 1, 0) l,
+EXPANDED = f"""{FLAGS}, x as (select *, coalesce(max(case when not support then frame_no end) over (partition by clip order by frame_no rows between unbounded preceding and 1 preceding) + 1, 0) l,
     coalesce(min(case when not support then frame_no end) over (partition by clip order by frame_no desc rows between unbounded preceding and 1 preceding), count(*) over (partition by clip)) r,
     frame_no - sum(flag::int) over (partition by clip order by frame_no) i from flags),
-    spans as materialized (select clip, min_by(l, frame_no) s, max_by(r, frame_no) e from x where flag group by clip, i having count(*) >= 2), {MERGED}"""
+    spans as (select clip, min_by(l, frame_no) s, max_by(r, frame_no) e from x where flag group by clip, i having count(*) >= 2), {MERGED}"""
 
 
 @query(f'with {EXPANDED} select clip, s "start", e "end" from merged')
