@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode white space, spelled out: the regex engine's own class is ASCII.
@@ -40,18 +40,22 @@ def ends_sentence(word: Column) -> Column:
     return word.rlike(r"[.!?]" + closers) & ~(lone & (stem.isin(*ABBREVIATIONS) | stem.rlike(r"^[a-z](\.[a-z])*$")))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once, inside expressions on array elements too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sentences(text: Column) -> Column:
-    """The sentences of a text, paragraph by paragraph; a fold over words that carries finished and open parts."""
-    def of(paragraph: Column) -> Column:
-        words = F.filter(F.split(collapse_ws(paragraph), " "), lambda w: w != "")
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+    """The sentences of a text, paragraph by paragraph: words are cut after those that can end a sentence."""
 
-        def step(a: Column, w: Column) -> Column:
-            cur = F.when(a["cur"] == "", w).otherwise(F.concat(a["cur"], F.lit(" "), w))
-            ends = ends_sentence(w)
-            return F.struct(F.when(ends, F.concat(a["out"], F.array(cur))).otherwise(a["out"]).alias("out"), F.when(ends, F.lit("")).otherwise(cur).alias("cur"))
+    def cut(words: Column, ends: Column) -> Column:
+        ends = F.array_distinct(F.concat(ends, F.array(F.size(words))))
+        return _let(ends, lambda e: F.transform(e, lambda b, i: _let(F.when(i == 0, F.lit(0)).otherwise(F.get(e, i - 1)), lambda a: F.array_join(F.slice(words, a + 1, b - a), " "))))
 
-        return F.aggregate(words, start, step, lambda a: F.when(a["cur"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["cur"]))))
+    def of(paragraph: Column) -> Column:
+        words = F.filter(F.split(collapse_ws(paragraph), " "), lambda w: w != "")
+        found = lambda w: F.filter(F.transform(w, lambda x, i: F.when(ends_sentence(x), i + 1)), lambda i: i.isNotNull())
+        return _let(words, lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(cut(w, found(w))))
 
     return F.flatten(F.transform(F.split(text, r"\n+"), of))
 
@@ -97,28 +101,26 @@ def pack_chunks(sentences: Column, limit: int = MAX_CHARS) -> Column:
     return _greedy(F.flatten(F.transform(sentences, lambda s: F.transform(split_oversized(s, limit), lambda p: _unit(p, is_dialogue(s))))), limit)
 
 
-def clean_text(text: Column) -> dict[str, Column]:
-    """Narration-safe text and how often each kind of change was made: columns named as the changes, and `cleaned`.
+def clean_text(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with `cleaned`, narration-safe text, and how often each kind of change was made, in columns of these names.
 
     Bracketed and superscript references go, double quotes are dropped, marks are written plainly, controls vanish and
-    other symbols become spaces. (Dotted initials are left to expand_initials().)
+    other symbols become spaces. (Dotted initials are left to expand_initials().) Each step is a column of its own, so
+    that what several counts need is computed once.
     """
     bracket, raised = r"\[\s*[0-9%s]+\s*\]" % SUPERSCRIPTS, r"(?<=[\p{L}\p{N}_])[%s]+(?=\s|$|[.,!?])" % SUPERSCRIPTS
     attached = r"(?<![0-9])([.!?][\"'”’»)\]}]?)[0-9]+(?=\s|$)"
-    a = F.regexp_replace(text, bracket, " ")
-    b = F.regexp_replace(a, raised, " ")
-    c = F.regexp_replace(b, attached, "$1")
+    quotes, marks = f"[{DOUBLE_QUOTES}]", "[" + "".join(PLAIN_MARKS) + "]"
+    controls, kept = r"[\p{C}&&[^\t-\r\x1c-\x1f\x85]]", rf"[^\p{{L}}\p{{N}}\p{{M}}{KEPT_MARKS} ]"
     count = lambda x, pattern: F.regexp_count(x, F.lit(pattern))
-    plain = F.translate(F.regexp_replace(c, f"[{DOUBLE_QUOTES}]", ""), "".join(PLAIN_MARKS), "".join(PLAIN_MARKS.values()))
-    spaces, controls = WS[:-1], r"[\p{C}&&[^\t-\r\x1c-\x1f\x85]]"
-    kept = rf"[^\p{{L}}\p{{N}}\p{{M}}{KEPT_MARKS} ]"
-    d = F.regexp_replace(F.regexp_replace(plain, spaces, " "), controls, "")
-    e = collapse_ws(F.regexp_replace(d, kept, " "))
-    out = F.regexp_replace(e, r" +([.,!?])", "$1")
-    return {
-        "footnotes": count(text, bracket) + count(a, raised) + count(b, attached), "quotes": count(c, f"[{DOUBLE_QUOTES}]"),
-        "punctuation": count(c, "[" + "".join(PLAIN_MARKS).replace("-", "") + "]"), "controls": count(plain, controls), "symbols": count(d, kept), "cleaned": out,
-    }
+    r = rows.withColumn("_a", F.regexp_replace(text, bracket, " ")).withColumn("_b", F.regexp_replace("_a", raised, " ")).withColumn("_c", F.regexp_replace("_b", attached, "$1"))
+    r = r.withColumn("_p", F.translate(F.regexp_replace("_c", quotes, ""), "".join(PLAIN_MARKS), "".join(PLAIN_MARKS.values())))
+    r = r.withColumn("_d", F.regexp_replace(F.regexp_replace("_p", WS[:-1], " "), controls, ""))
+    return r.withColumns({
+        "footnotes": count(text, bracket) + count("_a", raised) + count("_b", attached), "quotes": count("_c", quotes), "punctuation": count("_c", marks),
+        "controls": count("_p", controls), "symbols": count("_d", kept),
+        "cleaned": F.regexp_replace(collapse_ws(F.regexp_replace("_d", kept, " ")), r" +([.,!?])", "$1"),
+    }).drop("_a", "_b", "_c", "_p", "_d")
 
 
 def expand_initials(text: Column) -> Column:

@@ -199,7 +199,7 @@ _PLAIN_CLASS = "[" + _PLAIN + "]"
 _COUNTS = rf"cast(len(regexp_extract_all(text, '\[\s*[0-9{_SUP}]+\s*\]')) + len(regexp_extract_all({_C0}, '{_RAISED}')) + len(regexp_extract_all({_C1}, '{_GLUED}')) as bigint) footnotes, cast(len(regexp_extract_all({_C}, '[{_DQ}]')) as bigint) quotes, cast(len(regexp_extract_all({_C}, '{_PLAIN_CLASS}')) as bigint) punctuation, cast(len(regexp_extract_all({_D}, '{_KEPT}')) as bigint) symbols"
 
 def _cleaned(spark, d):
-    return S.read(spark, d, "documents").filter("text is not null").withColumns(T.clean_text(F.col("text")))
+    return T.clean_text(S.read(spark, d, "documents").filter("text is not null"))
 
 
 @query(f"select doc_id, md5({CLEANED}) cleaned_md5, {_COUNTS} from documents where text is not null")
