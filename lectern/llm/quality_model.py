@@ -20,8 +20,8 @@ from lectern.llm.common import crc_bucket
 WORD_ROWS, GRAM_ROWS, DIM = 1 << 16, 1 << 17, 8
 GRAMS = (2, 3, 4)
 #: At most so many labelled rows are used for training, those with the least hash of their id.
-MAX_ROWS = 4000
-EPOCHS, RATE, SEED = 6, 2.0, 7
+MAX_ROWS = 3000
+EPOCHS, RATE, SEED = 6, 0.5, 7
 THRESHOLD = 0.3
 #: Scores of so many words are remembered by a worker (a cache: results don't depend on it).
 REMEMBERED = 400_000
@@ -77,26 +77,26 @@ def train(texts: list[str | None], labels: list[int]) -> QualityModel:
     share = (sum(labels) + 0.5) / (len(labels) + 1)
     if len(set(labels)) < 2:
         return QualityModel(np.zeros(WORD_ROWS + GRAM_ROWS), float(np.log(share / (1 - share))))
-    vocab: dict[str, int] = {}
+    known: dict[str, np.ndarray] = {}
     docs = []
     for t in texts:
-        ids = np.array([vocab.setdefault(w, len(vocab)) for w in tokens(t)])
-        docs.append(np.unique(ids, return_counts=True))
-    rows = [np.array(features(w), dtype=np.int64) for w in vocab]
-    starts = np.r_[0, np.cumsum([len(r) for r in rows])]
-    flat = np.concatenate(rows)
+        words, counts = np.unique(np.array(tokens(t), dtype=object), return_counts=True)
+        for w in words:
+            if w not in known:
+                known[w] = np.array(features(w), dtype=np.int32)
+        rows = [known[w] for w in words]
+        f, at = np.unique(np.concatenate(rows), return_inverse=True)
+        weight = np.bincount(at, np.repeat(counts, [len(r) for r in rows])).astype(np.float32)
+        docs.append((f, weight / weight.sum(), min(len(words), 50)))
     rng = np.random.default_rng(SEED)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (WORD_ROWS + GRAM_ROWS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), dtype=np.float32), np.zeros(2, dtype=np.float32)
     steps, done = EPOCHS * len(docs), 0
     for _ in range(EPOCHS):
         for d in rng.permutation(len(docs)):
-            ids, counts = docs[d]
-            sizes = starts[ids + 1] - starts[ids]
-            at = np.repeat(starts[ids] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-            f, weight = flat[at], np.repeat(counts, sizes).astype(np.float32)
-            weight /= weight.sum()
-            mean = weight @ emb[f]
+            f, weight, scale = docs[d]
+            own = emb[f]
+            mean = weight @ own
             z = out @ mean + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -105,7 +105,8 @@ def train(texts: list[str | None], labels: list[int]) -> QualityModel:
             back = p @ out
             out -= rate * np.outer(p, mean)
             bias -= 0.05 * rate * p
-            np.add.at(emb, f, (-rate * min(len(ids), 200)) * weight[:, None] * back)
+            own -= (rate * scale) * weight[:, None] * back
+            emb[f] = own
             done += 1
     return QualityModel((emb @ (out[1] - out[0])).astype(np.float64), float(bias[1] - bias[0]))
 
