@@ -63,9 +63,9 @@ class Items:
     def __init__(self, rows: list[tuple[int, str | None]], error_rate: float):
         self.vocab: dict[str, int] = {}
         self.items, self.whole, pieces = [], {}, {}
-        for item_id, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+        for item_id, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or "")):
             found = [self.vocab.setdefault(w, len(self.vocab)) for w in read_words(text)]
-            if item_id is None or not found:
+            if not found:
                 continue
             edits = int(error_rate * len(found)) if len(found) >= LEAST else 0
             number = len(self.items)
