@@ -86,7 +86,7 @@ class LanguageModel:
         if len(self.known) > REMEMBERED:
             self.known.clear()
             self.rows = self.rows[:0]
-        new = list(set().union(*found) - self.known.keys()) if found else []
+        new = [w for w in set().union(*found) if w not in self.known]
         if new and self.langs:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self.rows = np.concatenate([self.rows, np.array([self.row(w) for w in new])])

@@ -59,7 +59,7 @@ class QualityModel:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        for w in set(found) - known.keys():
+        for w in [w for w in set(found) if w not in known]:  # a set less the keys would go through all keys
             f = features(w)
             known[w] = (float(self.u[f].sum()), len(f))
         total = n = 0

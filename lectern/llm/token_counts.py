@@ -119,7 +119,7 @@ class PieceMerger:
         cut = [self.cut.findall(f"{SPACE}{t.replace(' ', SPACE)}") if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*cut) - self.known.keys())
+        new = [t for t in set().union(*cut) if t not in self.known]
         for t in new:
             if len(t) > LONG:
                 self.known[t] = self.merge_long(t)
