@@ -62,8 +62,8 @@ def frame_levels(frames: DataFrame) -> DataFrame:
     return f.select("vec_id", F.round(20 * F.log10(rms + 1e-12), 4).alias("rms_dbfs"), F.round(F.aggregate(signs, F.lit(0), lambda s, x: s + x) / (n - 1), 6).alias("zcr"))
 
 
-def frame_spectrum(frames: DataFrame, size: int) -> DataFrame:
-    """Hann-windowed power spectrum of each frame without its mean: dominant bin, centroid and flatness.
+def frame_spectrum(frames: DataFrame, size: int, low: int = 8) -> DataFrame:
+    """Hann-windowed power spectrum of each frame without its mean: dominant bin, centroid, flatness, share up to bin `low`.
 
     A relational transform: the samples meet a table of size * (size / 2 + 1) constants, then sums by frame and bin.
     """
@@ -76,7 +76,7 @@ def frame_spectrum(frames: DataFrame, size: int) -> DataFrame:
     power = x.join(F.broadcast(basis), "dim").groupBy("vec_id", "bin").agg((F.pow(F.sum(F.col("x") * F.col("re")), 2) + F.pow(F.sum(F.col("x") * F.col("im")), 2)).alias("p"))
     power = power.withColumn("p", F.when(F.col("bin") == 0, F.lit(0.0)).otherwise(F.col("p")))
     flat = F.exp(F.avg(F.log(F.col("p") + 1e-30))) / (F.avg("p") + 1e-30)
-    return power.groupBy("vec_id").agg(F.max_by("bin", "p").cast("long").alias("dominant_bin"), F.round(F.sum(F.col("bin") * F.col("p")) / (F.sum("p") + 1e-30), 4).alias("centroid"), F.round(flat, 6).alias("flatness"))
+    return power.groupBy("vec_id").agg(F.max_by("bin", "p").cast("long").alias("dominant_bin"), F.round(F.sum(F.col("bin") * F.col("p")) / (F.sum("p") + 1e-30), 4).alias("centroid"), F.round(flat, 6).alias("flatness"), F.round(F.sum(F.when(F.col("bin") <= low, F.col("p")).otherwise(F.lit(0.0))) / (F.sum("p") + 1e-30), 6).alias("low_share"))
 
 
 def pad_ragged(rows: DataFrame) -> DataFrame:

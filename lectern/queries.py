@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import intervals, vectors
 from lectern.plans import resume, timeline
+from lectern.registry import ORACLE_SQL, QUERIES, query
 from lectern.sources import tables as S
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 RATE, BATCH, LIMIT = 24_000, 4, 200
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # The character classes of functions.text for RE2
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -511,7 +498,7 @@ def frame_levels(spark, d):
 
 @query(f"""with {_AMP}, x0 as (select vec_id, unnest(v) x, generate_subscripts(v, 1) - 1 j from a), x as (select vec_id, j, x - avg(x) over (partition by vec_id) x from x0), b as (select j, k, (0.5 - 0.5 * cos(2 * pi() * j / 64)) h from range(64) t(j), range(33) u(k)),
     p0 as (select vec_id, k, pow(sum(x * h * cos(-2 * pi() * j * k / 64)), 2) + pow(sum(x * h * sin(-2 * pi() * j * k / 64)), 2) p from x join b using (j) group by 1, 2), p1 as (select vec_id, k, case when k = 0 then 0.0 else p end p from p0)
-    select vec_id, max_by(k, p) dominant_bin, round(sum(k * p) / (sum(p) + 1e-30), 4) centroid, round(exp(avg(ln(p + 1e-30))) / (avg(p) + 1e-30), 6) flatness from p1 group by vec_id""")
+    select vec_id, max_by(k, p) dominant_bin, round(sum(k * p) / (sum(p) + 1e-30), 4) centroid, round(exp(avg(ln(p + 1e-30))) / (avg(p) + 1e-30), 6) flatness, round(sum(case when k <= 8 then p else 0 end) / (sum(p) + 1e-30), 6) low_share from p1 group by vec_id""")
 def frame_spectrum(spark, d):
     return vectors.frame_spectrum(S.frames(spark, d), 64)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import intervals
 from lectern.plans import timeline
-from lectern.queries import ORACLE_SQL, QUERIES
+import __spark_entry__  # noqa: F401
+from lectern.registry import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
