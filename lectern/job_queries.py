@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.plans import status
 from lectern.queries import MARKERS, chapter_markers
 from lectern.registry import query
+from lectern.sources import files
 from lectern.sources import tables as S
 
 def _events(spark, d):
@@ -144,3 +145,20 @@ def marker_sheet(spark, d):
     markers = chapter_markers(spark, d).withColumn("title", F.format_string("Part #%d; book  %d", "chapter_no", "book"))
     tags = markers.select("book", F.concat(F.lit("Book = "), F.col("book").cast("string")).alias("title"), F.lit(" ").alias("genre")).distinct()
     return sheet(tags, markers)
+
+
+@query()
+def visible_text(spark, d):
+    """The lines of each page that a reader sees, in page order."""
+    pages = S.read(spark, d, "pages").select("page_id", F.posexplode(files.visible_text(F.col("html"))).alias("line_no", "line"))
+    return pages.select("page_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query("""with p as (select page_id, regexp_replace(regexp_replace(url, '^[^:]*://[^/]*', ''), '[?#].*$', '') path from pages), s as (select page_id, list_filter(string_split(path, '/'), lambda x: x not in ('', '.')) s, page_id % 3 up from p where not list_contains(string_split(path, '/'), '..'))
+    select page_id, case when up < 2 then array_to_string(list_concat(case when up = 0 then ['OEBPS'] else []::varchar[] end, s), '/') end member from s""")
+def safe_member(spark, d):
+    """Page paths as archive members below OEBPS, some of them reaching upwards; null where they leave the archive."""
+    path = F.regexp_replace(F.regexp_replace("url", "^[^:]*://[^/]*", ""), "[?#].*$", "")
+    p = S.read(spark, d, "pages").filter("url is not null").select("page_id", path.alias("path")).filter(~F.array_contains(F.split("path", "/"), ".."))
+    href = F.concat(F.repeat(F.lit("../"), (F.col("page_id") % 3).cast("int")), F.regexp_replace(F.regexp_replace("path", "^/+", ""), "%", "%25"))
+    return p.select("page_id", files.safe_member(F.lit("OEBPS"), href).alias("member"))
