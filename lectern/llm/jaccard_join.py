@@ -278,20 +278,27 @@ def _fits(percent: int) -> Column:
 
 
 def _meetings(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """key, doc_id and pairs: the (pair, side) of every comparison of blocks that a class takes part in."""
+    """key, doc_id and pairs: the (pair, side) of every comparison of blocks that a class takes part in.
+
+    shared: sig, key and first (the least key with the sig) of signatures that several classes have, each once. It is the
+    large table here: it goes through shuffles without columns that a class's own row has.
+    """
     ties = shared.groupBy("first", "key").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= TIES) & (F.col("first") != F.col("key")))
     families = components(ties.select(F.col("first").alias("a"), F.col("key").alias("b")))
-    members = shared.select("key", "n").distinct().join(families, F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce("component", "key").alias("family"))
+    members = shared.select("key").distinct().join(classes.drop("rep"), "key").join(families, F.col("key") == F.col("node"), "left").select("key", "n", "need0", "need1", F.coalesce("component", "key").alias("family"))
     members = settle(members, "jaccard-families")
     large = members.groupBy("family").agg(F.sum("n").alias("all")).filter(F.col("all") > BLOCK).select("family", F.ceil(F.col("all") / BLOCK).alias("blocks"))
     part = F.when(F.col("blocks").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("key"), "blocks"))
-    dealt = settle(members.join(large, "family", "left").select("key", "n", F.xxhash64("family", part).alias("block")), "jaccard-dealt")
+    dealt = settle(members.join(large, "family", "left").select("key", "n", "need0", "need1", F.xxhash64("family", part).alias("block")), "jaccard-dealt")
     odd = F.pmod("sig", F.lit(2)).alias("odd")
-    rows = shared.select("sig", "key", "n", "need", odd).distinct().join(dealt.select("key", "block"), "key")
-    at = rows.groupBy("sig", "odd", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("need").alias("need"))
-    at = settle(at.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("sig"))).filter("met > 1"), "jaccard-met")
+    rows = shared.select("sig", "key").join(dealt, "key").withColumn("need", F.when(odd == 0, F.col("need0")).otherwise(F.col("need1")))
+    at = rows.groupBy("sig", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("need").alias("need"))
+    at = at.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("sig"))).filter("met > 1")
+    # one row a signature, of up to HOT blocks; of signatures that more blocks share, a row for each block
+    at = at.groupBy("sig", F.when(F.col("met") > HOT, F.col("block")).alias("alone")).agg(F.collect_list(F.struct("block", "low", "high", "need")).alias("blocks"))
+    at = settle(at.select("sig", odd, F.col("alone").isNotNull().alias("is_hot"), "blocks"), "jaccard-met")
     # how many of a block's signatures very many blocks share; links that share others too are found by these
-    hot = at.filter(F.col("met") > HOT)
+    hot = at.filter("is_hot").select("sig", "odd", F.explode("blocks").alias("b")).select("sig", "odd", "b.block", "b.need")
     heat = settle(hot.groupBy("block", "odd").agg(F.count(F.lit(1)).alias("hot"), F.min("need").alias("need")), "jaccard-heat")
 
     def sides(meet: DataFrame, own: DataFrame) -> DataFrame:
@@ -299,15 +306,17 @@ def _meetings(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         each = meet.select(F.col("x").alias("block"), pair, F.lit(0).alias("side")).unionByName(meet.filter("x != y").select(F.col("y").alias("block"), pair, F.lit(1).alias("side")))
         return own.select("block", "key").join(each, "block").select("key", F.struct("pair", "side").alias("p"))
 
-    some = at.filter(F.col("met") <= HOT).join(heat.select("block", "odd", "hot"), ["block", "odd"], "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
-    both = some.alias("x").join(some.alias("y"), "sig").filter((F.col("x.block") < F.col("y.block")) & _fits(percent))
-    both = both.groupBy(F.col("x.block").alias("x"), F.col("y.block").alias("y"), F.col("x.odd").alias("odd")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("x.need", "y.need") - F.least("x.hot", "y.hot")).alias("need"))
-    across = both.filter(F.col("shared") >= F.col("need")).select("x", "y").distinct()
+    both = at.filter("not is_hot").select("odd", "blocks", F.explode("blocks").alias("x")).select("odd", "x", F.explode("blocks").alias("y")).filter((F.col("x.block") < F.col("y.block")) & _fits(percent))
+    both = both.groupBy(F.col("x.block").alias("x"), F.col("y.block").alias("y"), "odd").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("x.need", "y.need")).alias("need"))
+    for end in ("x", "y"):
+        both = both.join(heat.select(F.col("block").alias(end), "odd", F.col("hot").alias(f"hot_{end}")), [end, "odd"], "left")
+    unseen = F.least(F.coalesce("hot_x", F.lit(0)), F.coalesce("hot_y", F.lit(0)))
+    across = both.filter(F.col("shared") >= F.col("need") - unseen).select("x", "y").distinct()
     inside = dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("block").alias("x"), F.col("block").alias("y"))
     # links that may share hot signatures only: the blocks in question are cut anew, by size
-    crowded = heat.filter("hot >= need").select("block", "odd")
+    crowded = settle(hot.join(heat.filter("hot >= need").select("block", "odd"), ["block", "odd"]).select("sig", "block"), "jaccard-crowded")
     upto = Window.partitionBy("sig").orderBy("n", "key").rowsBetween(Window.unboundedPreceding, 0)
-    cut = rows.join(hot.select("sig", "block", "odd").join(crowded, ["block", "odd"]).select("sig", "block"), ["sig", "block"]).select("sig", "key", "n")
+    cut = shared.select("sig", "key").join(crowded.select("sig").distinct(), "sig").join(dealt.select("key", "n", "block"), "key").join(crowded, ["sig", "block"]).select("sig", "key", "n")
     cut = settle(cut.withColumn("block", F.xxhash64("sig", F.floor(F.sum("n").over(upto) / BLOCK), F.lit("hot"))), "jaccard-hot")
     spans = cut.groupBy("sig", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     crowd = spans.alias("x").join(spans.alias("y"), "sig").filter((F.col("x.block") <= F.col("y.block")) & _fits(percent)).select(F.col("x.block").alias("x"), F.col("y.block").alias("y"))
@@ -326,10 +335,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """
     sets = settle(_sets(docs, k, percent), "jaccard-sets")
     known = sets.filter("doc_id is not null and key is not null")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.max(c).alias(c) for c in ("n", "need0", "need1")])
     same = Window.partitionBy("sig")
-    shared = known.select(F.explode("sigs").alias("sig"), "key", "n", "need0", "need1").withColumn("first", F.min("key").over(same)).withColumn("last", F.max("key").over(same))
-    shared = settle(shared.filter("first != last").select("sig", "key", "n", "first", F.when(F.col("sig") % 2 == 0, F.col("need0")).otherwise(F.col("need1")).alias("need")), "jaccard-shared")
+    shared = known.select(F.explode("sigs").alias("sig"), "key").withColumn("first", F.min("key").over(same)).withColumn("last", F.max("key").over(same))
+    shared = settle(shared.filter("first != last").select("sig", "key", "first").distinct(), "jaccard-shared")  # by sig already: no shuffle
     pairs = settle(_meetings(shared, classes, percent), "jaccard-pairs")
     links = settle(_links(docs, pairs, k, percent), "jaccard-links")
     joined = components(links).select(F.col("node").alias("key"), "component")
