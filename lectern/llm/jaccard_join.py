@@ -36,6 +36,8 @@ BAND = 1.5
 BLOCK = 60_000
 #: Signatures that tie a class to its family, and blocks of a signature beyond which it has blocks of its own.
 TIES, HOT = 3, 48
+#: Ids of documents to compare that are broadcast at most (32 MB), to leave other texts out before the shuffle.
+WANTED = 4_000_000
 #: Hashes of so many words are remembered by a worker (a cache: results don't depend on it).
 REMEMBERED = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -268,6 +270,8 @@ def _links(docs: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
         return pd.DataFrame(tree_links([keys[i] for i in own], [sides[i] for i in own], [sets[i] for i in own], percent) if own else [], columns=["a", "b"], dtype="int64")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if met.count() <= WANTED:  # else all texts are shuffled: the result is the same
+        texts = texts.join(F.broadcast(met.select("doc_id")), "doc_id", "left_semi")
     rows = met.join(texts, "doc_id").select(F.explode("pairs").alias("p"), "key", "text").select("p.pair", "p.side", "key", "text")
     return rows.groupBy("pair").applyInPandas(links, "a long, b long")
 
