@@ -311,7 +311,8 @@ def _meetings(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         return own.select("block", "key").join(each, "block").select("key", F.struct("pair", "side").alias("p"))
 
     both = at.filter("not is_hot").select("odd", "blocks", F.explode("blocks").alias("x")).select("odd", "x", F.explode("blocks").alias("y")).filter((F.col("x.block") < F.col("y.block")) & _fits(percent))
-    both = both.groupBy(F.col("x.block").alias("x"), F.col("y.block").alias("y"), "odd").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("x.need", "y.need")).alias("need"))
+    # a signature that a link shares asks for no more than the link does, one that only others share may ask for more
+    both = both.groupBy(F.col("x.block").alias("x"), F.col("y.block").alias("y"), "odd").agg(F.count(F.lit(1)).alias("shared"), F.min(F.greatest("x.need", "y.need")).alias("need"))
     for end in ("x", "y"):
         both = both.join(heat.select(F.col("block").alias(end), "odd", F.col("hot").alias(f"hot_{end}")), [end, "odd"], "left")
     unseen = F.least(F.coalesce("hot_x", F.lit(0)), F.coalesce("hot_y", F.lit(0)))

@@ -187,6 +187,32 @@ def test_crowded_signatures(spark, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, c in before}
 
 
+def brute_components(rows, k, percent):
+    """doc_id -> least doc_id linked with it, of rows (doc_id, text) by comparing all pairs."""
+    sets, up = [(d, shingles(t, k)) for d, t in rows], {d: d for d, _ in rows}
+    for (a, s), (b, t) in itertools.combinations(sets, 2):
+        if s and t and 100 * len(s & t) >= percent * len(s | t) and up[a] != up[b]:
+            x, y = sorted((up[a], up[b]))
+            up = {d: x if r == y else r for d, r in up.items()}
+    return up
+
+
+def test_links_beside_a_shared_passage(spark, monkeypatch):
+    """Larger texts with a passage in common share signatures that ask for more than a link of smaller texts does."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 1200)
+    rng, texts, n = random.Random(1), [], 200
+    for family in range(3):
+        passage = [f"p{family}_{j}" for j in range(170)]
+        for i in range(30):
+            own = passage + [f"a{family}_{i}_{j}" for j in range(rng.randrange(n, 2 * n + 1) - len(passage))]
+            texts.append(" ".join(own))
+            if i % 3 == 0:
+                texts.append(" ".join(own + [f"b{family}_{i}_{j}" for j in range(len(own) * 15 // 85)]))
+    rows = list(enumerate(texts))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 1, 85)
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]
