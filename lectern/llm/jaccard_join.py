@@ -229,8 +229,13 @@ def tree_links(keys: list[int], sides: list[int], sets: list[np.ndarray], percen
     return [(keys[i], keys[j]) for i, j in dual_traversal(trees[0], trees[-1], percent, union)] if trees else []
 
 
+def _mark() -> Column:
+    return F.xxhash64(F.col("text").cast("string")).alias("mark")
+
+
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, key (of the class; null for an empty set), n, signatures and the least numbers shared by links.
+    """doc_id, mark (hash of the text), key (of the class; null for an empty set), n, signatures and the least numbers
+    shared by links.
 
     A task gives a class's signatures once, however many copies it meets.
     """
@@ -254,19 +259,23 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     sizes.append(len(s))
                 offsets = np.r_[0, np.cumsum([len(x) for x in sigs])].astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
-                yield pa.RecordBatch.from_arrays([ids[lo : lo + 2000], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), column, *(pa.array(x, pa.int64()) for x in zip(*needs))], ["doc_id", "key", "n", "sigs", "need0", "need1"])
+                yield pa.RecordBatch.from_arrays([ids[lo : lo + 2000], batch.column(2)[lo : lo + 2000], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), column, *(pa.array(x, pa.int64()) for x in zip(*needs))], ["doc_id", "mark", "key", "n", "sigs", "need0", "need1"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(read, "doc_id long, key long, n long, sigs array<long>, need0 long, need1 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _mark()).mapInArrow(read, "doc_id long, mark long, key long, n long, sigs array<long>, need0 long, need1 long")
 
 
 def _links(docs: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b (keys) of linked classes. met: doc_id, key and pairs: (pair, side) of each class to compare."""
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["key", "side"])
+        pdf = pdf.drop_duplicates(["key", "side", "text"])
         sets = [shingle_set(t, k) for t in pdf["text"]]
-        own = [i for i, (s, key) in enumerate(zip(sets, pdf["key"])) if len(s) and set_key(s) == key]
         keys, sides = pdf["key"].tolist(), pdf["side"].tolist()
+        first: dict[tuple[int, int], int] = {}
+        for i, s in enumerate(sets):
+            if len(s) and set_key(s) == keys[i]:  # an id may stand on other texts too
+                first.setdefault((keys[i], sides[i]), i)
+        own = list(first.values())
         return pd.DataFrame(tree_links([keys[i] for i in own], [sides[i] for i in own], [sets[i] for i in own], percent) if own else [], columns=["a", "b"], dtype="int64")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -330,6 +339,23 @@ def _meetings(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return met.join(classes, "key").select("key", F.col("rep").alias("doc_id"), "pairs")
 
 
+def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows, and key, component and first (the least doc_id and its mark) of each class."""
+    sets = settle(_sets(docs, k, percent), "jaccard-sets")
+    known = sets.filter("doc_id is not null and key is not null")
+    classes = known.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("first"), *[F.max(c).alias(c) for c in ("n", "need0", "need1")])
+    classes = classes.select("key", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "n", "need0", "need1")
+    same = Window.partitionBy("sig")
+    shared = known.select(F.explode("sigs").alias("sig"), "key").withColumn("first", F.min("key").over(same)).withColumn("last", F.max("key").over(same))
+    shared = settle(shared.filter("first != last").select("sig", "key", "first").distinct(), "jaccard-shared")  # by sig already: no shuffle
+    pairs = settle(_meetings(shared, classes.drop("mark"), percent), "jaccard-pairs")
+    links = settle(_links(docs, pairs, k, percent), "jaccard-links")
+    joined = components(links).select(F.col("node").alias("key"), "component")
+    grouped = classes.join(joined, "key", "left").select("key", "rep", "mark", F.coalesce("component", "key").alias("component"))
+    least = grouped.groupBy("component").agg(F.min(F.struct("rep", "mark")).alias("first"))
+    return sets, settle(grouped.join(least, "component").select("key", "component", "first"), "jaccard-components")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text; other columns are ignored).
 
@@ -338,28 +364,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     in no link and has a null component_id; repeated rows are documents of one class. An empty table gives an empty
     result. Sets compare by 64-bit hashes of their shingles.
     """
-    sets = settle(_sets(docs, k, percent), "jaccard-sets")
-    known = sets.filter("doc_id is not null and key is not null")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.max(c).alias(c) for c in ("n", "need0", "need1")])
-    same = Window.partitionBy("sig")
-    shared = known.select(F.explode("sigs").alias("sig"), "key").withColumn("first", F.min("key").over(same)).withColumn("last", F.max("key").over(same))
-    shared = settle(shared.filter("first != last").select("sig", "key", "first").distinct(), "jaccard-shared")  # by sig already: no shuffle
-    pairs = settle(_meetings(shared, classes, percent), "jaccard-pairs")
-    links = settle(_links(docs, pairs, k, percent), "jaccard-links")
-    joined = components(links).select(F.col("node").alias("key"), "component")
-    grouped = classes.join(joined, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = settle(grouped.join(least, "component").select("key", "component_id"), "jaccard-components")
-    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "key")
+    sets, classes = _classes(docs, k, percent)
+    rows, ids = sets.select("doc_id", F.col("n").alias("n_shingles"), "key"), classes.select("key", F.col("first.rep").alias("component_id"))
     return rows.join(ids, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without near duplicates: of each component the document with the least doc_id stays.
 
-    Rows that repeat a doc_id are one document. Rows with a null doc_id all stay.
+    Rows that repeat a doc_id and its text are one document; other texts of the id are judged by themselves. Rows with
+    a null doc_id all stay.
     """
-    keep = jaccard_components(docs, k, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    order = Window.partitionBy("doc_id").orderBy("text")
-    own = docs.filter("doc_id is not null").join(keep, F.col("doc_id") == F.col("_keep")).drop("_keep")
-    return own.withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row").unionByName(docs.filter("doc_id is null"))
+    sets, classes = _classes(docs, k, percent)
+    alone = sets.filter("doc_id is not null and key is null").select(F.col("doc_id").alias("_keep"), F.col("mark").alias("_kept_mark")).distinct()
+    keep = classes.select("component", "first").distinct().select(F.col("first.rep").alias("_keep"), F.col("first.mark").alias("_kept_mark")).unionByName(alone)
+    order = Window.partitionBy("doc_id", "_mark").orderBy("text")
+    own = docs.filter("doc_id is not null").withColumn("_mark", _mark())
+    own = own.join(keep, (F.col("doc_id") == F.col("_keep")) & (F.col("_mark") == F.col("_kept_mark"))).drop("_keep", "_kept_mark")
+    return own.withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row", "_mark").unionByName(docs.filter("doc_id is null"))

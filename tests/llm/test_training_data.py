@@ -213,6 +213,17 @@ def test_links_beside_a_shared_passage(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 1, 85)
 
 
+def test_one_id_on_two_texts(spark):
+    """Each text of an id links by itself and is kept or dropped by itself."""
+    one, other, third = ([f"{c}{i}" for i in range(60)] for c in "xyz")
+    rows = [(1, one), (1, other), (2, [*one, "end"]), (3, [*other, "end"]), (5, [*one, "stop"]), (5, third), (5, third)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = jaccard_join.jaccard_components(docs, 2, 80).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (5, 1), (5, 5), (5, 5)]
+    kept = jaccard_join.one_of_each(docs, 2, 80).collect()
+    assert sorted((r["doc_id"], r["text"][0]) for r in kept) == [(1, "x"), (1, "y"), (5, "z")]
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]
