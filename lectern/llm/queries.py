@@ -37,11 +37,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """page_id, url and bad: whether the document that the url's number names is labelled as of low quality or toxic.
+
+    Null without a label; several labels of a document are bad where one is.
+    """
+    low, toxic = F.coalesce(F.col("quality") == 0, F.lit(False)), F.coalesce(F.col("toxic") == 1, F.lit(False))
+    known = labels.filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.bool_or(low | toxic).alias("bad"))
+    number = F.expr("try_cast(nullif(regexp_extract(url, '^[^:]*://[^/?#]*/[^/?#]*/([0-9]+)', 1), '') as bigint)")
+    return pages.select("page_id", "url", number.alias("_id")).join(known.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict of every page's url by rules and learned path templates."""
+    """Verdict of every page's url by rules and path templates, learned from the labels of the documents shown."""
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+    pages = labelled_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return url_filter.filter_urls(pages, rules, F.col("bad")).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

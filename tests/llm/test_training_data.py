@@ -12,7 +12,7 @@ import pytest
 from conftest import SF, same_rows
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, components, decontaminate, html_text, jaccard_join, language, mixing, quality_model, quality_rules, token_counts, url_filter
+from lectern.llm import chat, components, decontaminate, html_text, jaccard_join, language, mixing, quality_model, quality_rules, queries, token_counts, url_filter
 from lectern.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -117,6 +117,16 @@ def test_templates_reject_by_purity(spark):
     assert got[400][1] == "block"
 
 
+def test_labels_reach_urls_without_rules(spark):
+    """A url's number names the document whose labels count; its template carries them to urls without a label."""
+    pages = spark.createDataFrame([(i, f"https://{'bad' if i % 2 else 'fine'}.test/en/{i}?x=1") for i in range(60)] + [(60, None), (61, "https://bad.test/en/" + "9" * 40)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(40)] + [(1, 1, 1)], "doc_id long, quality int, toxic int")
+    known = queries.labelled_pages(pages, labels)
+    assert {r["page_id"]: r["bad"] for r in known.collect()} == {i: bool(i % 2) if i < 40 else None for i in range(62)}
+    out = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(known, spark.createDataFrame([], "host string, path string, verdict string"), F.col("bad")).collect()}
+    assert out == {i: "block" if i % 2 and i != 60 else "allow" for i in range(62)}
+
+
 def test_min_cut_against_brute_force():
     rng = random.Random(5)
     for _ in range(60):
