@@ -2,7 +2,8 @@
 
 Paths from roots to leaves are found by iterative self-joins that double their reach: after k joins every node knows
 its ancestor 2^k steps up, and the leaves then collect their ancestors with as many joins again. Depth d takes
-2 log2(d) joins, and the rows held are the nodes plus the paths themselves.
+2 log2(d) joins of ids alone, each written to the shared folder; texts are joined once, to the finished paths. The rows
+held are the nodes plus the paths themselves. A path ends as one row, so the task that formats it holds that one path.
 """
 
 from __future__ import annotations
@@ -65,10 +66,11 @@ def reply_paths(nodes: DataFrame) -> DataFrame:
     nodes = settle(nodes, "chat-nodes")
     ups = _pointers(nodes)
     paths = nodes.select("tree", "node").join(nodes.select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
-    paths = paths.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
+    paths = settle(paths.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up")), "chat-paths")
     for k in reversed(range(len(ups))):
+        # each round is written: united with a join of itself, the plan would double
         higher = paths.join(ups[k].withColumnRenamed("up", "next"), ["tree", "node"])
-        paths = paths.unionByName(higher.select("tree", "leaf", F.col("next").alias("node"), (F.col("up") + 2**k).alias("up")))
+        paths = settle(paths.unionByName(higher.select("tree", "leaf", F.col("next").alias("node"), (F.col("up") + 2**k).alias("up"))), "chat-paths")
     whole = Window.partitionBy("tree", "leaf")
     rows = paths.join(nodes, ["tree", "node"]).withColumn("last", F.max("up").over(whole))
     rows = rows.withColumn("pos", F.col("last") - F.col("up"))
@@ -127,7 +129,11 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """What can be read back from formatted conversations, as digests: the round trip's check."""
+    """What can be read back from formatted conversations, as digests: the round trip's check.
+
+    conv_id has the type and value of tree_id, null too. A conversation without turns can't be (a path has a node); one
+    without trained turns has loss_chars 0 and the digest of the empty text.
+    """
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -137,6 +143,8 @@ def digests(conversations: DataFrame) -> DataFrame:
                 loss = "".join(unescape(text[x["start"] : x["end"]]) for x in spans)
                 whole = "".join(f"{role}\n{said}\n" for role, said in turns)
                 rows.append((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return conversations.select(F.col("tree_id").cast("long").alias("tree_id"), "formatted", "loss_spans").mapInPandas(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    kind = conversations.schema["tree_id"].dataType.simpleString()
+    out = conversations.select(F.col("tree_id").cast("string").alias("tree_id"), "formatted", "loss_spans").mapInPandas(digest, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return out.withColumn("conv_id", F.col("conv_id").cast(kind))
