@@ -45,11 +45,12 @@ def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
     low, toxic = F.coalesce(F.col("quality") == 0, F.lit(False)), F.coalesce(F.col("toxic") == 1, F.lit(False))
     known = labels.filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.bool_or(low | toxic).alias("bad"))
     number = F.expr("try_cast(nullif(regexp_extract(url, '^[^:]*://[^/?#]*/[^/?#]*/([0-9]+)', 1), '') as bigint)")
-    return pages.select("page_id", "url", number.alias("_id")).join(known.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
+    return pages.select("page_id", "url", number.alias("doc_id")).join(known, "doc_id", "left").drop("doc_id")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict of every page's url by rules and path templates, learned from the labels of the documents shown."""
+    """Verdict of every page's url by rules and path templates, learned from the rules' verdicts and, where no rule fits,
+    from the labels of the documents shown."""
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     pages = labelled_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
     return url_filter.filter_urls(pages, rules, F.col("bad")).select("page_id", "host", "path", "rule", "verdict", "template", "purity")

@@ -2,21 +2,23 @@
 
 Paths are generalised into templates: segments made of numbers or long codes become wildcards at once, and a position
 whose values hardly repeat becomes one too. Labels (true: bad) are counted per template; sibling branches whose bad
-shares do not differ beyond chance are merged; a branch is rejected when its smoothed purity and evidence are high.
+shares do not differ beyond chance are merged. A template is judged by its deepest ancestor, itself included, that has
+enough labels: it is rejected when that node's purity, smoothed along the way down from the host, is high.
 Only DataFrame functions: no Python runs on the executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import settle
 
-DEPTH = 4
 LEAST_VALUES, LEAST_NEW = 20, 0.3
 Z = 1.96
-STRENGTH, PURE, LEAST_LABELS = 2.0, 0.9, 5
+STRENGTH, PURE, LEAST_LABELS = 2.0, 0.8, 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CODE = r"^(?:[0-9]+|[0-9a-fA-F]{12,}|[0-9a-fA-F]{8}-[0-9a-fA-F-]{27})(\.[a-zA-Z]{1,5})?$"
 
@@ -30,7 +32,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls (host, path, others) with rule and rule_verdict, null where none fits.
+    """urls (host, path and one column `row` of all else) with rule and rule_verdict, null where none fits.
 
     rules: host, path, verdict (allow or block). A rule fits its host and all subdomains where the path starts with the
     rule's; the longest (host and path together) wins, block before allow between equals. Rules reach the rows through
@@ -43,93 +45,113 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     spread = hosts.select("host", F.explode(suffixes).alias("suffix"))
     own = spread.join(rules.select(F.col("host").alias("suffix"), "path", "verdict"), "suffix")
-    own = own.groupBy("host").agg(F.collect_list(F.struct(F.concat("suffix", "path").alias("rule"), F.col("path").alias("start"), "verdict")).alias("_rules"))
+    own = own.groupBy("host").agg(F.collect_list(F.struct(F.concat("suffix", "path").alias("rule"), F.col("path").alias("start"), "verdict")).alias("rules"))
     joined = urls.join(settle(own, "url-host-rules"), "host", "left")
-    fits = F.filter("_rules", lambda r: F.startswith(F.col("path"), r["start"]))
+    fits = F.filter("rules", lambda r: F.startswith(F.col("path"), r["start"]))
     best = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("n"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
-    return joined.withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("rule_verdict", F.col("_best.verdict")).drop("_rules", "_best")
+    return joined.withColumn("best", best).withColumn("rule", F.col("best.rule")).withColumn("rule_verdict", F.col("best.verdict")).drop("rules", "best")
 
 
 def shape(path: Column) -> Column:
-    """The path's segments joined by /: numbers and codes become *, what lies below DEPTH segments becomes **."""
+    """The path's segments joined by /: numbers and codes become *."""
     parts = F.array_remove(F.split(path, "/"), "")
-    parts = F.transform(parts, lambda x: F.when(x.rlike(_CODE), F.concat(F.lit("*"), F.regexp_extract(x, r"\.[a-zA-Z]{1,5}$", 0))).otherwise(x))
-    return F.array_join(F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts), "/")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(_CODE), F.concat(F.lit("*"), F.regexp_extract(x, r"\.[a-zA-Z]{1,5}$", 0))).otherwise(x)), "/")
 
 
-def _prefix(branch: str, d: int) -> Column:
-    return F.slice(branch, 1, d)
+def _replaced(branch: str, d: int, by: str) -> Column:
+    return F.transform(branch, lambda x, i: F.when(i == d, F.lit(by)).otherwise(x))
 
 
 def templates(labelled: DataFrame) -> DataFrame:
-    """Per host and shape its template's branch, with counts of urls and labels.
+    """host, shape, branch (the template's segments), and the numbers of urls n and of labels bad and good.
 
     labelled: host, shape, bad (boolean; null: no label). Counts are summed by host and shape before anything else, so
-    a host with most of the urls is a few rows from there on.
+    a host with most of the urls is a few rows from there on. From the first segment down, a position below which a
+    host's urls go on with many and hardly repeated values becomes a wildcard. A branch with too few shapes below it
+    for that is finished, so a round handles what may still be generalised and there is no greatest depth.
     """
     rows = labelled.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("bad")).alias("bad"), F.count_if(~F.col("bad")).alias("good"))
     rows = settle(rows.withColumn("branch", F.split("shape", "/")), "url-shapes")
-    for d in range(DEPTH):
-        at = F.get("branch", F.lit(d))
-        children = rows.filter(at.isNotNull()).groupBy("host", _prefix("branch", d).alias("parent"), at.alias("value")).agg(F.sum("n").alias("n"))
-        open_ = children.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"))
-        open_ = open_.filter((F.col("values") >= LEAST_VALUES) & (F.col("values") >= LEAST_NEW * F.col("n"))).select("host", "parent", F.lit(True).alias("open"))
-        joined = rows.withColumn("parent", _prefix("branch", d)).join(open_, ["host", "parent"], "left")
-        wild = F.transform("branch", lambda x, i: F.when(i == d, F.lit("*")).otherwise(x))
-        rows = settle(joined.withColumn("branch", F.when(F.col("open") & at.isNotNull(), wild).otherwise(F.col("branch"))).drop("parent", "open"), "url-branches")
-    return rows
-
-
-def merge_branches(rows: DataFrame) -> DataFrame:
-    """Merges siblings whose bad shares are alike, from the deepest position up.
-
-    Siblings are branches that differ in one segment only. Where several have labels, each of these is compared with all pooled:
-    within Z standard errors (and half a count) it joins the branch ``~``; others, and those without labels, stay.
+    finished, d = [], 0
+    while True:
+        at = rows.withColumn("parent", F.slice("branch", 1, d))
+        deeper = F.size("branch") > d
+        many = at.filter(deeper).groupBy("host", "parent").agg(F.count(F.lit(1)).alias("shapes")).filter(F.col("shapes") >= LEAST_VALUES)
+        at = settle(at.join(many, ["host", "parent"], "left").withColumn("live", deeper & F.col("shapes").isNotNull()), "url-live")
+        finished.append(at.filter("not live").select(rows.columns))
+        live = at.filter("live").withColumn("value", F.get("branch", F.lit(d)))
+        if live.isEmpty():
+            return functools.reduce(DataFrame.unionByName, finished)
+        values = live.groupBy("host", "parent", "value").agg(F.sum("n").alias("n"))
+        wide = values.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("urls"))
+        wide = wide.filter((F.col("values") >= LEAST_VALUES) & (F.col("values") >= LEAST_NEW * F.col("urls"))).select("host", "parent", F.lit(True).alias("wide"))
+        live = live.join(wide, ["host", "parent"], "left")
+        rows = settle(live.withColumn("branch", F.when(F.col("wide"), _replaced("branch", d, "*")).otherwise(F.col("branch"))).select(rows.columns), "url-branches")
+        d += 1
+
+
+def merge_branches(branches: DataFrame) -> DataFrame:
+    """branches (host, branch, bad, good; a row each) with `node`: the branch after merging.
+
+    Siblings are branches that differ in one segment only. From the deepest position up, where several siblings have
+    labels, each of these is compared with all pooled: within Z standard errors (and half a count) it joins the branch
+    ``~``; others, and those without labels, stay. Pools are sums by key that are joined back, so a host with very many
+    branches is no one task's.
     """
-    for d in reversed(range(DEPTH)):
-        one = Window.partitionBy("host", "branch")
-        rest = F.transform("branch", lambda x, i: F.when(i == d, F.lit("")).otherwise(x))
-        rows = rows.withColumns({"_bad": F.sum("bad").over(one), "_n": F.sum(F.col("bad") + F.col("good")).over(one), "_rest": rest})
-        kin = Window.partitionBy("host", "_rest")
-        labels, at = F.col("bad") + F.col("good"), F.when(F.col("_n") > 0, F.get("branch", F.lit(d)))
-        several = F.min(at).over(kin) != F.max(at).over(kin)
-        rows = rows.withColumn("_p", F.when(several, F.sum("bad").over(kin) / F.sum(labels).over(kin)))
-        near = F.abs(F.col("_bad") / F.col("_n") - F.col("_p")) <= Z * F.sqrt(F.col("_p") * (1 - F.col("_p")) / F.col("_n")) + 0.5 / F.col("_n")
-        merged = F.transform("branch", lambda x, i: F.when(i == d, F.lit("~")).otherwise(x))
-        rows = rows.withColumn("branch", F.when((F.size("branch") > d) & (F.col("_n") > 0) & F.coalesce(near, F.lit(False)), merged).otherwise(F.col("branch"))).drop("_bad", "_n", "_rest", "_p")
-    return rows
-
-
-def rejected(rows: DataFrame) -> DataFrame:
-    """host, shape, template, purity and rejected of every shape.
-
-    Purity is the bad share of a branch's labels, smoothed towards its host's, and that towards all labels' share,
-    with STRENGTH labels' weight each. A branch is rejected from PURE on, with LEAST_LABELS labels of its own at least.
+    known = settle(branches.filter("bad + good > 0").select("host", "branch", F.col("branch").alias("node"), "bad", "good"), "url-known")
+    for d in reversed(range(known.agg(F.coalesce(F.max(F.size("branch")), F.lit(0))).first()[0])):
+        own = known.filter(F.size("node") > d).groupBy("host", "node").agg(F.sum("bad").alias("b"), F.sum(F.col("bad") + F.col("good")).alias("n"))
+        own = own.withColumns({"kin": _replaced("node", d, ""), "value": F.get("node", F.lit(d))})
+        pool = own.groupBy("host", "kin").agg((F.sum("b") / F.sum("n")).alias("p"), (F.min("value") != F.max("value")).alias("several")).filter("several")
+        near = F.abs(F.col("b") / F.col("n") - F.col("p")) <= Z * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n")) + 0.5 / F.col("n")
+        alike = own.join(pool, ["host", "kin"]).filter(near).select("host", "node", _replaced("node", d, "~").alias("into"))
+        known = settle(known.join(alike, ["host", "node"], "left").select("host", "branch", F.coalesce("into", "node").alias("node"), "bad", "good"), "url-merged", known)
+    return branches.join(known.select("host", "branch", "node"), ["host", "branch"], "left").withColumn("node", F.coalesce("node", "branch"))
+
+
+def judged(branches: DataFrame) -> DataFrame:
+    """host, branch, template, purity and rejected of every branch (host, branch, node, bad, good).
+
+    A node of the tree is a host with the first segments of its branches. Its purity is the bad share of the labels
+    below it, smoothed towards its parent's (a host's towards the share of all labels) with STRENGTH labels' weight. A
+    branch takes the purity of the deepest node on its way that has LEAST_LABELS labels; from PURE on it is rejected.
+    Without such a node the purity is that of its own, smoothed all the way down, and it is not rejected.
     """
-    one, host, every = Window.partitionBy("host", "branch"), Window.partitionBy("host"), rows.agg((F.coalesce(F.sum("bad"), F.lit(0)) / F.greatest(F.coalesce(F.sum(F.col("bad") + F.col("good")), F.lit(0)), F.lit(1))).alias("_prior"))
-    per_host = rows.groupBy("host").agg(F.sum("bad").alias("_hb"), F.sum(F.col("bad") + F.col("good")).alias("_hn"))
-    r = rows.withColumns({"_b": F.sum("bad").over(one), "_n": F.sum(F.col("bad") + F.col("good")).over(one)})
-    r = r.join(per_host, "host").join(every)
-    base = (F.col("_hb") + STRENGTH * F.col("_prior")) / (F.col("_hn") + STRENGTH)
-    r = r.withColumn("purity", (F.col("_b") + STRENGTH * base) / (F.col("_n") + STRENGTH))
-    return r.select("host", "shape", F.concat(F.lit("/"), F.array_join("branch", "/")).alias("template"), "purity", ((F.col("purity") >= PURE) & (F.col("_n") >= LEAST_LABELS)).alias("rejected"))
+    prior = branches.agg((F.coalesce(F.sum("bad"), F.lit(0)) / F.greatest(F.coalesce(F.sum(F.col("bad") + F.col("good")), F.lit(0)), F.lit(1))).alias("p")).first()[0]
+    steps = branches.select("host", "node", "bad", "good").withColumn("k", F.explode(F.sequence(F.lit(0), F.size("node"))))
+    nodes = steps.groupBy("host", F.expr("slice(node, 1, k)").alias("prefix")).agg(F.sum("bad").alias("b"), F.sum(F.col("bad") + F.col("good")).alias("n"))
+    ways = branches.select("host", "node").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.size("node")))).withColumn("prefix", F.expr("slice(node, 1, k)"))
+    ways = ways.join(settle(nodes, "url-nodes"), ["host", "prefix"]).groupBy("host", "node").agg(F.sort_array(F.collect_list(F.struct("k", "b", "n"))).alias("way"))
+    start = F.struct(F.lit(float(prior)).alias("p"), F.lit(None).cast("double").alias("known"))
+
+    def down(state: Column, x: Column) -> Column:
+        p = (x["b"] + STRENGTH * state["p"]) / (x["n"] + STRENGTH)
+        return F.struct(p.alias("p"), F.when(x["n"] >= LEAST_LABELS, p).otherwise(state["known"]).alias("known"))
+
+    ways = ways.select("host", "node", F.aggregate("way", start, down).alias("end"))
+    rejected = F.coalesce(F.col("end.known") >= PURE, F.lit(False))
+    verdicts = ways.select("host", "node", F.concat(F.lit("/"), F.array_join("node", "/")).alias("template"), F.coalesce("end.known", "end.p").alias("purity"), rejected.alias("rejected"))
+    return branches.select("host", "branch", "node").join(verdicts, ["host", "node"]).select("host", "branch", "template", "purity", "rejected")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, bad: Column | None = None) -> DataFrame:
     """pages (url and others) with host, path, rule, template, purity and verdict; columns of these names are replaced.
 
-    bad: a boolean label of each page; without it the rules' own verdicts are the labels (blocked: bad), and the tree
-    carries them to urls that no rule fits. verdict: the rule's, else block where the template is rejected, else allow.
-    Null and malformed urls have an empty host and path, fit no rule and are judged like any other template; repeated
-    urls are judged each; empty tables give empty results.
+    Labels: a page with a rule is bad where the rule blocks it, any other has the boolean `bad`, if given (null: no
+    label). verdict: the rule's, else block where the tree rejects the url's template, else allow. Null and malformed
+    urls have an empty host and path, fit no rule and are judged like any other template; repeated urls are judged
+    each; empty tables give empty results.
     """
     host, path = host_and_path(F.col("url"))
-    urls = pages.drop("host", "path", "rule", "rule_verdict", "template", "purity", "verdict", "shape").withColumn("_h", host).withColumn("_p", path)
-    urls = urls.withColumnRenamed("_h", "host").withColumnRenamed("_p", "path")
-    if bad is not None:
-        urls = urls.withColumn("_label", bad)
-    urls = match_rules(urls, rules).withColumn("shape", shape(F.col("path")))
-    urls = settle(urls.withColumn("_bad", F.col("_label") if bad is not None else F.col("rule_verdict") == "block"), "url-matched")
-    tree = settle(rejected(merge_branches(templates(urls.select("host", "shape", F.col("_bad").alias("bad"))))), "url-tree")
-    out = urls.join(tree, ["host", "shape"], "left")
-    return out.withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))).drop("shape", "_bad", "_label", "rule_verdict", "rejected")
+    label = bad.cast("boolean") if bad is not None else F.lit(None).cast("boolean")
+    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "template", "purity", "verdict")]
+    urls = pages.select(F.struct(*keep).alias("row"), host.alias("host"), path.alias("path"), label.alias("label"))
+    urls = urls.select(F.struct("row", "label").alias("row"), "host", "path")
+    urls = settle(match_rules(urls, rules).withColumn("shape", shape(F.col("path"))), "url-matched")
+    label = F.coalesce(F.col("rule_verdict") == "block", F.col("row.label"))
+    shapes = settle(templates(urls.select("host", "shape", label.alias("bad"))), "url-templates")
+    branches = settle(shapes.groupBy("host", "branch").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "url-counts")
+    tree = judged(settle(merge_branches(branches), "url-tree"))
+    tree = settle(shapes.select("host", "shape", "branch").join(tree, ["host", "branch"]).drop("branch"), "url-verdicts")
+    verdict = F.coalesce("rule_verdict", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
+    return urls.join(tree, ["host", "shape"], "left").select("row.row.*", "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
