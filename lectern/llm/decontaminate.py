@@ -17,11 +17,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import settle, unused
+
 WORD = re.compile(r"\w+")
 ERROR_RATE = 0.12
-#: Words of a piece that are looked up at most; items with fewer than LEAST words count only as a whole document.
-PROBE, LEAST = 6, 6
-#: Characters of items in one broadcast; more items go in as many blocks, each held against all documents.
+#: Words of a piece by which it is looked up at most; the whole piece is compared at each place found.
+PROBE = 6
+#: Characters of items in one broadcast, about; more items go in as many blocks, one after another, each held against
+#: all documents.
 BLOCK_CHARS = 16_000_000
 RESULT = "array<struct<item_id:bigint,distance:int,start_word:int,end_word:int>>"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -62,17 +65,14 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str | None]], error_rate: float):
         self.vocab: dict[str, int] = {}
-        self.items, self.whole, pieces = [], {}, {}
+        self.items, pieces = [], {}
         for item_id, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or "")):
             found = [self.vocab.setdefault(w, len(self.vocab)) for w in read_words(text)]
             if not found:
                 continue
-            edits = int(error_rate * len(found)) if len(found) >= LEAST else 0
+            edits = min(int(error_rate * len(found)), len(found) - 1)
             number = len(self.items)
             self.items.append((item_id, found, edits))
-            if len(found) < LEAST:
-                self.whole.setdefault(tuple(found), []).append(number)
-                continue
             cuts = [len(found) * i // (edits + 1) for i in range(edits + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 pieces.setdefault(min(PROBE, b - a), []).append((number, a, b))
@@ -110,7 +110,7 @@ class Items:
                     _, item, edits = self.items[number]
                     if ids[p : p + b - a].tolist() == item[a:b]:
                         windows.setdefault(number, []).append((max(0, p - a - edits), min(len(ids), p - a + len(item) + edits)))
-        out = [(self.items[n][0], 0, 0, len(ids)) for n in self.whole.get(tuple(ids.tolist()), [])] if len(ids) < LEAST else []
+        out = []
         for number, spans in windows.items():
             item_id, item, edits = self.items[number]
             spans.sort()
@@ -131,8 +131,9 @@ class Items:
         return [dict(zip(("item_id", "distance", "start_word", "end_word"), x)) for x in sorted(out)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _ready(block: str, rows: tuple, error_rate: float) -> Items:
+    """The block that a worker is at: a stage reads one block, so that it is built once for each worker."""
     return Items(list(rows), error_rate)
 
 
@@ -148,24 +149,35 @@ def _column(text: Column, rows: Broadcast, name: str, error_rate: float) -> Colu
 def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """docs with leaks: the items that a text holds, with distance and place in words; other columns stay.
 
-    An item of n words is found where a stretch of the text is within floor(error_rate * n) word edits of it. Items
-    with fewer than LEAST words count where they are the whole text; items without words or id are left out; of items
-    with one text each is given. Null and empty texts hold nothing. The items are broadcast in blocks of a checked
-    size; every block is held against every document in the same narrow stage.
+    A column `leaks` of docs is replaced. An item of n words is found where a stretch of the text is within
+    floor(error_rate * n) word edits of it, so items of a few words where the text has just these. Of equal distances the
+    first place counts. Items without words or id are left out; of rows with one id and text each is given. Null and
+    empty texts hold nothing; repeated rows are judged each; empty tables give empty results and empty lists.
+
+    Items go through the driver in blocks of a bounded size, one after another: between two blocks the rows so far are
+    written to the shared folder. A benchmark of up to BLOCK_CHARS is one block, and then nothing is written.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
     blocks = 1 + chars // BLOCK_CHARS
-    out, names = docs.drop("leaks"), []
+    out, before = docs.drop("leaks").withColumn("leaks", F.array().cast(RESULT)), ()
+    (new,) = unused(out, "_leaks")
     for b in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = spark.sparkContext.broadcast(tuple((r[0], r[1]) for r in own.collect()))
-        names.append(f"_leaks_{b}")
-        out = out.withColumn(names[-1], _column(F.col("text").cast("string"), rows, uuid.uuid4().hex, error_rate))
-    return out.withColumn("leaks", F.flatten(F.array(*names))).drop(*names)
+        out = out.withColumn(new, _column(F.col("text").cast("string"), rows, uuid.uuid4().hex, error_rate))
+        out = out.withColumn("leaks", F.concat("leaks", new)).drop(new)
+        if b < blocks - 1:
+            out = settle(out, "leaks-block", *before)
+            before = (out,)
+            rows.destroy()
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
-    """docs without those that hold a test item."""
-    return leaks(docs, benchmark, error_rate).filter(F.size("leaks") == 0).drop("leaks")
+    """docs without those that hold a test item, with the columns that they have, one named `leaks` too."""
+    (own,) = unused(docs, "_own_leaks")
+    kept = docs.withColumnRenamed("leaks", own) if "leaks" in docs.columns else docs
+    found = leaks(kept, benchmark, error_rate).filter(F.size("leaks") == 0).drop("leaks")
+    return found.withColumnRenamed(own, "leaks").select(docs.columns)
