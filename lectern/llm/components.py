@@ -24,10 +24,10 @@ def components(links: DataFrame) -> DataFrame:
         least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = sym.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours are linked with the least of them
-        large = settle(large, "links-large")
+        large = settle(large, "links-large", edges)
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-        edges = settle(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links-small")
+        edges = settle(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links-small", large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break

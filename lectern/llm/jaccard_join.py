@@ -2,24 +2,25 @@
 
 1. Each text becomes the set of its shingles (64-bit hashes). Documents with one and the same set are a class, and only
    classes go on: copies cost a row, never a pair.
-2. Root level: sets whose Jaccard similarity reaches t differ in a bounded number of shingles D. Cut by hash into
-   D + 1 + e parts, at least e + 1 parts agree, so linked classes share the signature of a part, and one that is not
-   empty if either has at most e empty parts. Size bands keep D small. This is exact: no link is lost.
-3. Classes that share several signatures form families (components over star-shaped edges), which are dealt to blocks of
-   bounded size. A block meets itself and each block of fitting sizes that shares as many signatures as a link must
-   share. Signatures that very many blocks share are left out of that count; only blocks for which they might be all
-   that a link shares are compared by them, cut anew by size.
-4. In a block, a signature tree: its nodes hold the OR of their documents' token bitmaps and their range of sizes. A dual
-   traversal drops node pairs whose greatest possible overlap or size ratio is too small, or that are known to be
+2. All sets order their shingles alike: by hash, but those known as frequent last. Of two sets that link, a bounded number
+   of first shingles (the prefixes) must have so many in common. This is exact for any order that all sets share; the
+   counts of frequent shingles only keep passages that very many texts have out of the prefixes.
+3. In each group of classes with a prefix shingle in common, the class that has it at the first place is the hub. Every
+   class is compared with the hub that it shares most with, if that is as much as a link must share. The links found
+   make first components; groups that lie inside one component need no more work, so a large family of near copies is
+   settled by a star. Classes that share too little with all others together go too.
+4. What is left is dealt to blocks of bounded size by families (classes that share several shingles with a hub). Of a
+   block, and of two blocks, only those classes meet that share as much with the other block as a link must share.
+   Groups that very many blocks share are cut anew, by size.
+5. In a comparison, a signature tree: its nodes hold the OR of their documents' token bitmaps and their range of sizes. A
+   dual traversal drops node pairs whose greatest possible overlap or size ratio is too small, or that are known to be
    connected; at the leaves the sets themselves decide.
-5. The links make the components.
+6. All links make the components.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,16 +29,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import settle
+from lectern.llm.common import discard, settle
 from lectern.llm.components import components
 
-BAND = 1.5
 #: Shingles a block holds, about; a larger document is a block of its own.
 BLOCK = 60_000
-#: Signatures that tie a class to its family, and blocks of a signature beyond which it has blocks of its own.
+#: Percent of a set by which its prefix is longer than it must be, so that links share so much of their prefixes.
+EXTRA = 10
+#: Shingles that tie a class to its family, and blocks of a group beyond which it is cut anew.
 TIES, HOT = 3, 48
-#: Ids of documents to compare that are broadcast at most (32 MB), to leave other texts out before the shuffle.
-WANTED = 4_000_000
+#: Classes that a task compares with one hub.
+STAR = 500
+#: Frequent shingles that are told apart from others: found OFTEN times in a task and known for the whole, at most.
+OFTEN, FREQUENT = 3, 1_000_000
+#: Shingles that a task counts at a time.
+COUNTED = 4_000_000
+#: Shingles in the texts that a task compares, about.
+TASK = 1_500_000
+#: Bits of a filter for each key that it lets pass, and bits at most (64 MB).
+BITS, MOST_BITS = 16, 1 << 29
 #: Hashes of so many words are remembered by a worker (a cache: results don't depend on it).
 REMEMBERED = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -86,63 +96,18 @@ def least_overlap(total: int, percent: int) -> int:
     return -(-percent * total // (100 + percent))
 
 
-def _band(n: int) -> tuple[int, int]:
-    """The number of a size's band and its largest size; bands grow by the factor BAND."""
-    j = max(0, math.ceil(math.log(n) / math.log(BAND) - 1e-9))
-    while math.floor(BAND**j) < n:
-        j += 1
-    while j and math.floor(BAND ** (j - 1)) >= n:
-        j -= 1
-    return j, math.floor(BAND**j)
+def prefix(s: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set in the order of all sets: as many as a link can miss, and those that it then shares.
 
-
-@lru_cache(maxsize=1000)
-def _scheme(band: int, percent: int) -> tuple[int, int]:
-    """Parts, and empty parts to spare, for pairs of which the larger set is in a band.
-
-    Linked sets of at most `most` members differ in `differ` at most. The spare parts are as many as stay empty, by
-    chance, in the smallest set of such a pair.
+    The first m shingles that two sets have in common, with at least i in common, are among the first n - i + m of
+    either. s is sorted; frequent: sorted shingles and their counts.
     """
-    most, below = math.floor(BAND**band), math.floor(BAND ** (band - 1))
-    differ = 2 * most * (100 - percent) // (100 + percent)
-    if not differ:
-        return 0, 0  # only equal sets are linked
-    spare, least = 1, percent * (below + 1) / 100
-    while spare < differ // 3:
-        parts = differ + 1 + spare
-        empty = parts * math.exp(-least / parts)
-        if spare >= empty + 2 * math.sqrt(empty):
-            break
-        spare += 1
-    return differ + 1 + spare, spare
-
-
-def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
-    """Hashes of which any two linked, different sets share some, and how many at least: of the even and the odd ones.
-
-    A set has the schemes of its own band and of the next; the lowest bit of a hash is that of its band's number.
-    """
-    n = len(s)
-    j, top = _band(n)
-    out, need = [np.zeros(0, dtype=np.uint64)], [1, 1]
-    for b in (j, j + 1):
-        if b > j and 100 * n < percent * (top + 1):
-            continue  # too small to be linked with a set of the next band
-        parts, spare = _scheme(b, percent)
-        if not parts:
-            continue
-        part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])  # s is sorted: parts lie one after another
-        salt = mix(np.full(1, b, dtype=np.uint64) * _MIX[0])
-        label = mix(part[starts] + salt)
-        own = [mix(np.add.reduceat(mix(s ^ np.uint64(b * 1000003 + 17)), starts) + label)]
-        if parts - len(starts) > spare:
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts])
-            own.append(mix(mix(empty + salt) ^ _MIX[2]))
-        out += [x >> np.uint64(1) << np.uint64(1) | np.uint64(b & 1) for x in own]
-        largest = min(math.floor(BAND**b), 100 * n // percent)
-        need[b & 1] = max(1, len(starts) - (n + largest) * (100 - percent) // (100 + percent))
-    return np.concatenate(out), need
+    n = len(s) - -(-percent * len(s) // 100) + max(1, len(s) * EXTRA // 100)
+    keys, counts = frequent
+    if not len(keys):
+        return s[:n]
+    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+    return s[np.argsort(np.where(keys[at] == s, counts[at], 0), kind="stable")[:n]]
 
 
 class _Union:
@@ -219,9 +184,14 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, percent: int, union: _Uni
     return out
 
 
-def tree_links(keys: list[int], sides: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked among the documents of one block (side 0 only) or between two blocks."""
-    union = _Union(len(keys))
+def tree_links(keys: list[int], sides: list[int], sets: list[np.ndarray], percent: int, known: list[int]) -> list[tuple[int, int]]:
+    """Links that connect what is linked among the documents of one block (side 0 only) or between two blocks.
+
+    known: the component that each is in already; links inside one are left out.
+    """
+    union, first = _Union(len(keys)), {}
+    for i, c in enumerate(known):
+        union.join(first.setdefault(c, i), i)
     bits = 64
     while bits < min(4 * max(map(len, sets)), 1 << 16):
         bits *= 2
@@ -233,127 +203,304 @@ def _mark() -> Column:
     return F.xxhash64(F.col("text").cast("string")).alias("mark")
 
 
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _mark())
+
+
+def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many different sets have, sorted, and how many about; FREQUENT at most.
+
+    Every text counts. A task counts its own sets and gives the shingles found OFTEN times, which are summed.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        known, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        held, size = [], 0
+
+        def add() -> None:
+            nonlocal known, counts, held, size
+            own, n = np.unique(np.concatenate([known, *held]), return_counts=True)
+            n[np.searchsorted(own, known)] += counts - 1
+            keep = n > 1 if len(own) > COUNTED else slice(None)  # so memory stays bounded: these are rare
+            known, counts, held, size = own[keep], n[keep], [], 0
+
+        for batch in batches:
+            for mark, text in zip(batch.column(1).to_pylist(), batch.column(0)):
+                if mark not in seen:
+                    seen.add(mark)
+                    held.append(shingle_set(text.as_py(), k))
+                    size += len(held[-1])
+                    if size > COUNTED:
+                        add()
+        add()
+        often = counts >= OFTEN
+        yield pa.RecordBatch.from_arrays([pa.array(known[often].view(np.int64)), pa.array(counts[often])], ["shingle", "n"])
+
+    rows = _read(docs).select("text", "mark").mapInArrow(count, "shingle long, n long")
+    top = rows.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > 2 * OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
+    keys, counts = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, mark (hash of the text), key (of the class; null for an empty set), n, signatures and the least numbers
-    shared by links.
+    """doc_id, mark (hash of the text), key (of the class; null for an empty set), n and the prefix of the class.
 
-    A task gives a class's signatures once, however many copies it meets.
+    A task gives a class's prefix once, however many copies it meets.
     """
+    order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for lo in range(0, len(ids), 2000):
-                keys, sizes, sigs, needs = [], [], [], []
+                keys, sizes, firsts = [], [], []
                 for doc, text in zip(ids[lo : lo + 2000].to_pylist(), texts[lo : lo + 2000].to_pylist()):
                     s = shingle_set(text, k)
                     key = set_key(s) if len(s) else None
                     new = doc is not None and key is not None and key not in seen
-                    own, need = signatures(s, percent) if new else (np.zeros(0, dtype=np.uint64), [None, None])
-                    sigs.append(own.view(np.int64))
-                    needs.append(need)
+                    firsts.append(prefix(s, percent, order.value).view(np.int64) if new else np.zeros(0, dtype=np.int64))
                     if new:
                         seen.add(key)
                     keys.append(key)
                     sizes.append(len(s))
-                offsets = np.r_[0, np.cumsum([len(x) for x in sigs])].astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
-                yield pa.RecordBatch.from_arrays([ids[lo : lo + 2000], batch.column(2)[lo : lo + 2000], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), column, *(pa.array(x, pa.int64()) for x in zip(*needs))], ["doc_id", "mark", "key", "n", "sigs", "need0", "need1"])
+                offsets = np.r_[0, np.cumsum([len(x) for x in firsts])].astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts)))
+                yield pa.RecordBatch.from_arrays([ids[lo : lo + 2000], batch.column(2)[lo : lo + 2000], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), column], ["doc_id", "mark", "key", "n", "prefix"])
+
+    return _read(docs).mapInArrow(read, "doc_id long, mark long, key long, n long, prefix array<long>")
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A map of bits, one set for each of the keys (one column of whole numbers): BITS for each key, MOST_BITS at most.
+
+    Its size is bounded at any scale, and so is what reaches the driver; with more keys it only lets more others pass.
+    """
+    n, size = keys.count(), 1 << 20
+    while size < min(BITS * n, MOST_BITS):
+        size *= 2
+    at = F.pmod(F.xxhash64(keys.columns[0]), F.lit(size))
+    words = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("word")).agg(F.bitmap_construct_agg((F.col("at") % 32768).cast("long")).alias("bits"))
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for r in words.toLocalIterator():
+        out[r["word"] * 4096 : (r["word"] + 1) * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def _passes(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    at = hashed % (len(bits) * 8)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _able(known: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """key, n, room and prefix of classes that may share enough of their prefixes with others, each once.
+
+    shared: shingles that several prefixes have. prefix keeps what is among them (and few others), room the members from
+    each place on. All is done row by row, before anything is shuffled.
+    """
+    bits = known.sparkSession.sparkContext.broadcast(_bitmap(shared))
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n, first, hashed = (batch.column(i) for i in range(4))
+            size = np.diff(first.offsets.to_numpy()).astype(np.int64)
+            n, values = n.to_numpy(), first.flatten().to_numpy()
+            row = np.repeat(np.arange(len(n)), size)
+            room = n[row] - (np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size))
+            ok = _passes(bits.value, hashed.flatten().to_numpy())
+            count, most = np.bincount(row[ok], minlength=len(n)), np.zeros(len(n), dtype=np.int64)
+            np.maximum.at(most, row[ok], room[ok])
+            kept = -(-n * percent // 100)
+            able = (count >= np.maximum(1, kept * EXTRA // 100)) & (most >= kept)
+            use = ok & able[row]
+            offsets = pa.array(np.r_[0, np.cumsum(np.bincount(row[use], minlength=len(n))[able])].astype(np.int32))
+            columns = [pa.ListArray.from_arrays(offsets, pa.array(x[use])) for x in (room, values)]
+            yield pa.RecordBatch.from_arrays([keys.filter(pa.array(able)), pa.array(n[able]), *columns], ["key", "n", "room", "prefix"])
+
+    rows = known.select("key", "n", "prefix", F.transform("prefix", lambda x: F.xxhash64(x)).alias("hashed")).filter(F.size("prefix") > 0)
+    rows = rows.mapInArrow(select, "key long, n long, room array<long>, prefix array<long>")
+    return rows.groupBy("key").agg(F.min(F.struct("n", "room", "prefix")).alias("x")).select("key", "x.*")
+
+
+def _overlap(total: Column, percent: int) -> Column:
+    """least_overlap() of a column."""
+    return F.ceil(total * percent / (100 + percent))
+
+
+def _kept(n: Column, percent: int) -> Column:
+    """Members that a set of n has in common with any that it links with, at least; the size of these at least too."""
+    return F.ceil(n * percent / 100)
+
+
+def _needed(n: Column, percent: int) -> Column:
+    """Prefix shingles that a set of n shares with any that it links with, at least: as many as for the smallest of these."""
+    return F.greatest(F.lit(1), F.floor(_kept(n, percent) * EXTRA / 100))
+
+
+def _groups(known: DataFrame, percent: int) -> DataFrame:
+    """shingle, key, n, room (members from its place on) and hub of prefix shingles that several classes have, each once.
+
+    room is what an overlap can be at most if the shingle is the first in common. Classes that share too little of their
+    prefixes are left out before anything but counts is shuffled.
+    """
+    twice = settle(known.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle"), "jaccard-twice")
+    able = settle(_able(known, twice, percent), "jaccard-able", twice)
+    rows = able.select("key", "n", F.explode(F.arrays_zip("prefix", "room")).alias("x")).select(F.col("x.prefix").alias("shingle"), "key", "n", F.col("x.room").alias("room"))
+    hubs = rows.groupBy("shingle").agg(F.min(F.struct(F.col("n") - F.col("room"), "key"))["key"].alias("hub"), F.min("key").alias("low"), F.max("key").alias("high"))
+    return settle(rows.join(hubs.filter("low != high").select("shingle", "hub"), "shingle"), "jaccard-groups", able)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _mark()).mapInArrow(read, "doc_id long, mark long, key long, n long, sigs array<long>, need0 long, need1 long")
 
+def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, n and text of each class; classes: key, n, rep (a document of the class) and mark (its text's hash), settled.
+
+    Other texts are left out before the shuffle.
+    """
+    rows = _among(_read(docs).filter("doc_id is not null"), "doc_id", classes.select("rep"))
+    one = classes.select("key", "n", F.col("rep").alias("doc_id"), "mark")
+    return rows.join(one, ["doc_id", "mark"]).groupBy("doc_id", "mark", "key", "n").agg(F.min("text").alias("text")).select("key", "n", "text")
 
-def _links(docs: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b (keys) of linked classes. met: doc_id, key and pairs: (pair, side) of each class to compare."""
+
+def _compare(texts: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b (keys) of linked classes. met: key and meets, the (pair, side) of each comparison; texts: key, n, component, text.
+
+    A task takes many pairs of blocks, as most are small.
+    """
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["key", "side", "text"])
-        sets = [shingle_set(t, k) for t in pdf["text"]]
-        keys, sides = pdf["key"].tolist(), pdf["side"].tolist()
-        first: dict[tuple[int, int], int] = {}
-        for i, s in enumerate(sets):
-            if len(s) and set_key(s) == keys[i]:  # an id may stand on other texts too
-                first.setdefault((keys[i], sides[i]), i)
-        own = list(first.values())
-        return pd.DataFrame(tree_links([keys[i] for i in own], [sides[i] for i in own], [sets[i] for i in own], percent) if own else [], columns=["a", "b"], dtype="int64")
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if met.count() <= WANTED:  # else all texts are shuffled: the result is the same
-        texts = texts.join(F.broadcast(met.select("doc_id")), "doc_id", "left_semi")
-    rows = met.join(texts, "doc_id").select(F.explode("pairs").alias("p"), "key", "text").select("p.pair", "p.side", "key", "text")
-    return rows.groupBy("pair").applyInPandas(links, "a long, b long")
+        out, sets = [], {}
+        for _, own in pdf.groupby("pair", sort=True):
+            own = own.drop_duplicates(["key", "side"])
+            keys = own["key"].tolist()
+            for key, text in zip(keys, own["text"]):
+                if key not in sets:
+                    sets[key] = shingle_set(text, k)
+            out += tree_links(keys, own["side"].tolist(), [sets[x] for x in keys], percent, own["component"].tolist())
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    rows = met.join(texts, "key").select(F.explode("meets").alias("m"), "key", "n", "component", "text")
+    total = met.join(texts.select("key", "n"), "key").agg(F.coalesce(F.sum(F.size("meets") * F.col("n")), F.lit(0))).first()[0]
+    task = F.pmod(F.xxhash64("m.pair"), F.lit(1 + total // TASK)).alias("task")
+    return rows.select(task, "m.pair", "m.side", "key", "component", "text").groupBy("task").applyInPandas(links, "a long, b long")
+
+
+def _stars(groups: DataFrame, percent: int) -> DataFrame:
+    """key and meets: each class meets the hub that it shares most with; a hub meets its classes in parts of about STAR."""
+    ties = groups.filter("key != hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n")).filter(F.col("shared") >= _needed(F.col("n"), percent))
+    best = ties.groupBy("key").agg(F.max(F.struct("shared", "hub"))["hub"].alias("hub"))
+    best = settle(best, "jaccard-best")
+    parts = best.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts"))
+    meet = lambda hub, part, side: F.struct(F.xxhash64(hub, part).alias("pair"), F.lit(side).alias("side"))
+    spokes = best.join(parts, "hub").select("key", meet("hub", F.pmod(F.xxhash64("key"), "parts"), 1).alias("m"))
+    hubs = parts.select(F.col("hub").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "hub").select("key", meet("hub", F.col("part"), 0).alias("m"))
+    return spokes.unionByName(hubs).groupBy("key").agg(F.collect_list("m").alias("meets"))
 
 
 def _fits(percent: int) -> Column:
-    """Whether the size ranges of blocks x and y allow a link."""
-    return (F.col("x.high") * 100 >= F.col("y.low") * percent) & (F.col("y.high") * 100 >= F.col("x.low") * percent)
+    """Whether sizes and components of x and y, the members of two blocks that share a shingle, allow a new link."""
+    sizes = (F.col("x.high") * 100 >= F.col("y.low") * percent) & (F.col("y.high") * 100 >= F.col("x.low") * percent)
+    one = (F.col("x.from") == F.col("x.to")) & (F.col("y.from") == F.col("y.to")) & (F.col("x.from") == F.col("y.from"))
+    return sizes & ~one
+
+
+def _among(rows: DataFrame, name: str, keys: DataFrame) -> DataFrame:
+    """rows whose column `name` is among keys (settled), and few others; no row is shuffled."""
+    bits = rows.sparkSession.sparkContext.broadcast(_bitmap(keys))
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_passes(bits.value, batch.column(batch.num_columns - 1).to_numpy())))
+
+    hashed = rows.withColumn("hashed", F.xxhash64(name))
+    return hashed.mapInArrow(select, hashed.schema).drop("hashed")
+
+
+def _open(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (shingle, key, component and others, settled) of groups of several components and of classes that still can
+    link, and few others.
+
+    A class must share as many shingles of its prefix with other components as a link does, one at a place with room.
+    Classes that go make groups smaller, so this is done twice.
+    """
+    for _ in range(2):
+        apart = rows.groupBy("shingle").agg(F.min("component").alias("from"), F.max("component").alias("to")).filter(F.col("from") != F.col("to")).select("shingle")
+        apart = settle(apart, "jaccard-apart")
+        rows = settle(_among(rows, "shingle", apart), "jaccard-open", rows, apart)
+        able = rows.groupBy("key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("shared"), F.max("room").alias("room"))
+        able = settle(able.filter((F.col("shared") >= _needed(F.col("n"), percent)) & (F.col("room") >= _kept(F.col("n"), percent))).select("key"), "jaccard-can")
+        rows = settle(_among(rows, "key", able), "jaccard-open", rows, able)
+    return rows
 
 
-def _meetings(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """key, doc_id and pairs: the (pair, side) of every comparison of blocks that a class takes part in.
+def _meetings(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """key and meets: the (pair, side) of every comparison of blocks that a class takes part in.
 
-    shared: sig, key and first (the least key with the sig) of signatures that several classes have, each once. It is the
-    large table here: it goes through shuffles without columns that a class's own row has.
+    groups: as _groups() gives them; classes: key, n and component so far. Groups inside one component are left out.
     """
-    ties = shared.groupBy("first", "key").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= TIES) & (F.col("first") != F.col("key")))
-    families = components(ties.select(F.col("first").alias("a"), F.col("key").alias("b")))
-    members = shared.select("key").distinct().join(classes.drop("rep"), "key").join(families, F.col("key") == F.col("node"), "left").select("key", "n", "need0", "need1", F.coalesce("component", "key").alias("family"))
+    rows = _open(settle(groups.join(classes.select("key", "component"), "key"), "jaccard-known"), percent)
+    ties = rows.filter("key != hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= TIES)
+    families = components(ties.select(F.col("hub").alias("a"), F.col("key").alias("b")))
+    members = rows.select("key", "n").distinct().join(families, F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce(families["component"], "key").alias("family"))
     members = settle(members, "jaccard-families")
     large = members.groupBy("family").agg(F.sum("n").alias("all")).filter(F.col("all") > BLOCK).select("family", F.ceil(F.col("all") / BLOCK).alias("blocks"))
     part = F.when(F.col("blocks").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("key"), "blocks"))
-    dealt = settle(members.join(large, "family", "left").select("key", "n", "need0", "need1", F.xxhash64("family", part).alias("block")), "jaccard-dealt")
-    odd = F.pmod("sig", F.lit(2)).alias("odd")
-    rows = shared.select("sig", "key").join(dealt, "key").withColumn("need", F.when(odd == 0, F.col("need0")).otherwise(F.col("need1")))
-    at = rows.groupBy("sig", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("need").alias("need"))
-    at = at.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("sig"))).filter("met > 1")
-    # one row a signature, of up to HOT blocks; of signatures that more blocks share, a row for each block
-    at = at.groupBy("sig", F.when(F.col("met") > HOT, F.col("block")).alias("alone")).agg(F.collect_list(F.struct("block", "low", "high", "need")).alias("blocks"))
-    at = settle(at.select("sig", odd, F.col("alone").isNotNull().alias("is_hot"), "blocks"), "jaccard-met")
-    # how many of a block's signatures very many blocks share; links that share others too are found by these
-    hot = at.filter("is_hot").select("sig", "odd", F.explode("blocks").alias("b")).select("sig", "odd", "b.block", "b.need")
-    heat = settle(hot.groupBy("block", "odd").agg(F.count(F.lit(1)).alias("hot"), F.min("need").alias("need")), "jaccard-heat")
-
-    def sides(meet: DataFrame, own: DataFrame) -> DataFrame:
-        pair = F.xxhash64("x", "y").alias("pair")
-        each = meet.select(F.col("x").alias("block"), pair, F.lit(0).alias("side")).unionByName(meet.filter("x != y").select(F.col("y").alias("block"), pair, F.lit(1).alias("side")))
-        return own.select("block", "key").join(each, "block").select("key", F.struct("pair", "side").alias("p"))
-
-    both = at.filter("not is_hot").select("odd", "blocks", F.explode("blocks").alias("x")).select("odd", "x", F.explode("blocks").alias("y")).filter((F.col("x.block") < F.col("y.block")) & _fits(percent))
-    # a signature that a link shares asks for no more than the link does, one that only others share may ask for more
-    both = both.groupBy(F.col("x.block").alias("x"), F.col("y.block").alias("y"), "odd").agg(F.count(F.lit(1)).alias("shared"), F.min(F.greatest("x.need", "y.need")).alias("need"))
-    for end in ("x", "y"):
-        both = both.join(heat.select(F.col("block").alias(end), "odd", F.col("hot").alias(f"hot_{end}")), [end, "odd"], "left")
-    unseen = F.least(F.coalesce("hot_x", F.lit(0)), F.coalesce("hot_y", F.lit(0)))
-    across = both.filter(F.col("shared") >= F.col("need") - unseen).select("x", "y").distinct()
-    inside = dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("block").alias("x"), F.col("block").alias("y"))
-    # links that may share hot signatures only: the blocks in question are cut anew, by size
-    crowded = settle(hot.join(heat.filter("hot >= need").select("block", "odd"), ["block", "odd"]).select("sig", "block"), "jaccard-crowded")
-    upto = Window.partitionBy("sig").orderBy("n", "key").rowsBetween(Window.unboundedPreceding, 0)
-    cut = shared.select("sig", "key").join(crowded.select("sig").distinct(), "sig").join(dealt.select("key", "n", "block"), "key").join(crowded, ["sig", "block"]).select("sig", "key", "n")
-    cut = settle(cut.withColumn("block", F.xxhash64("sig", F.floor(F.sum("n").over(upto) / BLOCK), F.lit("hot"))), "jaccard-hot")
-    spans = cut.groupBy("sig", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    crowd = spans.alias("x").join(spans.alias("y"), "sig").filter((F.col("x.block") <= F.col("y.block")) & _fits(percent)).select(F.col("x.block").alias("x"), F.col("y.block").alias("y"))
-    met = sides(across.unionByName(inside), dealt).unionByName(sides(crowd, cut))
-    met = met.groupBy("key").agg(F.collect_list("p").alias("pairs"))
-    return met.join(classes, "key").select("key", F.col("rep").alias("doc_id"), "pairs")
+    dealt = settle(members.join(large, "family", "left").select("key", F.xxhash64("family", part).alias("block")), "jaccard-dealt", members)
+    rows = settle(rows.join(dealt, "key"), "jaccard-placed", rows, dealt)
+
+    at = rows.groupBy("shingle", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("from"), F.max("component").alias("to"))
+    at = settle(at.join(at.groupBy("shingle").agg(F.count(F.lit(1)).alias("met")), "shingle"), "jaccard-met")
+    few = at.filter(F.col("met") <= HOT).groupBy("shingle").agg(F.collect_list(F.struct("block", "low", "high", "from", "to")).alias("blocks"))
+    both = few.select("shingle", "blocks", F.explode("blocks").alias("x")).select("shingle", "x", F.explode("blocks").alias("y")).filter((F.col("x.block") <= F.col("y.block")) & _fits(percent))
+    both = both.select("shingle", F.col("x.block").alias("x"), F.col("y.block").alias("y"))
+    meet = lambda i, *salt: F.struct(F.xxhash64("x", "y", *salt).alias("pair"), F.lit(i).alias("side")).alias("m")
+    ends = both.select("shingle", F.col("x").alias("block"), meet(0)).unionByName(both.filter("x != y").select("shingle", F.col("y").alias("block"), meet(1)))
+    # groups in very many blocks aren't counted: what a class has of these may be shared besides
+    hot = settle(rows.join(at.filter(F.col("met") > HOT).select("shingle").distinct(), "shingle").select("shingle", "key", "n", "room", "component"), "jaccard-hot")
+    heat = hot.groupBy("key").agg(F.count(F.lit(1)).alias("hot"))
+    seen = rows.select("shingle", "block", "key", "n", "room").join(ends, ["shingle", "block"]).groupBy("key", "m").agg(F.max("n").alias("n"), F.max("room").alias("room"), F.count(F.lit(1)).alias("shared")).join(heat, "key", "left")
+    enough = F.col("shared") >= _needed(F.col("n"), percent) - F.coalesce("hot", F.lit(0))
+    across = seen.filter(enough & (F.col("hot").isNotNull() | (F.col("room") >= _kept(F.col("n"), percent)))).select("key", "m")
+
+    # links that may share such groups only: these are cut anew by size, so that only parts of fitting sizes meet
+    crowd = hot.join(heat, "key").filter(F.col("hot") >= _needed(F.col("n"), percent)).drop("hot")
+    crowd = crowd.withColumn("step", (F.log(F.col("n").cast("double")) / F.log(F.lit(101.0 / percent))).cast("long"))
+    wide = crowd.groupBy("shingle", "step").agg(F.ceil(F.sum("n") / BLOCK).alias("cuts"))
+    cut = crowd.join(wide, ["shingle", "step"]).withColumn("block", F.xxhash64("shingle", "step", F.pmod(F.xxhash64("key"), "cuts")))
+    cut = settle(cut.select("shingle", "key", "n", "room", "component", "block"), "jaccard-cut")
+    spans = settle(cut.groupBy("shingle", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room"), F.min("component").alias("from"), F.max("component").alias("to")), "jaccard-spans")
+    x, y = spans.alias("x"), spans.alias("y")
+    room = F.least("x.room", "y.room") >= _overlap(F.col("x.low") + F.col("y.low"), percent)
+    pairs = x.join(y, "shingle").filter((F.col("x.block") <= F.col("y.block")) & _fits(percent) & room).select(F.col("x.block").alias("x"), F.col("y.block").alias("y"))
+    each = pairs.select(F.col("x").alias("block"), meet(0, F.lit("cut"))).unionByName(pairs.filter("x != y").select(F.col("y").alias("block"), meet(1, F.lit("cut"))))
+    crowded = cut.select("block", "key").join(each, "block").select("key", "m")
+    return settle(across.unionByName(crowded).groupBy("key").agg(F.collect_list("m").alias("meets")), "jaccard-meets", rows, at, hot, cut, spans)
+
+
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes with component: the least key reachable by links."""
+    found = components(links).select(F.col("node").alias("key"), F.col("component").alias("found"))
+    return classes.drop("component").join(found, "key", "left").withColumn("component", F.coalesce("found", "key")).drop("found")
 
 
 def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows, and key, component and first (the least doc_id and its mark) of each class."""
     sets = settle(_sets(docs, k, percent), "jaccard-sets")
     known = sets.filter("doc_id is not null and key is not null")
-    classes = known.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("first"), *[F.max(c).alias(c) for c in ("n", "need0", "need1")])
-    classes = classes.select("key", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "n", "need0", "need1")
-    same = Window.partitionBy("sig")
-    shared = known.select(F.explode("sigs").alias("sig"), "key").withColumn("first", F.min("key").over(same)).withColumn("last", F.max("key").over(same))
-    shared = settle(shared.filter("first != last").select("sig", "key", "first").distinct(), "jaccard-shared")  # by sig already: no shuffle
-    pairs = settle(_meetings(shared, classes.drop("mark"), percent), "jaccard-pairs")
-    links = settle(_links(docs, pairs, k, percent), "jaccard-links")
-    joined = components(links).select(F.col("node").alias("key"), "component")
-    grouped = classes.join(joined, "key", "left").select("key", "rep", "mark", F.coalesce("component", "key").alias("component"))
+    classes = settle(known.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.max("n").alias("n")).select("key", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "n"), "jaccard-classes")
+    groups = _groups(known, percent)
+    some = settle(classes.join(groups.select("key").distinct(), "key"), "jaccard-some")
+    texts = settle(_texts(docs, some), "jaccard-texts")
+    met = settle(_stars(groups, percent), "jaccard-star-meets")
+    stars = settle(_compare(texts.withColumn("component", F.col("key")), met, k, percent), "jaccard-stars", met)
+    some = settle(_joined(some, stars).select("key", "n", "component"), "jaccard-starred", some)
+    met = _meetings(groups, some, percent)
+    links = settle(_compare(texts.join(some.select("key", "component"), "key"), met, k, percent).unionByName(stars), "jaccard-links")
+    grouped = _joined(classes, links)
     least = grouped.groupBy("component").agg(F.min(F.struct("rep", "mark")).alias("first"))
-    return sets, settle(grouped.join(least, "component").select("key", "component", "first"), "jaccard-components")
+    out = settle(grouped.join(least, "component").select("key", "component", "first"), "jaccard-components")
+    discard(groups, texts, stars, some, met, links, classes)
+    return sets, out
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

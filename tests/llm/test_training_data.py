@@ -47,10 +47,19 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(chat.conversation_nodes(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
-def test_deep_conversation(spark):
-    rows = [(1, i, "user", str(i)) for i in range(70)]
-    out = chat.digests(chat.format_conversations(chat.conversation_nodes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).first()
-    assert out["turns_sha256"] == hashlib.sha256("".join(f"user\n{i}\n" for i in range(70)).encode()).hexdigest()
+@pytest.mark.parametrize("depth", [70, 2500])
+def test_deep_conversation(spark, depth):
+    rows = [(1, i, "user", str(i), "mine") for i in range(depth)] + [(2, 0, "user", "short", "mine")]
+    out = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(chat.conversation_nodes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")))).collect()}
+    assert out[1]["turns_sha256"] == hashlib.sha256("".join(f"user\n{i}\n" for i in range(depth)).encode()).hexdigest()
+    assert out[1]["n_turns"] == depth and out[2]["n_turns"] == 1 and out[1]["loss_chars"] == 0
+
+
+def test_named_trees(spark):
+    """Ids need not be numbers, and the digests keep them."""
+    rows = [("t", 1, None, "user", "hi", 0.0), ("t", 2, 1, "assistant", "a", 1.0), (None, 1, None, "user", None, None)]
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.digests(chat.format_conversations(spark.createDataFrame(rows, "tree_id string, node_id long, parent_id long, role string, text string, score double"))).collect()}
+    assert got == {"t": (2, 1), None: (1, 0)}
 
 
 def counts(text):
@@ -90,11 +99,34 @@ def test_tokens_as_the_library(spark):
         assert r["n_bytes"] == len((r["text"] or "").encode())
 
 
-def test_long_merge_is_the_same():
+def one_by_one(m, token):
+    """The library's order of merges: the lowest rank first, the leftmost of equals, one at a time."""
+    sym = [m.ids.get(c, -len(c.encode())) for c in token]
+    pairs = dict(zip(m.keys.tolist(), zip(m.ranks.tolist(), m.merged.tolist())))
+    while True:
+        found = [(*pairs[k], i) for i, (a, b) in enumerate(zip(sym, sym[1:])) if a >= 0 and b >= 0 and (k := a * len(m.ids) + b) in pairs]
+        if not found:
+            return sum(int(m.cost[s]) if s >= 0 else -s for s in sym)
+        _, into, i = min(found, key=lambda x: (x[0], x[2]))
+        sym[i : i + 2] = [into]
+
+
+def test_merges_of_a_round(monkeypatch):
+    """Vocabularies of random ranks, where merges often make pairs that come first, and the real one."""
     m, rng = token_counts.merger(tokenizer_path()), random.Random(4)
     for n in (1, 2, 40, 700):
         t = "".join(rng.choice("abcdeéthin日") for _ in range(n))
-        assert m.merge([t]).tolist() == [m.merge_long(t)]
+        assert m.merge([t]).tolist() == [one_by_one(m, t)]
+    for _ in range(60):
+        made = object.__new__(token_counts.PieceMerger)
+        pieces = ["a", "b", "c"]
+        for _ in range(12):
+            pieces.append(rng.choice(pieces) + rng.choice(pieces))
+        pieces = list(dict.fromkeys(pieces))
+        score = {p: rng.random() if rng.random() < 0.8 else 0.5 for p in pieces}
+        made.build(score)
+        words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 40))) for _ in range(30)] + ["abc" * 12, "a" * 33]
+        assert made.merge(words).tolist() == [one_by_one(made, w) for w in words]
 
 
 def test_url_rules(spark):
@@ -127,6 +159,88 @@ def test_labels_reach_urls_without_rules(spark):
     assert out == {i: "block" if i % 2 and i != 60 else "allow" for i in range(62)}
 
 
+def brute_tree(rows):
+    """(host, path segments, label) -> {(host, segments): rejected} by the rules of the tree, without Spark."""
+    import math
+
+    f = url_filter
+    shapes = {(h, tuple(x)) for h, x, _ in rows}
+    branch = {s: list(s[1]) for s in shapes}
+    count = Counter((h, tuple(x)) for h, x, _ in rows)
+    for d in range(max(len(s[1]) for s in shapes)):
+        below = {}
+        for s in shapes:
+            if len(s[1]) > d:
+                below.setdefault((s[0], tuple(branch[s][:d])), []).append(s)
+        for own in below.values():
+            values, n = {branch[s][d] for s in own}, sum(count[s] for s in own)
+            if len(own) >= f.LEAST_VALUES and len(values) >= max(f.LEAST_VALUES, f.LEAST_NEW * n):
+                for s in own:
+                    branch[s][d] = "*"
+    bad, good = Counter(), Counter()
+    for h, x, label in rows:
+        if label is not None:
+            (bad if label else good)[h, tuple(branch[h, tuple(x)])] += 1
+    node = {(h, tuple(branch[h, x])): tuple(branch[h, x]) for h, x in shapes}
+    known = [b for b in node if bad[b] + good[b]]
+    for d in reversed(range(max(map(len, (b[1] for b in known)), default=0))):
+        sums = {}
+        for b in known:
+            if len(node[b]) > d:
+                x = sums.setdefault((b[0], node[b]), [0, 0])
+                x[0] += bad[b]
+                x[1] += bad[b] + good[b]
+        kin = {}
+        for (h, x), (b, n) in sums.items():
+            kin.setdefault((h, x[:d], x[d + 1 :]), []).append((x, b, n))
+        into = {}
+        for (h, _, _), own in kin.items():
+            p = sum(b for _, b, _ in own) / sum(n for *_, n in own)
+            for x, b, n in own:
+                if len(own) > 1 and abs(b / n - p) <= f.Z * math.sqrt(p * (1 - p) / n) + 0.5 / n:
+                    into[h, x] = (*x[:d], "~", *x[d + 1 :])
+        for b in known:
+            node[b] = into.get((b[0], node[b]), node[b])
+    b, n = Counter(), Counter()
+    for x in node:
+        for k in range(len(node[x]) + 1):
+            b[x[0], node[x][:k]] += bad[x]
+            n[x[0], node[x][:k]] += bad[x] + good[x]
+    out, total = {}, sum(bad.values()) / max(1, sum(bad.values()) + sum(good.values()))
+    for h, x in shapes:
+        way, p, found = node[h, tuple(branch[h, x])], total, None
+        for k in range(len(way) + 1):
+            p = (b[h, way[:k]] + f.STRENGTH * p) / (n[h, way[:k]] + f.STRENGTH)
+            found = p if n[h, way[:k]] >= f.LEAST_LABELS else found
+        out[h, x] = found is not None and found >= f.PURE
+    return out
+
+
+def test_tree_against_brute_force(spark):
+    """Wildcards, merging and purity of random trees, with deep paths, against plain loops."""
+    rng, rows = random.Random(12), []
+    for h in range(6):
+        rate = {c: rng.choice([0.0, 0.1, 0.97, 1.0]) for c in "abcd"}
+        for _ in range(150):
+            first = rng.choice("abcd")
+            path = [first, *(rng.choice(["u", "v", f"slug{rng.randrange(500)}x"]) for _ in range(rng.choice([0, 1, 2, 6])))]
+            rows.append((f"h{h}", path, rng.random() < rate[first] if rng.random() < 0.4 else None))
+    rows += [("small", ["bad", f"p{i}q"], True) for i in range(30)] + [("small", ["other"], None)]
+    table = spark.createDataFrame([(i, f"http://{h}/{'/'.join(x)}", b) for i, (h, x, b) in enumerate(rows)], "page_id long, url string, bad boolean")
+    none = spark.createDataFrame([], "host string, path string, verdict string")
+    got = {r["page_id"]: r["verdict"] == "block" for r in url_filter.filter_urls(table, none, F.col("bad")).collect()}
+    want = brute_tree(rows)
+    assert got == {i: want[h, tuple(x)] for i, (h, x, _) in enumerate(rows)}
+    assert 0 < sum(got.values()) < len(got) and got[len(rows) - 1]  # the last has no labels but its host's
+
+
+def test_query_blocks_by_template(spark):
+    """The registered query blocks urls that no rule fits."""
+    rows = QUERIES["op4_url_filters"](spark, "/root/testdata/sf0.01").collect()
+    assert {r["verdict"] for r in rows} == {"allow", "block"}
+    assert any(r["rule"] is None and r["verdict"] == "block" for r in rows)
+
+
 def test_min_cut_against_brute_force():
     rng = random.Random(5)
     for _ in range(60):
@@ -148,6 +262,46 @@ def test_html(spark):
     assert [r["n_chars"] for r in out][:4] == [0, 0, 0, 5000 * 15 - 1]
 
 
+PARAS = [f"Paragraph {i} of the text tells, in enough words to be read as prose, what happened on day {i}." for i in range(4)]
+BODY = "".join(f"<p>{x}</p>" for x in PARAS)
+SAID = '<div id="comments"><article class="comment"><p>I liked this very much, and so did all of my friends, thanks to whoever wrote it.</p></article><p>Another reader says that this is nice and that they will be back soon for more.</p></div>'
+LAYOUTS = {
+    "class of a wrapper": f'<div class="layout with-sidebar"><article>{BODY}</article></div>',
+    "state of a wrapper": f'<div class="share-enabled"><main>{BODY}</main></div>',
+    "state of the article": f'<article class="post comments-open">{BODY}</article>',
+    "page in a form": f"<form>{BODY}</form>",
+    "article in a form": f"<form><div><article>{BODY}</article></div></form>",
+    "open button": f"<article><button>Share{BODY}</article>",
+    "open drawing": f'<svg><path d="x"><article>{BODY}</article>',
+    "open choice": f"<select><option>a<option>b<article>{BODY}</article>",
+    "open fallback": f"<noscript><article>{BODY}</article>",
+    "open menu": f"<nav><ul><li><a href=x>One</a><li><a href=y>Two</a></ul><article>{BODY}</article>",
+    "open quote": f'<article><p title="it>{PARAS[0]}</p>' + BODY[BODY.index("</p>") + 4 :] + "</article>",
+    "quote that ends in the next tag": f'<article><p title="it>{PARAS[0]}</p><p class="x">' + BODY[BODY.index("</p>") + 7 :] + "</article>",
+    "marks in values": f"<article data-x=\"<b>a</b>\" data-y='a>b'>{BODY}</article>",
+    "more comments than text": f"<article>{BODY}</article>{SAID * 5}",
+    "no article element": f'<div id="content">{BODY}</div>{SAID * 6}<footer><p>Legal text that is long enough to look like prose to anyone.</p></footer>',
+    "wrapper and comments": f'<div class="social-layout"><article>{BODY}</article></div>{SAID * 5}',
+    "teaser": f'<main>{BODY}</main><aside><article class="teaser"><p>A teaser for another text that should not be taken here.</p></article></aside>',
+    "loud names": f"<ARTICLE CLASS=POST>{BODY}</ARTICLE><SCRIPT>x<y</SCRIPT>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts(layout):
+    for page in (LAYOUTS[layout], f"<html><head><title>t</title></head><body>{LAYOUTS[layout]}</body></html>"):
+        assert html_text.main_text(page) == "\n".join(PARAS)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 8000 + "text " * 30, "<div><p>word word word</p>" * 8000, '<a "' * 8000, '<a "' * 8000 + ">", "<b>" * 20_000 + "x", "<" * 20_000, '<p x="a>' * 8000, "<p x='a>b<" * 8000, "<noscript>" * 8000, "<svg><p>word word" * 8000, "<!--" * 8000, "<script>" * 8000])
+def test_hostile_pages_take_little_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 2
+
+
 def shingles(text, k):
     w = re.findall(WORD, (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
@@ -192,6 +346,11 @@ def test_crowded_signatures(spark, monkeypatch):
     before = {(r[0], r[2]) for r in jaccard_join.jaccard_components(docs, 2, 80).collect()}
     monkeypatch.setattr(jaccard_join, "HOT", 2)
     monkeypatch.setattr(jaccard_join, "BLOCK", 300)
+    monkeypatch.setattr(jaccard_join, "STAR", 7)
+    monkeypatch.setattr(jaccard_join, "OFTEN", 4)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 20)
+    monkeypatch.setattr(jaccard_join, "TASK", 500)
+    monkeypatch.setattr(jaccard_join, "BITS", 1)
     assert {(r[0], r[2]) for r in jaccard_join.jaccard_components(docs, 2, 80).collect()} == before
     kept = jaccard_join.one_of_each(docs, 2, 80)
     assert {r["doc_id"] for r in kept.collect()} == {c for _, c in before}
