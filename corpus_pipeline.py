@@ -11,27 +11,33 @@ from lectern.llm.common import shared_dir, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier predicts to be good."""
-    return quality_model.score_quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(docs.columns)
+    """Keeps the documents that the classifier predicts to be good, with the columns that they have.
+
+    Null and empty texts have the score of an empty text, equal texts equal scores; an empty table gives an empty one.
+    """
+    return quality_model.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def adaptive_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents inside the fences of their language and source."""
+    """Keeps the documents inside the fences of their language and source; null and empty texts fail the base rules."""
     return quality_rules.quality_rules(docs).filter("kept").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by five-word shingles at a similarity of 0.8."""
+    """Keeps one document of each group linked by five-word shingles at a similarity of 0.8: that of the least doc_id.
+
+    Texts without words link with nothing; rows without doc_id all stay; rows that repeat an id and its text are one.
+    """
     return jaccard_join.one_of_each(docs, k=5, percent=80).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that hold no benchmark item."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    """Keeps the documents that hold no benchmark item; null and empty texts hold none."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix with their copies."""
+    """The documents of the mix with size, copies and taken, which replace columns of these names; no copies: left out."""
     return mixing.mixed_documents(docs)
 
 
