@@ -441,7 +441,52 @@ def test_leaks(spark):
     rows = [(1, f"before it {item}. After"), (2, f"start {edited} end"), (3, far), (4, None), (5, ""), (6, "short item"), (7, "a short item here"), (8, item.upper())]
     out = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(10, item), (11, "short item"), (12, None), (None, item)], "item_id long, text string"))
     got = {r["doc_id"]: [(x["item_id"], x["distance"], x["start_word"], x["end_word"]) for x in r["leaks"]] for r in out.collect()}
-    assert got == {1: [(10, 0, 2, 19)], 2: [(10, 1, 1, 18)], 3: [], 4: [], 5: [], 6: [(11, 0, 0, 2)], 7: [], 8: [(10, 0, 0, 17)]}
+    assert got == {1: [(10, 0, 2, 19)], 2: [(10, 1, 1, 18)], 3: [], 4: [], 5: [], 6: [(11, 0, 0, 2)], 7: [(11, 0, 1, 3)], 8: [(10, 0, 0, 17)]}
+
+
+def test_leaks_in_several_blocks(spark, monkeypatch):
+    """Against the distance of every item to every stretch of every text, with one block of items and with many."""
+    rng = random.Random(15)
+    items = [[rng.choice("abcdefgh") for _ in range(rng.choice([1, 3, 9, 17, 30]))] for _ in range(12)]
+    texts = []
+    for _ in range(40):
+        t = [rng.choice("ijklmnop") for _ in range(30)]
+        own = list(rng.choice(items))
+        for _ in range(rng.randrange(0, 4)):
+            own[rng.randrange(len(own))] = "z"
+        t[10:10] = own
+        texts.append(" ".join(t))
+
+    def least(item, text):
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(item, 1):
+            new = [i]
+            for j, y in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    want = {(d, i, x) for d, t in enumerate(texts) for i, item in enumerate(items) if (x := least(item, t.split())) <= int(decontaminate.ERROR_RATE * len(item))}
+    docs = spark.createDataFrame([(d, t, "mine") for d, t in enumerate(texts)], "doc_id long, text string, leaks string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    for chars in (decontaminate.BLOCK_CHARS, 150):
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
+        got = decontaminate.leaks(docs, bench).select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.item_id", "x.distance").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    kept = decontaminate.clean(docs, bench).collect()
+    assert {r["doc_id"] for r in kept} == set(range(40)) - {d for d, *_ in want} and all(r["leaks"] == "mine" for r in kept)
+
+
+def test_empty_tables(spark):
+    """No rows in, no rows out, for every operator on documents and pages."""
+    docs, labels = hard(spark).limit(0), spark.createDataFrame([], "doc_id long, quality int")
+    assert token_counts.token_counts(docs, tokenizer_path()).count() == 0
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
+    assert jaccard_join.jaccard_components(docs).count() == 0 and jaccard_join.one_of_each(docs).count() == 0
+    assert quality_model.score_quality(docs, labels).count() == 0 and quality_model.keep_good(docs, labels).columns == docs.columns
+    assert decontaminate.leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert mixing.mixed_documents(docs).count() == 0
+    assert language.identify(docs).count() == 0
 
 
 def test_targets(spark):
