@@ -27,6 +27,11 @@ def collapse_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WS, " "))
 
 
+def has_words(text: Column) -> Column:
+    """Whether a text has anything but white space, and so a sentence: a filter that costs no splitting."""
+    return text.rlike("[^" + WS[1:-1])
+
+
 def is_dialogue(sentence: Column) -> Column:
     """A long quoted sentence that stands as a turn of its own."""
     return (F.length(sentence) >= 80) & sentence.rlike(DIALOGUE_MARKS)

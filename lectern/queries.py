@@ -72,7 +72,7 @@ def collapse_ws(spark, d):
 
 @query(f"with {SENTENCES} select doc_id, cast(len(ss) as bigint) n_sentences, md5(array_to_string(ss, chr(10))) sentences_md5 from lists")
 def sentences(spark, d):
-    docs = S.read(spark, d, "documents").filter("text is not null").withColumn("ss", T.sentences(F.col("text"))).filter(F.size("ss") > 0)
+    docs = S.read(spark, d, "documents").filter(T.has_words(F.col("text"))).withColumn("ss", T.sentences(F.col("text")))
     return docs.select("doc_id", F.size("ss").cast("long").alias("n_sentences"), F.md5(F.array_join("ss", "\n").cast("binary")).alias("sentences_md5"))
 
 
@@ -84,7 +84,7 @@ def dialogue_turns(spark, d):
 
 @query(f"with {CHUNKS} select doc_id, cast(len(cs) as bigint) n_chunks, md5(array_to_string(cs, chr(10))) chunks_md5 from chunks where len(cs) > 0")
 def pack_chunks(spark, d):
-    return _chunks(spark, d).filter(F.size("cs") > 0).select("doc_id", F.size("cs").cast("long").alias("n_chunks"), F.md5(F.array_join("cs", "\n").cast("binary")).alias("chunks_md5"))
+    return _chunks(spark, d).filter(T.has_words(F.col("text"))).select("doc_id", F.size("cs").cast("long").alias("n_chunks"), F.md5(F.array_join("cs", "\n").cast("binary")).alias("chunks_md5"))
 
 
 @query(f"with {CHUNKS} select doc_id, para, cast(sid as bigint) sid, cast(len(ps) as bigint) n_parts, md5(array_to_string(ps, chr(10))) parts_md5 from parts where length(s) > {LIMIT}".replace("doc_id, para, cast(sid as bigint) sid,", "doc_id, md5(s) sentence_md5,"))

@@ -43,10 +43,10 @@ def test_snapshot_faults(spark):
 
 
 def test_sheet_of_marks(spark):
-    tags = spark.createDataFrame([(1, "Example;  Press", "")], "book long, publisher string, artist string")
-    markers = spark.createDataFrame([(1, 1, 0, 50, "Chapter #1")], "book long, chapter_no long, start_ms long, end_ms long, title string")
+    tags = spark.createDataFrame([(1, "Harbour;  Sons", "")], "book long, publisher string, artist string")
+    markers = spark.createDataFrame([(1, 1, 0, 50, "Part #3")], "book long, chapter_no long, start_ms long, end_ms long, title string")
     lines = [r["line"] for r in sheets.marker_sheet(tags, markers).orderBy("line_no").collect()]
-    assert lines == ["publisher=Example\\; Press", "[CHAPTER]", "TIMEBASE=1/1000", "START=0", "END=50", "title=Chapter \\#1"]
+    assert lines == ["publisher=Harbour\\; Sons", "[CHAPTER]", "TIMEBASE=1/1000", "START=0", "END=50", "title=Part \\#3"]
 
 
 def test_numbered(spark):

@@ -21,14 +21,14 @@ def one(spark, column, text):
 
 
 def test_sentences(spark):
-    assert one(spark, T.sentences, 'Dr. Rivera arrived at 3.5 p.m. "Sit down!" Then she left.') == ['Dr. Rivera arrived at 3.5 p.m. "Sit down!"', "Then she left."]
+    assert one(spark, T.sentences, 'Prof. Okoye paid 7.25 at the gate. "Wait here?" Nobody did.') == ["Prof. Okoye paid 7.25 at the gate.", '"Wait here?"', "Nobody did."]
     assert one(spark, T.sentences, "") == []
     assert one(spark, T.sentences, "One.\n\nTwo") == ["One.", "Two"]
 
 
 def test_long_word(spark):
-    parts = one(spark, lambda t: T.split_oversized(t, 100), "A prefix " + "x" * 205 + ".")
-    assert parts == ["A prefix", "x" * 100, "x" * 100, "xxxxx."]
+    parts = one(spark, lambda t: T.split_oversized(t, 100), "Two words " + "q" * 230 + "!")
+    assert parts == ["Two words", "q" * 100, "q" * 100, "q" * 30 + "!"]
 
 
 def test_dialogue_stands_alone(spark):
@@ -37,17 +37,17 @@ def test_dialogue_stands_alone(spark):
 
 
 def test_initials(spark):
-    assert one(spark, T.expand_initials, "J.R.R. Tolkien, U.S.") == "J R R Tolkien, U S"
+    assert one(spark, T.expand_initials, "Near A.B.C. Hall, N.Z. coast") == "Near A B C Hall, N Z coast"
 
 
 def test_clean(spark):
-    row = T.clean_text(spark.createDataFrame([('He said “hi”[12] to claim.188 alpha/beta • gamma .',)], "text string")).first()
-    assert (row["cleaned"], row["footnotes"], row["quotes"], row["symbols"]) == ("He said hi to claim. alpha beta gamma.", 2, 2, 2)
+    row = T.clean_text(spark.createDataFrame([('She read “no”[7] in the note.41 left/right • up .',)], "text string")).first()
+    assert (row["cleaned"], row["footnotes"], row["quotes"], row["symbols"]) == ("She read no in the note. left right up.", 2, 2, 2)
 
 
 def test_punc_norm(spark):
     assert one(spark, T.punc_norm, "") == T.NO_TEXT
-    assert one(spark, T.punc_norm, "well… then") == "Well,  then."
+    assert one(spark, T.punc_norm, "so… be it") == "So,  be it."
 
 
 def test_runs_against_loops(spark):
@@ -102,7 +102,7 @@ def test_rest_works_without_training_data(monkeypatch):
 
     def without(name, *args, **kwargs):
         if name.startswith(("corpus_pipeline", "lectern.llm")):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *args, **kwargs)
 
     monkeypatch.setattr(builtins, "__import__", without)
