@@ -106,32 +106,80 @@ def pack_chunks(sentences: Column, limit: int = MAX_CHARS) -> Column:
     return _greedy(F.flatten(F.transform(sentences, lambda s: F.transform(split_oversized(s, limit), lambda p: _unit(p, is_dialogue(s))))), limit)
 
 
+#: What clean_text() counts, each in a column of this name.
+CHANGES = ("footnotes", "initialisms", "quotes", "punctuation", "whitespace", "controls", "symbols")
+
+
 def clean_text(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with `cleaned`, narration-safe text, and how often each kind of change was made, in columns of these names.
+    """rows with `cleaned`, narration-safe text, and how often each kind of change was made, in the columns CHANGES.
 
-    Bracketed and superscript references go, double quotes are dropped, marks are written plainly, controls vanish and
-    other symbols become spaces. (Dotted initials are left to expand_initials().) Each step is a column of its own, so
-    that what several counts need is computed once.
+    In this order: bracketed, superscript and attached references go, dotted initials are spelled, double quotes are
+    dropped, marks are written plainly, white space becomes spaces, controls vanish, other symbols become spaces, and
+    spaces before a mark go, which counts as one more change of white space. Null text: null columns. Each step is a
+    column of its own, so that what several counts need is computed once.
     """
-    bracket, raised = r"\[\s*[0-9%s]+\s*\]" % SUPERSCRIPTS, r"(?<=[\p{L}\p{N}_])[%s]+(?=\s|$|[.,!?])" % SUPERSCRIPTS
-    attached = r"(?<![0-9])([.!?][\"'”’»)\]}]?)[0-9]+(?=\s|$)"
+    gap = WS[:-1]
+    # Patterns of references
+    bracket, raised = rf"\[{gap}*[0-9{SUPERSCRIPTS}]+{gap}*\]", rf"(?<=[\p{{L}}\p{{N}}_])[{SUPERSCRIPTS}]+(?={gap}|$|[.,!?])"
+    attached = rf"(?<!\p{{Nd}})([.!?][\"'”’»)\]]?)[0-9]+(?={gap}|$)"
     quotes, marks = f"[{DOUBLE_QUOTES}]", "[" + "".join(PLAIN_MARKS) + "]"
     controls, kept = r"[\p{C}&&[^\t-\r\x1c-\x1f\x85]]", rf"[^\p{{L}}\p{{N}}\p{{M}}{KEPT_MARKS} ]"
     count = lambda x, pattern: F.regexp_count(x, F.lit(pattern))
     r = rows.withColumn("_a", F.regexp_replace(text, bracket, " ")).withColumn("_b", F.regexp_replace("_a", raised, " ")).withColumn("_c", F.regexp_replace("_b", attached, "$1"))
-    r = r.withColumn("_p", F.translate(F.regexp_replace("_c", quotes, ""), "".join(PLAIN_MARKS), "".join(PLAIN_MARKS.values())))
-    r = r.withColumn("_d", F.regexp_replace(F.regexp_replace("_p", WS[:-1], " "), controls, ""))
+    r = r.withColumn("_i", expand_initials(F.col("_c")))
+    r = r.withColumn("_p", F.translate(F.regexp_replace("_i", quotes, ""), "".join(PLAIN_MARKS), "".join(PLAIN_MARKS.values())))
+    r = r.withColumn("_d", F.regexp_replace(F.regexp_replace("_p", gap, " "), controls, "")).withColumn("_k", F.regexp_replace("_d", kept, " ")).withColumn("cleaned", F.regexp_replace("_k", r" +([.,!?])", "$1"))
     return r.withColumns({
-        "footnotes": count(text, bracket) + count("_a", raised) + count("_b", attached), "quotes": count("_c", quotes), "punctuation": count("_c", marks),
+        "footnotes": count(text, bracket) + count("_a", raised) + count("_b", attached), "initialisms": count("_c", INITIALS), "quotes": count("_i", quotes),
+        "punctuation": count("_i", marks), "whitespace": count("_p", rf"[{gap[1:-1]}&&[^ ]]") + (F.col("cleaned") != F.col("_k")).cast("int"),
         "controls": count("_p", controls), "symbols": count("_d", kept),
-        "cleaned": F.regexp_replace(collapse_ws(F.regexp_replace("_d", kept, " ")), r" +([.,!?])", "$1"),
-    }).drop("_a", "_b", "_c", "_p", "_d")
+    }).drop("_a", "_b", "_c", "_i", "_p", "_d", "_k")
+
+
+# Fixed value: two dotted capitals or more that no letter precedes
+INITIALS = r"(?<![A-Za-z])(?:[A-Z]\.){2,}"
 
 
 def expand_initials(text: Column) -> Column:
-    """`J.R.R.` becomes `J R R`: two dotted capitals or more that no letter precedes."""
-    tokens = F.regexp_extract_all(text, F.lit(r"(?s)(?<![A-Za-z])(?:[A-Z]\.){2,}|."), F.lit(0))
-    return F.array_join(F.transform(tokens, lambda t: F.when(F.length(t) > 1, F.trim(F.replace(t, F.lit("."), F.lit(" ")))).otherwise(t)), "")
+    """`J.R.R.` becomes `J R R`; texts without such initials are passed on as they are."""
+    tokens = F.regexp_extract_all(text, F.lit(INITIALS + r"|[^A-Z]+|[A-Z]"), F.lit(0))
+    spelled = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^[A-Z]\.[A-Z]\."), F.trim(F.replace(t, F.lit("."), F.lit(" ")))).otherwise(t)), "")
+    return F.when(text.rlike(INITIALS), spelled).otherwise(text)
+
+
+def _nearest(parts: Column, gap: int, shift: int, total: Column) -> Column:
+    """The first of the inner ends of parts (gap characters between them) whose doubled place, plus shift, is nearest to total."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("off"), F.lit(0).alias("best"))
+
+    def step(state: Column, part: Column) -> Column:
+        at = state["at"] + F.length(part)
+        off = F.abs(2 * at + shift - total)
+        nearer = state["off"].isNull() | (off < state["off"])
+        return F.struct((at + gap).alias("at"), F.when(nearer, off).otherwise(state["off"]).alias("off"), F.when(nearer, at).otherwise(state["best"]).alias("best"))
+
+    return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step)["best"]
+
+
+def recovery_split(text: Column) -> Column:
+    """A failed text in two balanced parts: between sentences, else after a clause, else at the space nearest the middle.
+
+    Of boundaries that are as near, the first one. A text without a space stays whole; a blank one gives one empty
+    part; null gives null.
+    """
+
+    def of(t: Column, clauses: Column, words: Column, said: Column) -> Column:
+        total = F.length(t)
+        at = (
+            F.when(F.size(said) > 1, _nearest(said, 1, 1, total))
+            .when(F.size(clauses) > 1, _nearest(clauses, 0, 0, total))
+            .when(F.size(words) > 1, _nearest(words, 1, 0, total))
+        )
+        both = F.array(F.trim(F.left(t, at)), F.trim(F.substring(t, at + 1, total)))
+        return F.when(at.isNull(), F.array(t)).otherwise(both)
+
+    whole = collapse_ws(text)
+    parts = _let(whole, lambda t: _let(F.struct(F.split(t, "(?<=[,;:—–] )").alias("c"), F.split(t, " ").alias("w"), sentences(t).alias("s")), lambda x: of(t, x["c"], x["w"], x["s"])))
+    return F.when(text.isNotNull(), parts)
 
 
 def punc_norm(text: Column) -> Column:

@@ -173,37 +173,44 @@ _SUP = T.SUPERSCRIPTS
 _DQ = T.DOUBLE_QUOTES
 _PLAIN = "".join(T.PLAIN_MARKS)
 # RE2 has no look-behind and look-ahead: what they test is captured and put back
-_C0 = rf"regexp_replace(text, '\[\s*[0-9{_SUP}]+\s*\]', ' ', 'g')"
-_RAISED = rf"([\p{{L}}\p{{N}}_])[{_SUP}]+(\s|$|[.,!?])"
-_GLUED = r"(^|[^0-9])([.!?][\"''”’»)\]}]?)[0-9]+(\s|$)"
-_C1 = rf"regexp_replace({_C0}, '{_RAISED}', '\1\2', 'g')"
+_GAP = WS[:-1]
+_BRACKET = rf"\[{_GAP}*[0-9{_SUP}]+{_GAP}*\]"
+_C0 = rf"regexp_replace(text, '{_BRACKET}', ' ', 'g')"
+_RAISED = rf"([\p{{L}}\p{{N}}_])[{_SUP}]+({_GAP}|$|[.,!?])"
+_GLUED = rf"(^|[^\p{{Nd}}])([.!?][\"''”’»)\]]?)[0-9]+({_GAP}|$)"
+_C1 = rf"regexp_replace({_C0}, '{_RAISED}', '\1 \2', 'g')"
 _C = rf"regexp_replace({_C1}, '{_GLUED}', '\1\2\3', 'g')"
-_Q = f"translate(regexp_replace({_C}, '[{_DQ}]', '', 'g'), '{_PLAIN}', '{''.join(v.replace(chr(39), chr(39) * 2) for v in T.PLAIN_MARKS.values())}')"
+# initials are put between two private characters, and what lies between these is spelled
+_DOTTED = r"(^|[^A-Za-z])((?:[A-Z]\.){2,})"
+_I = rf"array_to_string(list_transform(string_split(regexp_replace({_C}, '{_DOTTED}', '\1' || chr(57344) || '\2' || chr(57345), 'g'), chr(57344)), lambda p: case when contains(p, chr(57345)) then rtrim(replace(split_part(p, chr(57345), 1), '.', ' ')) || split_part(p, chr(57345), 2) else p end), '')"
+_Q = f"translate(regexp_replace({_I}, '[{_DQ}]', '', 'g'), '{_PLAIN}', '{''.join(v.replace(chr(39), chr(39) * 2) for v in T.PLAIN_MARKS.values())}')"
 _KEPT = r"[^\p{L}\p{N}\p{M}.,!?''\-、，。｡！？ ]"
-_D = rf"regexp_replace(regexp_replace({_Q}, '{WS[:-1]}', ' ', 'g'), '\p{{C}}', '', 'g')"
-CLEANED = rf"regexp_replace(trim(regexp_replace(regexp_replace({_D}, '{_KEPT}', ' ', 'g'), '{WS}', ' ', 'g')), ' +([.,!?])', '\1', 'g')"
 _PLAIN_CLASS = "[" + _PLAIN + "]"
-_COUNTS = rf"cast(len(regexp_extract_all(text, '\[\s*[0-9{_SUP}]+\s*\]')) + len(regexp_extract_all({_C0}, '{_RAISED}')) + len(regexp_extract_all({_C1}, '{_GLUED}')) as bigint) footnotes, cast(len(regexp_extract_all({_C}, '[{_DQ}]')) as bigint) quotes, cast(len(regexp_extract_all({_C}, '{_PLAIN_CLASS}')) as bigint) punctuation, cast(len(regexp_extract_all({_D}, '{_KEPT}')) as bigint) symbols"
+# a step each, so that no text is cleaned twice
+PREPARED = rf"""i as (select *, {_I} i from documents where text is not null), q as (select *, {_Q.replace(_I, "i")} q from i),
+    d as (select *, regexp_replace(regexp_replace(q, '{_GAP}', ' ', 'g'), '\p{{C}}', '', 'g') d from q), k as (select *, regexp_replace(d, '{_KEPT}', ' ', 'g') k from d),
+    cleaned as (select *, regexp_replace(k, ' +([.,!?])', '\1', 'g') cleaned from k)"""
+_N = {
+    "footnotes": rf"len(regexp_extract_all(text, '{_BRACKET}')) + len(regexp_extract_all({_C0}, '{_RAISED}')) + len(regexp_extract_all({_C1}, '{_GLUED}'))",
+    "initialisms": rf"len(regexp_extract_all({_C}, '{_DOTTED}'))",
+    "quotes": rf"len(regexp_extract_all(i, '[{_DQ}]'))",
+    "punctuation": rf"len(regexp_extract_all(i, '{_PLAIN_CLASS}'))",
+    "whitespace": rf"len(regexp_extract_all(q, '{_GAP}')) - len(regexp_extract_all(q, ' ')) + (cleaned != k)::int",
+    "controls": rf"len(regexp_extract_all(regexp_replace(q, '{_GAP}', ' ', 'g'), '\p{{C}}'))",
+    "symbols": rf"len(regexp_extract_all(d, '{_KEPT}'))",
+}
+_COUNTS = ", ".join(f"cast({v} as bigint) {k}" for k, v in _N.items())
 
 def _cleaned(spark, d):
     return T.clean_text(S.read(spark, d, "documents").filter("text is not null"))
 
 
-@query(f"select doc_id, md5({CLEANED}) cleaned_md5, {_COUNTS} from documents where text is not null")
+@query(f"with {PREPARED} select doc_id, md5(cleaned) cleaned_md5, {_COUNTS} from cleaned")
 def clean_chars(spark, d):
-    n = [F.col(c).cast("long").alias(c) for c in ("footnotes", "quotes", "punctuation", "symbols")]
+    n = [F.col(c).cast("long").alias(c) for c in T.CHANGES]
     return _cleaned(spark, d).select("doc_id", F.md5(F.col("cleaned").cast("binary")).alias("cleaned_md5"), *n)
 
 
-@query(f"""with c as (select lang batch, {_COUNTS} from documents where text is not null), u as (unpivot c on footnotes, quotes, punctuation, symbols into name category value n)
-    select batch, category, cast(sum(n) as bigint) changes, cast(count_if(n > 0) as bigint) prompts from u where n > 0 group by batch, category""")
-def cleanup_summary(spark, d):
-    """Changes of each kind per batch; the counters are a map without zero entries."""
-    counts = F.map_filter(F.create_map(*[x for c in ("footnotes", "quotes", "punctuation", "symbols") for x in (F.lit(c), F.col(c).cast("long"))]), lambda k, v: v > 0)
-    rows = _cleaned(spark, d).select(F.col("lang").alias("batch"), F.explode(counts).alias("category", "n"))
-    return rows.groupBy("batch", "category").agg(F.sum("n").alias("changes"), F.count(F.lit(1)).alias("prompts"))
-
-
 def _norm_sql(x: str) -> str:
     out = _ws(f"(case when regexp_matches(left({x}, 1), '^\\p{{Ll}}$') then upper(left({x}, 1)) || substr({x}, 2) else {x} end)")
     for a, b in T.NORMAL_MARKS:
@@ -211,18 +218,44 @@ def _norm_sql(x: str) -> str:
     return f"list_transform([rtrim({out}, ' ')], lambda t: case when {x} = '' then '{T.NO_TEXT}' when regexp_matches(t, '[.!?\\-,、，。？！]$') then t else t || '.' end)[1]"
 
 
+@query(f"""with {PREPARED}, c as (select lang batch, {_COUNTS}, cast({_norm_sql('cleaned')} != cleaned as bigint) normalization from cleaned), u as (unpivot c on {', '.join(_N)}, normalization into name category value n)
+    select batch, category, cast(sum(n) as bigint) changes, cast(count_if(n > 0) as bigint) prompts from u where n > 0 group by batch, category""")
+def cleanup_summary(spark, d):
+    """Changes of each kind per batch; the counters are a map without zero entries."""
+    rows = _cleaned(spark, d).withColumn("normalization", (T.punc_norm(F.col("cleaned")) != F.col("cleaned")).cast("long"))
+    counts = F.map_filter(F.create_map(*[x for c in (*T.CHANGES, "normalization") for x in (F.lit(c), F.col(c).cast("long"))]), lambda k, v: v > 0)
+    rows = rows.select(F.col("lang").alias("batch"), F.explode(counts).alias("category", "n"))
+    return rows.groupBy("batch", "category").agg(F.sum("n").alias("changes"), F.count(F.lit(1)).alias("prompts"))
+
+
 @query(f"select doc_id, md5({_norm_sql('text')}) normal_md5 from documents where text is not null")
 def punc_norm(spark, d):
     return S.read(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(T.punc_norm(F.col("text")).cast("binary")).alias("normal_md5"))
 
 
-@query(f"with c as (select doc_id, lang, {CLEANED} cleaned from documents where text is not null) select doc_id, md5('<' || lang || '>[START]' || {_norm_sql('cleaned')} || '[STOP]') prompt_md5, {_norm_sql('cleaned')} != cleaned normalized from c")
+@query(f"with {PREPARED} select doc_id, md5('<' || lang || '>[START]' || {_norm_sql('cleaned')} || '[STOP]') prompt_md5, {_norm_sql('cleaned')} != cleaned normalized from cleaned")
 def wrap_prompt(spark, d):
     """Prepared text (cleaned, then normalised) in the prompt's marks."""
     docs = _cleaned(spark, d).withColumn("n", T.punc_norm(F.col("cleaned")))
     return docs.select("doc_id", F.md5(F.concat(F.lit("<"), "lang", F.lit(">[START]"), "n", F.lit("[STOP]")).cast("binary")).alias("prompt_md5"), (F.col("n") != F.col("cleaned")).alias("normalized"))
 
 
+_SRC = SENTENCES.replace("from documents where text is not null", "from src")
+
+
+@query(f"""with src as (select distinct {_ws('text')} doc_id, {_ws('text')} "text" from conversations where text is not null), {_SRC},
+    ends as (select src.doc_id t, case when len(ss) > 1 then list_transform(range(1, len(ss)), lambda i: {{'p': length(array_to_string(ss[1:i], ' ')), 'c': 1}})
+        else list_transform(list_filter(range(2, length(src.doc_id)), lambda i: src.doc_id[i] = ' ' and contains(',;:—–', src.doc_id[i - 1])), lambda i: {{'p': i, 'c': 0}}) end places from src left join lists using (doc_id)),
+    spaces as (select t, case when len(places) > 0 then places else list_transform(list_filter(range(1, length(t)), lambda i: t[i] = ' '), lambda i: {{'p': i - 1, 'c': 0}}) end places from ends),
+    cuts as (select t, list_sort(list_transform(places, lambda x: {{'off': abs(2 * x.p + x.c - length(t)), 'p': x.p}}))[1].p p from spaces),
+    parts as (select t, case when p is null then [t] else [trim(left(t, p)), trim(substr(t, p + 1))] end x from cuts)
+    select conv_id, turn, cast(len(x) as bigint) n_parts, md5(array_to_string(x, chr(10))) parts_md5 from conversations join parts on t = {_ws('text')}""")
+def recovery_split(spark, d):
+    """Every turn cut in two balanced parts, as a text is whose speech failed."""
+    c = S.read(spark, d, "conversations").filter("text is not null").withColumn("x", T.recovery_split(F.col("text")))
+    return c.select("conv_id", "turn", F.size("x").cast("long").alias("n_parts"), F.md5(F.array_join("x", "\n").cast("binary")).alias("parts_md5"))
+
+
 @query("""with c as (select doc_id, unnest(string_split(lower(text), '')) g from documents where text is not null), v as (select g, count(*) n from c where g != '' group by g),
     r as (select g, row_number() over (order by n desc, g) id from v)
     select doc_id, count(*) graphemes, cast(count_if(id is null or id > 30) as bigint) unknown from c left join r using (g) where g != '' group by doc_id""")

@@ -42,7 +42,39 @@ def test_initials(spark):
 
 def test_clean(spark):
     row = T.clean_text(spark.createDataFrame([('She read “no”[7] in the note.41 left/right • up .',)], "text string")).first()
-    assert (row["cleaned"], row["footnotes"], row["quotes"], row["symbols"]) == ("She read no in the note. left right up.", 2, 2, 2)
+    assert row["cleaned"] == "She read no  in the note. left right   up."
+    assert [row[c] for c in T.CHANGES] == [2, 0, 2, 0, 1, 0, 2]
+
+
+def test_clean_order_and_counts(spark):
+    texts = ["Q.R.S. Tam;\tsaid² ok\u0007 …", "", "  ", None, "x.A.B.C. and U.K.", "word.7} end", "tail.12"]
+    rows = T.clean_text(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).orderBy("i").collect()
+    assert [r["cleaned"] for r in rows] == ["Q R S Tam, said  ok,", "", "  ", None, "x.A B C and U K", "word.7  end", "tail."]
+    assert [rows[0][c] for c in T.CHANGES] == [1, 1, 0, 2, 2, 1, 0]
+    assert [rows[4]["initialisms"], rows[5]["symbols"], rows[5]["footnotes"], rows[6]["footnotes"]] == [2, 1, 0, 1]
+    assert all(rows[3][c] is None for c in T.CHANGES) and not any(rows[1][c] for c in T.CHANGES)
+
+
+def balanced(text):
+    """All cuts tried, by places in the text."""
+    t = " ".join(text.split())
+    ends = [i for i in range(1, len(t)) if t[i] == " " and t[i - 1] in ".!?"]  # the test's texts have no abbreviations
+    after = [i + 1 for i in range(1, len(t)) if t[i] == " " and t[i - 1] in ",;:—–"]
+    spaces = [i for i in range(len(t)) if t[i] == " "]
+    if ends:
+        at = min(ends, key=lambda i: abs(i - (len(t) - i - 1)))
+    elif after or spaces:
+        at = min(after or spaces, key=lambda i: abs(2 * i - len(t)))
+    else:
+        return [t]
+    return [t[:at].strip(), t[at:].strip()]
+
+
+def test_recovery_split(spark):
+    texts = ["Boats left. Rain came early! Who stayed?", "a long wharf, with nets; and ropes", "one two", "single", "", "  ", "tie ab ba tie", "A, b, c, d", "Up he went – down\n\nshe came",
+             "Salt.  Salt. Salt. Salt.", "word " * 400, "Sea wall: " * 60]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").select("i", T.recovery_split(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in rows] == [*map(balanced, texts), None]
 
 
 def test_punc_norm(spark):
