@@ -27,21 +27,31 @@ def expand_runs(frames: DataFrame, least: int) -> DataFrame:
     return merge_intervals(runs.filter(F.col("n") >= least).select("clip", "start", "end"))
 
 
-def merge_intervals(intervals: DataFrame) -> DataFrame:
+def merge_intervals(intervals: DataFrame, clips: DataFrame | None = None) -> DataFrame:
     """Overlapping and touching intervals of a clip become one; empty ones are dropped.
 
-    Repeated intervals go first, so that the order within a clip has no ties.
+    With clips (clip, n, one row each) intervals are first cut to [0, n]; those of other clips go. Repeated intervals
+    go first, so that the order within a clip has no ties. Null ends drop an interval.
     """
     order = Window.partitionBy("clip").orderBy("start", "end")
+    if clips is not None:
+        within = lambda c: F.greatest(F.lit(0), F.least("n", c))
+        known = intervals.filter("start is not null and end is not null").join(clips.select("clip", "n"), "clip")
+        intervals = known.select("clip", within("start").alias("start"), within("end").alias("end"))
     i = intervals.filter(F.col("end") > F.col("start")).distinct().withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     i = i.withColumn("island", F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return i.groupBy("clip", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def interval_gaps(merged: DataFrame) -> DataFrame:
-    """The gaps between a clip's consecutive intervals."""
+def interval_gaps(merged: DataFrame, clips: DataFrame | None = None) -> DataFrame:
+    """The gaps between a clip's consecutive intervals. With clips (clip, n) a clip without intervals is one gap; an
+    empty clip has none."""
     nxt = F.lead("start").over(Window.partitionBy("clip").orderBy("start"))
-    return merged.select("clip", F.col("end").alias("start"), nxt.alias("end")).filter("end is not null")
+    gaps = merged.select("clip", F.col("end").alias("start"), nxt.alias("end")).filter("end is not null")
+    if clips is None:
+        return gaps
+    silent = clips.filter("n > 0").join(merged.select("clip"), "clip", "left_anti")
+    return gaps.unionByName(silent.select("clip", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end")))
 
 
 def loud_gaps(frames: DataFrame, gaps: DataFrame, bin_width: int, least: int, level: float) -> DataFrame:

@@ -147,3 +147,14 @@ def join_parts(parts: DataFrame, keys: list[str], gap: int) -> DataFrame:
     rows = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "samples"))).alias("p"))
     pieces = F.transform("p", lambda x, i: F.concat(F.array_repeat(F.lit(0.0), F.when(i > 0, gap).otherwise(0)), x["samples"]))
     return rows.select(*keys, F.flatten(pieces).alias("samples"))
+
+
+def frame_signal(signals: DataFrame, size: int) -> DataFrame:
+    """frame_no and frame (size samples) for every whole frame of each row's samples, beside its other columns.
+
+    An incomplete tail is dropped; null and short signals have no frame.
+    """
+    count = F.floor(F.size("samples") / size).cast("int")
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1))
+    rows = signals.withColumn("frame_no", F.explode(numbers))
+    return rows.withColumn("frame", F.slice("samples", F.col("frame_no") * size + 1, F.lit(size))).withColumn("frame_no", F.col("frame_no").cast("long")).drop("samples")

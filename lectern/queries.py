@@ -298,14 +298,34 @@ def run_expand(spark, d):
     return intervals.expand_runs(S.flags(spark, d), 2)
 
 
+# spans of support in frames: some reach over the ends of their clip, and one clip in five has none
+CLIPS = f"""{FLAGS}, clips as (select clip, count(*) n from flags group by clip), spans as (select clip, greatest(0, least(n, frame_no - 2)) s, greatest(0, least(n, frame_no + 1 + cast(floor(value) as bigint) % 4)) e
+    from flags join clips using (clip) where flag and clip % 5 != 0), {MERGED}"""
+
+
+def _clips(spark, d):
+    f = S.flags(spark, d)
+    around = f.filter((F.col("clip") % 5 != 0) & F.col("flag")).select("clip", (F.col("frame_no") - 2).alias("start"), (F.col("frame_no") + 1 + F.floor("value") % 4).alias("end"))
+    return around, f.groupBy("clip").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f'with {SPANS}, {MERGED} select clip, s "start", e "end" from merged')
 def interval_merge(spark, d):
     return intervals.merge_intervals(S.spans(spark, d))
 
 
-@query(f'with {SPANS}, {MERGED}, g as (select clip, e "start", lead(s) over (partition by clip order by s) "end" from merged) select * from g where "end" is not null')
+@query(f'with {CLIPS} select clip, s "start", e "end" from merged')
+def interval_clamp(spark, d):
+    """Intervals cut to their clips, then merged."""
+    return intervals.merge_intervals(*_clips(spark, d))
+
+
+@query(f"""with {CLIPS}, g as (select clip, e "start", lead(s) over (partition by clip order by s) "end" from merged)
+    select * from g where "end" is not null union all select clip, 0, n from clips where clip not in (select clip from merged)""")
 def interval_gaps(spark, d):
-    return intervals.interval_gaps(intervals.merge_intervals(S.spans(spark, d)))
+    """Gaps inside clips; clips without intervals are gaps as a whole."""
+    around, clips = _clips(spark, d)
+    return intervals.interval_gaps(intervals.merge_intervals(around, clips), clips)
 
 
 @query(f"""with {EXPANDED}, g as (select clip, e a, lead(s) over (partition by clip order by s) b from merged), h as (select g.clip, a, b, round(sqrt(avg(value * value)), 6) rms from g join flags f on f.clip = g.clip and frame_no >= a and frame_no < b where b - a >= 2 group by all)

@@ -78,3 +78,12 @@ def pause_cuts(spark, d):
 def pause_apply(spark, d):
     s = signals.samples(S.frames(spark, d), 64)
     return signals.pause_apply(s, signals.pause_cuts(s, 256, 0.5)).groupBy("clip").agg(F.count(F.lit(1)).alias("samples"), F.round(F.sum("x"), 5).alias("total"))
+
+
+@query("""with s as (select vec_id, embedding[1 : 40 + vec_id % 25] x from embeddings), f as (select vec_id, x, unnest(range(0, len(x) // 25)) frame_no from s)
+    select vec_id, frame_no, cast(len(x[frame_no * 25 + 1 : frame_no * 25 + 25]) as bigint) n, cast(x[frame_no * 25 + 1] as double) "first", cast(x[frame_no * 25 + 25] as double) "last" from f""")
+def frame_signal(spark, d):
+    """Signals of 40 to 64 samples in whole frames of 25."""
+    x = S.read(spark, d, "embeddings").select("vec_id", F.slice("embedding", F.lit(1), (40 + F.col("vec_id") % 25).cast("int")).alias("samples"))
+    ends = [F.element_at("frame", i).cast("double").alias(n) for i, n in ((1, "first"), (-1, "last"))]
+    return signals.frame_signal(x, 25).select("vec_id", "frame_no", F.size("frame").cast("long").alias("n"), *ends)

@@ -5,7 +5,7 @@ from conftest import SF, same_rows
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import intervals
+from lectern.operators import intervals, signals
 from lectern.plans import timeline
 import __spark_entry__  # noqa: F401
 from lectern.registry import ORACLE_SQL, QUERIES
@@ -82,6 +82,21 @@ def test_punc_norm(spark):
     assert one(spark, T.punc_norm, "so… be it") == "So,  be it."
 
 
+def test_intervals_of_clips(spark):
+    clips = spark.createDataFrame([(1, 10), (2, 8), (3, 0), (4, 5)], "clip long, n long")
+    rows = [(1, -3, 2), (1, 2, 4), (1, 7, 30), (1, 7, 30), (1, 5, 5), (1, 12, 15), (2, 9, 20), (2, None, 3), (7, 0, 4)]
+    merged = intervals.merge_intervals(spark.createDataFrame(rows, "clip long, start long, end long"), clips)
+    assert {tuple(r) for r in merged.select("clip", "start", "end").collect()} == {(1, 0, 4), (1, 7, 10)}
+    assert {tuple(r) for r in intervals.interval_gaps(merged, clips).collect()} == {(1, 4, 7), (2, 0, 8), (4, 0, 5)}
+    assert intervals.interval_gaps(merged.filter("false"), clips.filter("false")).count() == 0
+
+
+def test_frame_signal(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0, 5.0]), (2, [1.0]), (3, []), (4, None), (5, [6.0, 7.0])], "i int, samples array<double>")
+    got = [tuple(r) for r in signals.frame_signal(rows, 2).orderBy("i", "frame_no").collect()]
+    assert got == [(1, 0, [1.0, 2.0]), (1, 1, [3.0, 4.0]), (5, 0, [6.0, 7.0])]
+
+
 def test_runs_against_loops(spark):
     rows = [(c, i, (i * 7 + c) % 5 < 2, (i * 3 + c) % 7 < 5) for c in range(3) for i in range(60)]
     frames = spark.createDataFrame(rows, "clip long, frame_no long, flag boolean, support boolean")
