@@ -154,11 +154,15 @@ def visible_text(spark, d):
     return pages.select("page_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
-@query("""with p as (select page_id, regexp_replace(regexp_replace(url, '^[^:]*://[^/]*', ''), '[?#].*$', '') path from pages), s as (select page_id, list_filter(string_split(path, '/'), lambda x: x not in ('', '.')) s, page_id % 3 up from p where not list_contains(string_split(path, '/'), '..'))
-    select page_id, case when up < 2 then array_to_string(list_concat(case when up = 0 then ['OEBPS'] else []::varchar[] end, s), '/') end member from s""")
+@query("""with p as (select page_id, regexp_replace(regexp_replace(url, '^[^:]*://[^/]*', ''), '[?#].*$', '') path, page_id % 3 up, page_id % 7 = 0 deep from pages),
+    s as (select page_id, list_concat(['', 'OEBPS'], case up when 0 then [] when 1 then ['..'] else ['..', '..'] end::varchar[], list_filter(string_split(path, '/'), lambda x: x not in ('', '.')), case when deep then ['..', 'x'] else [] end::varchar[]) s from p),
+    m as (select page_id, list_reduce(s, lambda a, x: case when a = '!' then a when x != '..' then a || '/' || x when a = '' then '!' else regexp_replace(a, '/[^/]*$', '') end) m from s)
+    select page_id, case when m != '!' then substr(m, 2) end member from m""")
 def safe_member(spark, d):
-    """Page paths as archive members below OEBPS, some of them reaching upwards; null where they leave the archive."""
+    """Page paths as archive members seen from OEBPS, some of them reaching upwards; null where they leave the archive
+    and where there is no url."""
     path = F.regexp_replace(F.regexp_replace("url", "^[^:]*://[^/]*", ""), "[?#].*$", "")
-    p = S.read(spark, d, "pages").filter("url is not null").select("page_id", path.alias("path")).filter(~F.array_contains(F.split("path", "/"), ".."))
-    href = F.concat(F.repeat(F.lit("../"), (F.col("page_id") % 3).cast("int")), F.regexp_replace(F.regexp_replace("path", "^/+", ""), "%", "%25"))
-    return p.select("page_id", files.safe_member(F.lit("OEBPS"), href).alias("member"))
+    p = S.read(spark, d, "pages").select("page_id", path.alias("path"))
+    deep = F.when(F.col("page_id") % 7 == 0, "/../x").otherwise("")
+    href = F.concat(F.repeat(F.lit("../"), (F.col("page_id") % 3).cast("int")), F.regexp_replace(F.regexp_replace("path", "^/+", ""), "%", "%25"), deep)
+    return p.select("page_id", files.safe_member(F.lit("OEBPS"), href).alias("member"))
\ No newline at end of file

@@ -74,3 +74,31 @@ def numbered(rows: DataFrame, key: str, order: str, width: int = 10_000) -> Data
     r = r.withColumn("_in", F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)))
     joined = r.join(counts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
     return joined.withColumn("n", F.col("_before") + F.col("_in")).drop("_range", "_in", "_key", "_at", "_before")
+
+
+def running(rows: DataFrame, key: str, order: str, value: str, width: int = 10_000) -> DataFrame:
+    """Adds before, the sum of `value` over a key's earlier rows by `order`; ranges of `order` are summed apart.
+
+    `order` is a whole number, unique in a key; null values count as 0. Only the sums of ranges, not the rows, go
+    through one window of a key. An empty table gives an empty one.
+    """
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    r = rows.withColumn("_range", F.floor(F.col(order) / width))
+    sums = r.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_at")).agg(F.sum(value).alias("_sum"))
+    sums = sums.select("_key", "_at", F.coalesce(F.sum("_sum").over(earlier(Window.partitionBy("_key").orderBy("_at"))), F.lit(0)).alias("_earlier"))
+    r = r.withColumn("_in", F.coalesce(F.sum(value).over(earlier(Window.partitionBy(key, "_range").orderBy(order))), F.lit(0)))
+    joined = r.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
+    return joined.withColumn("before", (F.col("_earlier") + F.col("_in")).cast("long")).drop("_range", "_in", "_key", "_at", "_earlier")
+
+
+def size_caps(members: DataFrame, member_cap: int = 8 << 20, book_cap: int = 64 << 20) -> DataFrame:
+    """members (book, pos, bytes) with running (bytes up to it), over and book_failed.
+
+    A member is over if it has more bytes than a member may have, or with those before it more than a book may have;
+    one such member fails its book. pos is unique in a book; null bytes count as 0.
+    """
+    m = running(members, "book", "pos", "bytes")
+    m = m.withColumn("running", F.col("before") + F.coalesce("bytes", F.lit(0))).drop("before")
+    m = m.withColumn("over", (F.coalesce("bytes", F.lit(0)) > member_cap) | (F.col("running") > book_cap))
+    failed = m.groupBy(F.col("book").alias("_book")).agg(F.max("over").alias("book_failed"))
+    return m.join(failed, F.col("book").eqNullSafe(F.col("_book"))).drop("_book")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import intervals, vectors
-from lectern.plans import resume, timeline
+from lectern.plans import resume, status, timeline
 from lectern.registry import ORACLE_SQL, QUERIES, query
 from lectern.sources import tables as S
 
@@ -104,9 +104,14 @@ def corpus_summary(spark, d):
 @query(f"""with {CHUNKS}, each as (select doc_id, unnest(cs) c, generate_subscripts(cs, 1) pos from chunks)
     select source, cast(row_number() over (partition by source order by doc_id, pos) - 1 as bigint) chunk_index, doc_id, cast(length(c) as bigint) n_chars from each join documents using (doc_id)""")
 def chunk_book(spark, d):
-    c = _chunks(spark, d).select("source", "doc_id", F.posexplode("cs").alias("pos", "c"))
-    order = Window.partitionBy("source").orderBy("doc_id", "pos")
-    return c.select("source", (F.row_number().over(order) - 1).cast("long").alias("chunk_index"), "doc_id", F.length("c").cast("long").alias("n_chars"))
+    c = _numbered_chunks(spark, d, F.length)
+    return c.select("source", F.col("idx").alias("chunk_index"), "doc_id", F.col("of").cast("long").alias("n_chars"))
+
+
+def _numbered_chunks(spark, d, of):
+    """source, doc_id, idx (the chunk's number in its source) and `of` each chunk; documents are numbered, not chunks."""
+    c = _chunks(spark, d).select("source", "doc_id", F.transform("cs", of).alias("of")).withColumn("n", F.size("of").cast("long"))
+    return status.running(c, "source", "doc_id", "n").select("source", "doc_id", "before", F.posexplode("of").alias("pos", "of")).withColumn("idx", F.col("before") + F.col("pos"))
 
 
 @query(f"""with {CHUNKS}, each as (select doc_id, unnest(cs) c, generate_subscripts(cs, 1) pos from chunks),
@@ -114,9 +119,8 @@ def chunk_book(spark, d):
     select source, cast(i as bigint) idx, doc_id, md5(c) text_md5, case when i % 7 < 5 then printf('chunks/%06d.wav', i) end audio_file from n""")
 def chunk_manifest(spark, d):
     """The manifest's chunk rows; the file is named where the chunk is complete."""
-    c = _chunks(spark, d).select("source", "doc_id", F.posexplode("cs").alias("pos", "c"))
-    c = c.withColumn("idx", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "pos")) - 1).cast("long"))
-    return c.select("source", "idx", "doc_id", F.md5(F.col("c").cast("binary")).alias("text_md5"), F.when(F.col("idx") % 7 < 5, F.format_string("chunks/%06d.wav", "idx")).alias("audio_file"))
+    c = _numbered_chunks(spark, d, lambda t: F.md5(t.cast("binary")))
+    return c.select("source", "idx", "doc_id", F.col("of").alias("text_md5"), F.when(F.col("idx") % 7 < 5, F.format_string("chunks/%06d.wav", "idx")).alias("audio_file"))
 
 
 @query(f"""with {CHUNKS}, each as (select doc_id, unnest(cs) c, generate_subscripts(cs, 1) pos from chunks),
@@ -162,11 +166,12 @@ def language_support(spark, d):
     return yes.unionByName(no).groupBy("lang", "supported").agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query("""with r as (select doc_id, source, n_chars, sum(n_chars) over (partition by source order by doc_id) running from documents where n_chars <= 8000)
-    select doc_id, source, cast(running as bigint) running from r where running <= 100000""")
+@query(f"""with m as (select doc_id, source, coalesce(strlen(text), 0) n from documents), r as (select *, sum(n) over (partition by source order by doc_id) running from m)
+    select doc_id, source, cast(running as bigint) running, n > {8 << 20} or running > {64 << 20} "over", bool_or(n > {8 << 20} or running > {64 << 20}) over (partition by source) book_failed from r""")
 def size_caps(spark, d):
-    docs = S.read(spark, d, "documents").filter("n_chars <= 8000").withColumn("running", F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id")))
-    return docs.filter("running <= 100000").select("doc_id", "source", "running")
+    """Every document as a member of its source's archive."""
+    m = S.read(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("pos"), F.octet_length("text").cast("long").alias("bytes"))
+    return status.size_caps(m).select(F.col("pos").alias("doc_id"), F.col("book").alias("source"), "running", "over", "book_failed")
 
 
 _SUP = T.SUPERSCRIPTS

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import intervals, signals
-from lectern.plans import timeline
+from lectern.plans import status, timeline
 import __spark_entry__  # noqa: F401
 from lectern.registry import ORACLE_SQL, QUERIES
 
@@ -97,6 +97,18 @@ def test_frame_signal(spark):
     assert got == [(1, 0, [1.0, 2.0]), (1, 1, [3.0, 4.0]), (5, 0, [6.0, 7.0])]
 
 
+def test_size_caps(spark):
+    rows = [("a", 1, 4), ("a", 20_001, 5), ("a", 2, None), ("b", 1, 11), ("b", 2, 1), ("c", 5, 6), ("c", 10_007, 6), ("c", 9_999, 8), (None, 1, 3), (None, 2, 10)]
+    got = {tuple(r) for r in status.size_caps(spark.createDataFrame(rows, "book string, pos long, bytes long"), 10, 19).select("book", "pos", "running", "over", "book_failed").collect()}
+    want = set()
+    for book in {r[0] for r in rows}:
+        own, total = sorted(r[1:] for r in rows if r[0] == book), 0
+        found = [(p, total := total + (n or 0), (n or 0) > 10 or total > 19) for p, n in own]
+        want |= {(book, *x, any(y[2] for y in found)) for x in found}
+    assert got == want
+    assert status.size_caps(spark.createDataFrame([], "book string, pos long, bytes long")).count() == 0
+
+
 def test_runs_against_loops(spark):
     rows = [(c, i, (i * 7 + c) % 5 < 2, (i * 3 + c) % 7 < 5) for c in range(3) for i in range(60)]
     frames = spark.createDataFrame(rows, "clip long, frame_no long, flag boolean, support boolean")
