@@ -87,8 +87,8 @@ def pad_ragged(rows: DataFrame) -> DataFrame:
     return r.select("vec_id", F.concat("v", F.array_repeat(F.lit(0.0), F.col("most") - F.col("own"))).alias("v"), F.concat(*padding).alias("mask"))
 
 
-def trim_tokens(tokens: Column, first: int, last: int, limit: int) -> Column:
-    """Tokens after the first `first` and before the first `last`, below `limit` only."""
+def trim_tokens(tokens: Column, first: int, last: int, limit: int, most: int = 1001) -> Column:
+    """Tokens after the first `first` and before the first `last`, below `limit` only. Without a `last` place `most` ends them."""
     a, b = F.array_position(tokens, F.lit(first)), F.array_position(tokens, F.lit(last))
-    end = F.when(b > 0, b - 1).otherwise(F.size(tokens))
+    end = F.when(b > 0, b - 1).otherwise(F.least(F.size(tokens), F.lit(most)))
     return F.filter(F.slice(tokens, (a + 1).cast("int"), F.greatest(end - a, F.lit(0)).cast("int")), lambda x: x < limit)

@@ -570,7 +570,7 @@ def pad_ragged(spark, d):
 
 
 @query("""with t as (select vec_id, list_transform(embedding, lambda x: cast(floor(abs(x::double) * 40) as int)) t from embeddings), p as (select vec_id, t, coalesce(list_position(t, 3), 0) a, coalesce(list_position(t, 4), 0) b from t)
-    select vec_id, array_to_string(list_filter(t[a + 1:case when b > 0 then b - 1 else len(t) end], lambda x: x < 8), ',') tokens from p""")
+    select vec_id, array_to_string(list_filter(t[a + 1:case when b > 0 then b - 1 else least(len(t), 1001) end], lambda x: x < 8), ',') tokens from p""")
 def trim_tokens(spark, d):
     t = S.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 40).cast("int")).alias("t"))
     return t.select("vec_id", F.array_join(F.transform(vectors.trim_tokens(F.col("t"), 3, 4, 8), lambda x: x.cast("string")), ",").alias("tokens"))

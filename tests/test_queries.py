@@ -5,7 +5,7 @@ from conftest import SF, same_rows
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import intervals, signals
+from lectern.operators import intervals, signals, vectors
 from lectern.plans import status, timeline
 import __spark_entry__  # noqa: F401
 from lectern.registry import ORACLE_SQL, QUERIES
@@ -109,6 +109,13 @@ def test_size_caps(spark):
     assert status.size_caps(spark.createDataFrame([], "book string, pos long, bytes long")).count() == 0
 
 
+def test_trim_tokens(spark):
+    long = [7, *range(10, 3000)]
+    rows = spark.createDataFrame([(1, [5, 7, 1, 99, 2, 8, 3]), (2, [1, 2]), (3, []), (4, None), (5, long), (6, [8, 1, 7, 2])], "i int, t array<int>")
+    got = [r["x"] for r in rows.select("i", vectors.trim_tokens(F.col("t"), 7, 8, 5000).alias("x")).orderBy("i").collect()]
+    assert got == [[1, 99, 2], [1, 2], [], None, long[1:1001], []]
+
+
 def test_runs_against_loops(spark):
     rows = [(c, i, (i * 7 + c) % 5 < 2, (i * 3 + c) % 7 < 5) for c in range(3) for i in range(60)]
     frames = spark.createDataFrame(rows, "clip long, frame_no long, flag boolean, support boolean")
