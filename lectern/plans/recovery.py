@@ -19,7 +19,7 @@ def split_tree(chunks: DataFrame, depth: int = DEPTH) -> DataFrame:
     job: each round puts a row's parts beside it. Null texts count as empty.
     """
     rows = chunks.select("id", F.lit("").alias("path"), F.coalesce("text", F.lit("")).alias("part"), F.lit(True).alias("fresh"), F.lit(False).alias("splits"))
-    for level in range(depth):
+    for level in range(depth):  # explode_outer: a plain explode has a filter on its array, for which the parts are computed again
         parts = F.when(F.col("fresh") & (F.size(T.sentences(F.col("part"))) > 1), T.recovery_split(F.col("part")))
         rows = rows.withColumn("parts", parts)
         two = F.size("parts") == 2
@@ -29,7 +29,7 @@ def split_tree(chunks: DataFrame, depth: int = DEPTH) -> DataFrame:
         node = lambda path, part, fresh, splits: F.struct(path.alias("path"), part.alias("part"), F.lit(fresh).alias("fresh"), splits.alias("splits"))
         own = F.array(node(F.col("path"), F.col("part"), False, F.col("splits") | F.col("two")))
         below = F.transform("parts", lambda p, i: node(F.concat("path", (i + 1).cast("string")), p, True, F.lit(False)))
-        rows = rows.select("id", F.explode(F.when(F.col("two"), F.concat(own, below)).otherwise(own)).alias("x")).select("id", "x.*")
+        rows = rows.select("id", F.explode_outer(F.when(F.col("two"), F.concat(own, below)).otherwise(own)).alias("x")).select("id", "x.*")
     return rows.drop("fresh")
 
 

@@ -39,4 +39,5 @@ def normalize_multilingual(spark, d):
     """Each document as a prompt of the multilingual model, normalised."""
     docs = T.clean_text(S.read(spark, d, "documents").filter("text is not null and lang is not null").select("doc_id", "lang", "text"))
     prompt = F.concat(F.lit("<"), "lang", F.lit(">[START]"), T.punc_norm(F.col("cleaned")), F.lit("[STOP]"))
-    return docs.select("doc_id", F.md5(multilingual.normalize_multilingual(prompt).cast("binary")).alias("normalized_md5"))
+    done = multilingual.normalize_multilingual(docs.select("doc_id", prompt.alias("prompt")))
+    return done.select("doc_id", F.md5(F.col("normalized").cast("binary")).alias("normalized_md5"))

@@ -101,7 +101,7 @@ def test_normalize_multilingual(spark):
         "<KO>x": "[ko]x", "<ko>[START] 한 [STOP]": "[START][ko]" + unicodedata.normalize("NFKD", "한") + "[STOP]", "No tag [STOP] here": "no[SPACE]tag[SPACE][stop][SPACE]here",
         "<de>A > B": "[de]a[SPACE]", "<>ﬁ": "fi", "<en": None, "": "", None: None, "[STOP]": "[STOP]",
     }
-    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", multilingual.normalize_multilingual(F.col("t"))).collect()
+    rows = multilingual.normalize_multilingual(spark.createDataFrame([(k,) for k in cases], "t string"), "t").collect()
     assert {r[0]: r[1] for r in rows} == cases
 
 
