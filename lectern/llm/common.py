@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,10 +44,20 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_owners: list[list[DataFrame]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, a folder of the
-    warehouse, which is shared too."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lectern-shared"
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, as in tests, a folder of the warehouse; an error if that is on a local disk and the master isn't
+    local, for executors of a cluster would not see it.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lectern-shared"
+        if path.startswith(("file:", "/")) and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: {path} is on a local disk")
     return path.rstrip("/")
 
 
@@ -52,23 +65,44 @@ def settle(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again; tables `done`, settled before and not needed any more, are deleted.
 
     Cuts the lineage, so a lost executor costs a read and not the work behind it, and gives the planner real sizes:
-    whether a side is small enough to broadcast is then decided on the bytes that were written.
+    whether a side is small enough to broadcast is then decided on the bytes that were written. What is not deleted
+    before goes at the end of the scratch() that it was written in, and at the latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
+    at, store = _stored(out)
+    store.deleteOnExit(at)
+    if _owners:
+        _owners[-1].append(out)
     discard(*done)
     return out
 
 
+def _stored(table: DataFrame):
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.settled_at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what settle() wrote for these tables. Nothing that is still to be read may depend on them."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.settled_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        at, store = _stored(t)
+        store.delete(at, True)
+        store.cancelDeleteOnExit(at)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes, at its end, every table settled inside it: for callers that have written their results by then."""
+    _owners.append([])
+    try:
+        yield
+    finally:
+        discard(*_owners.pop())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

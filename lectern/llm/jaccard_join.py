@@ -203,7 +203,7 @@ def _mark() -> Column:
     return F.xxhash64(F.col("text").cast("string")).alias("mark")
 
 
-def _read(docs: DataFrame) -> DataFrame:
+def read_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _mark())
 
 
@@ -237,7 +237,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         often = counts >= OFTEN
         yield pa.RecordBatch.from_arrays([pa.array(known[often].view(np.int64)), pa.array(counts[often])], ["shingle", "n"])
 
-    rows = _read(docs).select("text", "mark").mapInArrow(count, "shingle long, n long")
+    rows = read_documents(docs).select("text", "mark").mapInArrow(count, "shingle long, n long")
     top = rows.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > 2 * OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
     keys, counts = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(keys)
@@ -270,18 +270,19 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts)))
                 yield pa.RecordBatch.from_arrays([ids[lo : lo + 2000], batch.column(2)[lo : lo + 2000], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), column], ["doc_id", "mark", "key", "n", "prefix"])
 
-    return _read(docs).mapInArrow(read, "doc_id long, mark long, key long, n long, prefix array<long>")
+    return read_documents(docs).mapInArrow(read, "doc_id long, mark long, key long, n long, prefix array<long>")
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
+def bitmap(keys: DataFrame, hashed: bool = False) -> np.ndarray:
     """A map of bits, one set for each of the keys (one column of whole numbers): BITS for each key, MOST_BITS at most.
+    hashed: the keys are hashes themselves.
 
     Its size is bounded at any scale, and so is what reaches the driver; with more keys it only lets more others pass.
     """
     n, size = keys.count(), 1 << 20
     while size < min(BITS * n, MOST_BITS):
         size *= 2
-    at = F.pmod(F.xxhash64(keys.columns[0]), F.lit(size))
+    at = F.pmod(F.col(keys.columns[0]) if hashed else F.xxhash64(keys.columns[0]), F.lit(size))
     words = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("word")).agg(F.bitmap_construct_agg((F.col("at") % 32768).cast("long")).alias("bits"))
     out = np.zeros(size // 8, dtype=np.uint8)
     for r in words.toLocalIterator():
@@ -289,7 +290,7 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _passes(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+def passes(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     at = hashed % (len(bits) * 8)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
@@ -300,7 +301,7 @@ def _able(known: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     shared: shingles that several prefixes have. prefix keeps what is among them (and few others), room the members from
     each place on. All is done row by row, before anything is shuffled.
     """
-    bits = known.sparkSession.sparkContext.broadcast(_bitmap(shared))
+    bits = known.sparkSession.sparkContext.broadcast(bitmap(shared))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,7 +310,7 @@ def _able(known: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
             n, values = n.to_numpy(), first.flatten().to_numpy()
             row = np.repeat(np.arange(len(n)), size)
             room = n[row] - (np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size))
-            ok = _passes(bits.value, hashed.flatten().to_numpy())
+            ok = passes(bits.value, hashed.flatten().to_numpy())
             count, most = np.bincount(row[ok], minlength=len(n)), np.zeros(len(n), dtype=np.int64)
             np.maximum.at(most, row[ok], room[ok])
             kept = -(-n * percent // 100)
@@ -334,9 +335,9 @@ def _kept(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100)
 
 
-def _needed(n: Column, percent: int) -> Column:
+def _needed(n: Column, percent: int, extra: int = EXTRA) -> Column:
     """Prefix shingles that a set of n shares with any that it links with, at least: as many as for the smallest of these."""
-    return F.greatest(F.lit(1), F.floor(_kept(n, percent) * EXTRA / 100))
+    return F.greatest(F.lit(1), F.floor(_kept(n, percent) * extra / 100))
 
 
 def _groups(known: DataFrame, percent: int) -> DataFrame:
@@ -352,17 +353,17 @@ def _groups(known: DataFrame, percent: int) -> DataFrame:
     return settle(rows.join(hubs.filter("low != high").select("shingle", "hub"), "shingle"), "jaccard-groups", able)
 
 
-def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """key, n and text of each class; classes: key, n, rep (a document of the class) and mark (its text's hash), settled.
 
     Other texts are left out before the shuffle.
     """
-    rows = _among(_read(docs).filter("doc_id is not null"), "doc_id", classes.select("rep"))
+    rows = among(read_documents(docs).filter("doc_id is not null"), "doc_id", classes.select("rep"))
     one = classes.select("key", "n", F.col("rep").alias("doc_id"), "mark")
     return rows.join(one, ["doc_id", "mark"]).groupBy("doc_id", "mark", "key", "n").agg(F.min("text").alias("text")).select("key", "n", "text")
 
 
-def _compare(texts: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
+def compare(texts: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b (keys) of linked classes. met: key and meets, the (pair, side) of each comparison; texts: key, n, component, text.
 
     A task takes many pairs of blocks, as most are small.
@@ -385,9 +386,9 @@ def _compare(texts: DataFrame, met: DataFrame, k: int, percent: int) -> DataFram
     return rows.select(task, "m.pair", "m.side", "key", "component", "text").groupBy("task").applyInPandas(links, "a long, b long")
 
 
-def _stars(groups: DataFrame, percent: int) -> DataFrame:
+def stars(groups: DataFrame, percent: int, extra: int = EXTRA) -> DataFrame:
     """key and meets: each class meets the hub that it shares most with; a hub meets its classes in parts of about STAR."""
-    ties = groups.filter("key != hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n")).filter(F.col("shared") >= _needed(F.col("n"), percent))
+    ties = groups.filter("key != hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n")).filter(F.col("shared") >= _needed(F.col("n"), percent, extra))
     best = ties.groupBy("key").agg(F.max(F.struct("shared", "hub"))["hub"].alias("hub"))
     best = settle(best, "jaccard-best")
     parts = best.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts"))
@@ -404,19 +405,19 @@ def _fits(percent: int) -> Column:
     return sizes & ~one
 
 
-def _among(rows: DataFrame, name: str, keys: DataFrame) -> DataFrame:
+def among(rows: DataFrame, name: str, keys: DataFrame) -> DataFrame:
     """rows whose column `name` is among keys (settled), and few others; no row is shuffled."""
-    bits = rows.sparkSession.sparkContext.broadcast(_bitmap(keys))
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap(keys))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_passes(bits.value, batch.column(batch.num_columns - 1).to_numpy())))
+            yield batch.filter(pa.array(passes(bits.value, batch.column(batch.num_columns - 1).to_numpy())))
 
     hashed = rows.withColumn("hashed", F.xxhash64(name))
     return hashed.mapInArrow(select, hashed.schema).drop("hashed")
 
 
-def _open(rows: DataFrame, percent: int) -> DataFrame:
+def _open(rows: DataFrame, percent: int, extra: int) -> DataFrame:
     """rows (shingle, key, component and others, settled) of groups of several components and of classes that still can
     link, and few others.
 
@@ -426,19 +427,20 @@ def _open(rows: DataFrame, percent: int) -> DataFrame:
     for _ in range(2):
         apart = rows.groupBy("shingle").agg(F.min("component").alias("from"), F.max("component").alias("to")).filter(F.col("from") != F.col("to")).select("shingle")
         apart = settle(apart, "jaccard-apart")
-        rows = settle(_among(rows, "shingle", apart), "jaccard-open", rows, apart)
+        rows = settle(among(rows, "shingle", apart), "jaccard-open", rows, apart)
         able = rows.groupBy("key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("shared"), F.max("room").alias("room"))
-        able = settle(able.filter((F.col("shared") >= _needed(F.col("n"), percent)) & (F.col("room") >= _kept(F.col("n"), percent))).select("key"), "jaccard-can")
-        rows = settle(_among(rows, "key", able), "jaccard-open", rows, able)
+        able = settle(able.filter((F.col("shared") >= _needed(F.col("n"), percent, extra)) & (F.col("room") >= _kept(F.col("n"), percent))).select("key"), "jaccard-can")
+        rows = settle(among(rows, "key", able), "jaccard-open", rows, able)
     return rows
 
 
-def _meetings(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def meetings(groups: DataFrame, classes: DataFrame, percent: int, extra: int = EXTRA) -> DataFrame:
     """key and meets: the (pair, side) of every comparison of blocks that a class takes part in.
 
     groups: as _groups() gives them; classes: key, n and component so far. Groups inside one component are left out.
+    extra: the percentage of a set that links share in groups at least; 0: one group.
     """
-    rows = _open(settle(groups.join(classes.select("key", "component"), "key"), "jaccard-known"), percent)
+    rows = _open(settle(groups.join(classes.select("key", "component"), "key"), "jaccard-known"), percent, extra)
     ties = rows.filter("key != hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= TIES)
     families = components(ties.select(F.col("hub").alias("a"), F.col("key").alias("b")))
     members = rows.select("key", "n").distinct().join(families, F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce(families["component"], "key").alias("family"))
@@ -459,11 +461,11 @@ def _meetings(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     hot = settle(rows.join(at.filter(F.col("met") > HOT).select("shingle").distinct(), "shingle").select("shingle", "key", "n", "room", "component"), "jaccard-hot")
     heat = hot.groupBy("key").agg(F.count(F.lit(1)).alias("hot"))
     seen = rows.select("shingle", "block", "key", "n", "room").join(ends, ["shingle", "block"]).groupBy("key", "m").agg(F.max("n").alias("n"), F.max("room").alias("room"), F.count(F.lit(1)).alias("shared")).join(heat, "key", "left")
-    enough = F.col("shared") >= _needed(F.col("n"), percent) - F.coalesce("hot", F.lit(0))
+    enough = F.col("shared") >= _needed(F.col("n"), percent, extra) - F.coalesce("hot", F.lit(0))
     across = seen.filter(enough & (F.col("hot").isNotNull() | (F.col("room") >= _kept(F.col("n"), percent)))).select("key", "m")
 
     # links that may share such groups only: these are cut anew by size, so that only parts of fitting sizes meet
-    crowd = hot.join(heat, "key").filter(F.col("hot") >= _needed(F.col("n"), percent)).drop("hot")
+    crowd = hot.join(heat, "key").filter(F.col("hot") >= _needed(F.col("n"), percent, extra)).drop("hot")
     crowd = crowd.withColumn("step", (F.log(F.col("n").cast("double")) / F.log(F.lit(101.0 / percent))).cast("long"))
     wide = crowd.groupBy("shingle", "step").agg(F.ceil(F.sum("n") / BLOCK).alias("cuts"))
     cut = crowd.join(wide, ["shingle", "step"]).withColumn("block", F.xxhash64("shingle", "step", F.pmod(F.xxhash64("key"), "cuts")))
@@ -477,7 +479,7 @@ def _meetings(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return settle(across.unionByName(crowded).groupBy("key").agg(F.collect_list("m").alias("meets")), "jaccard-meets", rows, at, hot, cut, spans)
 
 
-def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
     """classes with component: the least key reachable by links."""
     found = components(links).select(F.col("node").alias("key"), F.col("component").alias("found"))
     return classes.drop("component").join(found, "key", "left").withColumn("component", F.coalesce("found", "key")).drop("found")
@@ -490,13 +492,13 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     classes = settle(known.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.max("n").alias("n")).select("key", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "n"), "jaccard-classes")
     groups = _groups(known, percent)
     some = settle(classes.join(groups.select("key").distinct(), "key"), "jaccard-some")
-    texts = settle(_texts(docs, some), "jaccard-texts")
-    met = settle(_stars(groups, percent), "jaccard-star-meets")
-    stars = settle(_compare(texts.withColumn("component", F.col("key")), met, k, percent), "jaccard-stars", met)
-    some = settle(_joined(some, stars).select("key", "n", "component"), "jaccard-starred", some)
-    met = _meetings(groups, some, percent)
-    links = settle(_compare(texts.join(some.select("key", "component"), "key"), met, k, percent).unionByName(stars), "jaccard-links")
-    grouped = _joined(classes, links)
+    texts = settle(class_texts(docs, some), "jaccard-texts")
+    met = settle(stars(groups, percent), "jaccard-star-meets")
+    stars = settle(compare(texts.withColumn("component", F.col("key")), met, k, percent), "jaccard-stars", met)
+    some = settle(joined(some, stars).select("key", "n", "component"), "jaccard-starred", some)
+    met = meetings(groups, some, percent)
+    links = settle(compare(texts.join(some.select("key", "component"), "key"), met, k, percent).unionByName(stars), "jaccard-links")
+    grouped = joined(classes, links)
     least = grouped.groupBy("component").agg(F.min(F.struct("rep", "mark")).alias("first"))
     out = settle(grouped.join(least, "component").select("key", "component", "first"), "jaccard-components")
     discard(groups, texts, stars, some, met, links, classes)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, html_text, jaccard_join, language, mixing, quality_model, quality_rules, token_counts, url_filter
+from lectern.llm import chat, decontaminate, html_text, jaccard_join, language, minhash, mixing, phrases, quality_model, quality_rules, token_counts, url_filter, whitening
 from lectern.llm.common import table
 
 #: host, path and verdict of the explicit URL rules.
@@ -90,7 +90,40 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_token_counts, op4_url_filters, op5_html_extraction, op6_jaccard_join, op7_quality_classifier, op8_decontamination, op9_mixing, op10_language_id)}
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates that share 85% of their three-word shingles; the first of each component is kept."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest collocations of each language, counted over all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_token_counts, op4_url_filters, op5_html_extraction, op6_jaccard_join, op7_quality_classifier, op8_decontamination, op9_mixing, op10_language_id, op11_minhash_dedup, op12_phrase_mining, op13_embedding_whitening)}
+
+
+def _components_sql(k: int, columns: str) -> str:
+    """Components of documents that share 85% of their k-word shingles."""
+    return rf"""
+        with recursive words as (
+            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x != '') w from documents
+        ), sets as (
+            select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - {k - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) end s from words
+        ), rows as (select doc_id, len(s) n, unnest(s) g from sets
+        ), pairs as (
+            select a.doc_id x, b.doc_id y from rows a join rows b on a.g = b.g and a.doc_id < b.doc_id and 100 * a.n >= 85 * b.n and 100 * b.n >= 85 * a.n
+            group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), links as (select x, y from pairs union all select y, x from pairs
+        ), reach as (select x, y from links union select r.x, l.y from reach r join links l on l.x = r.y
+        ), least as (select x, min(y) y from reach group by x)
+        select doc_id, cast(len(s) as bigint) n_shingles, {columns} from sets left join least on x = doc_id"""
+
 
 ORACLE_SQL = {
     "op1_chat_formatting": rf"""
@@ -105,17 +138,6 @@ ORACLE_SQL = {
             cast(sum({len(chat.START)} + length(replace(replace(replace(r, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + 1
                 + length(replace(replace(t, '\', '\\'), '<|', '<\|')) + {len(chat.END)} + 1) as bigint) formatted_chars
         from turns group by conv_id""",
-    "op6_jaccard_join": r"""
-        with recursive words as (
-            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x != '') w from documents
-        ), sets as (
-            select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) end s from words
-        ), rows as (select doc_id, len(s) n, unnest(s) g from sets
-        ), pairs as (
-            select a.doc_id x, b.doc_id y from rows a join rows b on a.g = b.g and a.doc_id < b.doc_id and 100 * a.n >= 85 * b.n and 100 * b.n >= 85 * a.n
-            group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
-        ), links as (select x, y from pairs union all select y, x from pairs
-        ), reach as (select x, y from links union select r.x, l.y from reach r join links l on l.x = r.y
-        ), least as (select x, min(y) y from reach group by x)
-        select doc_id, cast(len(s) as bigint) n_shingles, least(doc_id, coalesce(y, doc_id)) component_id from sets left join least on x = doc_id""",
+    "op6_jaccard_join": _components_sql(4, "least(doc_id, coalesce(y, doc_id)) component_id"),
+    "op11_minhash_dedup": _components_sql(3, "least(doc_id, coalesce(y, doc_id)) component_id, doc_id <= coalesce(y, doc_id) kept"),
 }
