@@ -5,8 +5,9 @@ capacities from the source and to the sink. Blocks that follow one another, or l
 smoothness edges. The minimum cut of that graph separates content from boilerplate. All takes time linear in the page,
 however deep it is nested.
 
-The classifier's weights are set by hand, not learned: one strong mark (an element or a class made for boilerplate)
-outweighs what length and markup of prose can give, and links alone outweigh a short text. Marks are read relative to the
+The classifier's weights are set by hand, not learned. None outweighs all others: a block of one word has odds against it
+even within an article, and it is the edges to its neighbours there that make it content; a lone sentence between menus
+goes with these. Edges fall steeply with the distance in the DOM, so the border of an article is cheap to cut. Marks are read relative to the
 page's root, the element that holds the article: what encloses the root says nothing about the blocks in it.
 """
 
@@ -36,9 +37,9 @@ SHADY = frozenset("ad ads adv advert advertisement advertising banner sponsor sp
 GOOD = frozenset("article content main post entry story body text".split())
 STATE = frozenset("with without has no not is enabled disabled enable disable open closed on off active inactive ready visible allowed layout page".split())
 # Weights of the classifier; OUTER is the share that a mark above an article or main element has
-W_BIAS, W_WORDS, W_LINKS, W_PROSE, W_MAIN, W_TAG, W_SHADY, W_GOOD, W_HEADER, W_SIGN, W_OUT = -0.6, 0.9, -3.5, 0.8, 3.0, -9.0, -7.0, 0.7, -6.0, -2.0, -2.5
+W_BIAS, W_WORDS, W_LINKS, W_PROSE, W_MAIN, W_TITLE, W_TAG, W_SHADY, W_GOOD, W_HEADER, W_SIGN, W_OUT = -2.7, 1.0, -2.5, 0.8, 1.8, 0.9, -3.0, -2.5, 0.4, -2.0, -1.0, -1.0
 OUTER = 0.3
-SMOOTH, REACH = 0.5, 3
+SMOOTH, DECAY, REACH = 0.8, 2.0, 3
 
 # A quoted value that runs from a tag's end into the next tag has lost its quote: the quote is then a character
 _VALUE = r"""\s*+(?:"(?![^"<>]*+>[^"<]*+<[a-zA-Z/!])[^"]*+"|'(?![^'<>]*+>[^'<]*+<[a-zA-Z/!])[^']*+')"""
@@ -215,19 +216,27 @@ def score(found: list[Block], elements: list[Element]) -> None:
     for b in found:
         main, tag, outer, shady, good, header, heading, near = b.at.says
         x = W_BIAS + W_WORDS * min(2.0, math.log1p(b.text.count(" ")) / 2) + W_LINKS * min(1.0, b.linked / len(b.text))
-        x += W_PROSE * (near > 0) + W_MAIN * main + W_TAG * tag + W_SHADY * (shady or outer and OUTER) + W_GOOD * good
+        x += W_PROSE * (near > 0) + W_MAIN * main + W_TITLE * (main and heading) + W_TAG * tag + W_SHADY * (shady or outer and OUTER) + W_GOOD * good
         x += W_HEADER * (header and not (main and heading)) + W_OUT * (strong and not main and not heading) + W_SIGN * b.text.startswith("©")
         b.odds = x
 
 
+def _level(b: Block) -> int:
+    """The depth of the block element that a block lies in: marks inside a line are no distance."""
+    e = b.at
+    while e.up and e.name not in BLOCKS:
+        e = e.up
+    return e.depth
+
+
 def edges(found: list[Block]) -> dict[tuple[int, int], float]:
     """Smoothness between blocks up to REACH apart, falling with their distance in page and DOM."""
-    out = {}
+    out, level = {}, [_level(b) for b in found]
     for i, a in enumerate(found):
         low = a.at.depth
         for j in range(i + 1, min(i + 1 + REACH, len(found))):
             low = min(low, found[j].low)
-            out[i, j] = SMOOTH / (j - i) * math.exp(-max(0, a.at.depth + found[j].at.depth - 2 * low - 2) / 2)
+            out[i, j] = SMOOTH / (j - i) * math.exp(-max(0, level[i] + level[j] - 2 * min(low, level[i], level[j]) - 2) * DECAY)
     return out
 
 

@@ -1,8 +1,10 @@
 """Quality rules whose thresholds follow the data.
 
 Each text is measured by built-in functions in one narrow stage. Per language and source, KLL quantile sketches of the
-measures are built and merged upwards (source -> language -> all), fences around the middle half of each group replace
-fixed cutoffs, and the fences are joined back to filter. Only DataFrame functions: no Python runs on the executors.
+measures are built and merged upwards (source -> language -> all); fences beyond the middle half of each group's values
+replace fixed cutoffs, and the fences are joined back to filter. A group's quantiles are drawn towards its language's,
+and these towards those of all, by the number of values that they rest on; there is no least size. Only DataFrame
+functions: no Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -10,23 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import NOT_GAP, settle, text_or_empty, words
+from lectern.llm.common import GAP, NOT_GAP, settle, text_or_empty, unused, words
 
 SYMBOLS = "#*$%&|<>"
-#: measure -> (which side is judged, least width of the middle half). A fence lies `reach` widths beyond the quartile.
-MEASURES = {
-    "mean_word_chars": ("both", 0.7),
-    "symbol_share": ("high", 0.03),
-    "dup_line_share": ("high", 0.2),
-    "repeat_share": ("high", 0.12),
-    "upper_share": ("high", 0.06),
-    "mark_share": ("high", 0.12),
-}
+#: measure -> which side is judged. Sketches hold the values above 0: where a measure is mostly 0 (repeats), documents
+#: that have some are compared with others that have some, and 0 is never too much.
+MEASURES = {"mean_word_chars": "both", "other_share": "high", "upper_share": "high", "dup_line_share": "high", "repeat_share": "high"}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-REACH = 3.0
+#: Widths of the middle half from a quartile to the fence, and documents for which the wider group counts.
+REACH, PRIOR = 7.0, 100
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Groups below this size take the fences of their language, and languages below it those of all documents.
-LEAST_GROUP = 200
 SKETCH_K = 400
 
 
@@ -41,58 +36,68 @@ def measure(docs: DataFrame) -> DataFrame:
 
     Null text counts as empty; without words every share is 0. Windows of three words compare by 64-bit hash.
     """
-    d = docs.withColumn("_t", text_or_empty(F.col("text"))).withColumn("_w", words(F.col("_t")))
-    gram = lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
-    d = d.withColumn("_g", F.when(F.size("_w") > 2, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), gram)))
-    repeats = F.size(F.array_distinct("_g")) < F.size("_g")
-    d = d.withColumn("_s", F.when(repeats, F.sort_array(F.transform("_g", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
-    d = d.withColumn("_r", F.when(F.col("_s").isNotNull(), _repeat_positions("_g", "_s")))
-    covered = F.aggregate("_r", F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n")), lambda a: a["n"])
-    d = d.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(NOT_GAP)))
+    t, w, g, s, r, l, n_lines, upper, other = own = unused(docs, *(f"own_{i}" for i in range(9)))
+    d = docs.withColumn(t, text_or_empty(F.col("text"))).withColumn(w, words(F.col(t)))
+    gram = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    d = d.withColumn(g, F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(0), F.size(w) - 3), gram)))
+    repeats = F.size(F.array_distinct(g)) < F.size(g)
+    d = d.withColumn(s, F.when(repeats, F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
+    d = d.withColumn(r, F.when(F.col(s).isNotNull(), _repeat_positions(g, s)))
+    covered = F.aggregate(r, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n")), lambda a: a["n"])
+    d = d.withColumn(l, F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_GAP)))
     size = lambda c: F.size(c).cast("long")
-    chars = F.length(F.regexp_replace("_t", r"[\x20\x09-\x0D]+", "")).cast("long")
-    without = lambda pattern: F.length("_t") - F.length(F.regexp_replace("_t", pattern, ""))
     d = d.withColumns({
-        "n_words": size("_w"), "word_chars": chars, "n_dup_lines": size("_l") - size(F.array_distinct("_l")),
-        "n_symbols": (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long"),
-        "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"), "_n_lines": size("_l"),
-        "_upper": without(r"\p{Lu}+"), "_marks": without(r"[!?;:=~^_]+"),
+        "n_words": size(w), "word_chars": F.length(F.regexp_replace(t, GAP, "")).cast("long"),
+        "n_dup_lines": size(l) - size(F.array_distinct(l)), "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"), n_lines: size(l),
+        upper: F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}+", "")), other: F.length(F.regexp_replace(t, r"[\p{L}\p{N}\p{M}\s]+", "")),
     })
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     d = d.withColumns({
         "base_failed": (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT),
-        "mean_word_chars": share("word_chars", "n_words"), "symbol_share": share("n_symbols", "n_words"),
-        "dup_line_share": share("n_dup_lines", "_n_lines"), "repeat_share": share("n_repeat_words", "n_words"),
-        "upper_share": share("_upper", "word_chars"), "mark_share": share("_marks", "n_words"),
+        "mean_word_chars": share("word_chars", "n_words"), "other_share": share(other, "word_chars"), "upper_share": share(upper, "word_chars"),
+        "dup_line_share": share("n_dup_lines", n_lines), "repeat_share": share("n_repeat_words", "n_words"),
     })
-    return d.drop("_t", "_w", "_g", "_s", "_r", "_l", "_n_lines", "_upper", "_marks")
+    return d.drop(*own)
 
 
 def sketch(measured: DataFrame) -> DataFrame:
-    """Per language and source a mergeable sketch of each measure, over the documents that pass the base rules."""
+    """Per language and source, for each measure, a mergeable sketch of its values above 0 and their number n_, over the
+    documents that pass the base rules."""
     rows = measured.filter(~F.col("base_failed"))
-    return rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES])
+    some = {m: F.when(F.col(m) > 0, F.col(m)) for m in MEASURES}
+    return rows.groupBy("lang", "source").agg(*[x for m, v in some.items() for x in (F.count(v).alias(f"n_{m}"), F.kll_sketch_agg_double(v, F.lit(SKETCH_K)).alias(m))])
 
 
-def fences(sketches: DataFrame, reach: float = REACH, least_group: int = LEAST_GROUP) -> DataFrame:
-    """Per language and source the low and high fence of each measure, from the finest group that is large enough.
+def _merged(sketches: DataFrame, *keys: str) -> DataFrame:
+    return sketches.groupBy(*keys).agg(*[x for m in MEASURES for x in (F.sum(f"n_{m}").alias(f"n_{m}"), F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m))])
 
-    sketches: as sketch() returns them, from one table or united from several; equal groups are merged first.
+
+def _quartiles(group: str, m: str) -> list[Column]:
+    """A group's quartiles of a measure, null without a value."""
+    return [F.when(F.col(f"{group}.n_{m}") > 0, F.kll_sketch_get_quantile_double(F.col(f"{group}.{m}"), F.lit(q))) for q in (0.25, 0.75)]
+
+
+def fences(sketches: DataFrame, reach: float = REACH, prior: float = PRIOR) -> DataFrame:
+    """Per language and source the low and high fence of each measure.
+
+    sketches: as sketch() returns them, from one table or united from several; equal groups are merged first. A group's
+    quartiles weigh n / (n + prior) against its language's, and these as much against those of all documents. Where the
+    quartiles that come out are equal the measure has no spread to go by, and no fence (infinity).
     """
-    merged = lambda rows, *keys: rows.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES])
-    fine = merged(sketches, "lang", "source")
-    coarse = merged(fine, "lang")
-    whole = merged(coarse).select(*[F.col(m).alias(f"all_{m}") for m in MEASURES])
-    coarse = coarse.select("lang", F.col("n").alias("lang_n"), *[F.col(m).alias(f"lang_{m}") for m in MEASURES])
-    f, c = fine.alias("f"), coarse.alias("c")
-    rows = f.join(c, F.col("f.lang").eqNullSafe(F.col("c.lang"))).drop(F.col("c.lang")).join(whole)
+    fine = settle(_merged(sketches, "lang", "source"), "quality-fine")
+    coarse = settle(_merged(fine, "lang"), "quality-coarse")
+    rows = fine.alias("f").join(coarse.alias("c"), F.col("f.lang").eqNullSafe(F.col("c.lang"))).join(_merged(coarse).alias("a"))
     out = []
-    for m, (side, least) in MEASURES.items():
-        best = F.when(F.col("n") >= least_group, F.col(m)).when(F.col("lang_n") >= least_group, F.col(f"lang_{m}")).otherwise(F.col(f"all_{m}"))
-        low, high = (F.kll_sketch_get_quantile_double(best, F.lit(q)) for q in (0.25, 0.75))
-        width = F.greatest(high - low, F.lit(least))
-        out += [(low - reach * width if side == "both" else F.lit(float("-inf"))).alias(f"{m}_low"), (high + reach * width).alias(f"{m}_high")]
-    return rows.select("lang", "source", *out)
+    for m, side in MEASURES.items():
+        drawn = _quartiles("a", m)
+        for group in ("c", "f"):
+            weight = F.col(f"{group}.n_{m}") / (F.col(f"{group}.n_{m}") + prior)
+            drawn = [F.coalesce(weight * own + (1 - weight) * wide, wide) for own, wide in zip(_quartiles(group, m), drawn)]
+        low, high = drawn
+        some = F.coalesce(high > low, F.lit(False))
+        out += [F.when(some & F.lit(side == "both"), low - reach * (high - low)).otherwise(float("-inf")).alias(f"{m}_low"), F.when(some, high + reach * (high - low)).otherwise(float("inf")).alias(f"{m}_high")]
+    return rows.select("f.lang", "f.source", *out)
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -109,8 +114,8 @@ def quality_rules(docs: DataFrame, reach: float = REACH) -> DataFrame:
     """docs (text, lang, source and any others) with the counts, base_failed, the measures and kept.
 
     Documents are measured once and written to the shared folder with their columns (leave text out of `docs` by
-    selecting after measure() where only verdicts are wanted: see verdicts()); null lang and null source are groups
-    of their own; repeated rows are judged each; an empty table gives an empty result.
+    selecting after measure() where only verdicts are wanted: see verdicts()); columns of the new names are replaced;
+    null lang and null source are groups of their own; repeated rows are judged each; an empty table gives an empty result.
     """
     measured = settle(measure(docs.drop("kept")), "quality-measured")
     return judge(measured, settle(fences(sketch(measured), reach), "quality-fences"))

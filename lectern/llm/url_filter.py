@@ -2,8 +2,8 @@
 
 Paths are generalised into templates: segments made of numbers or long codes become wildcards at once, and a position
 whose values hardly repeat becomes one too. Labels (true: bad) are counted per template; sibling branches whose bad
-shares do not differ beyond chance are merged. A template is judged by its deepest ancestor, itself included, that has
-enough labels: it is rejected when that node's purity, smoothed along the way down from the host, is high.
+shares do not differ beyond chance are merged. A template is rejected when its purity, the bad share of its labels smoothed
+step by step along the way down from the host, is high; the strength of the smoothing is all that asks for evidence.
 Only DataFrame functions: no Python runs on the executors.
 """
 
@@ -18,7 +18,7 @@ from lectern.llm.common import settle
 
 LEAST_VALUES, LEAST_NEW = 20, 0.3
 Z = 1.96
-STRENGTH, PURE, LEAST_LABELS = 2.0, 0.8, 5
+STRENGTH, PURE = 2.0, 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CODE = r"^(?:[0-9]+|[0-9a-fA-F]{12,}|[0-9a-fA-F]{8}-[0-9a-fA-F-]{27})(\.[a-zA-Z]{1,5})?$"
 
@@ -114,23 +114,22 @@ def judged(branches: DataFrame) -> DataFrame:
 
     A node of the tree is a host with the first segments of its branches. Its purity is the bad share of the labels
     below it, smoothed towards its parent's (a host's towards the share of all labels) with STRENGTH labels' weight. A
-    branch takes the purity of the deepest node on its way that has LEAST_LABELS labels; from PURE on it is rejected.
-    Without such a node the purity is that of its own, smoothed all the way down, and it is not rejected.
+    node that has just the labels of its parent says nothing new and has its purity, and so has one without labels. From
+    PURE on a branch is rejected.
     """
     prior = branches.agg((F.coalesce(F.sum("bad"), F.lit(0)) / F.greatest(F.coalesce(F.sum(F.col("bad") + F.col("good")), F.lit(0)), F.lit(1))).alias("p")).first()[0]
     steps = branches.select("host", "node", "bad", "good").withColumn("k", F.explode(F.sequence(F.lit(0), F.size("node"))))
     nodes = steps.groupBy("host", F.expr("slice(node, 1, k)").alias("prefix")).agg(F.sum("bad").alias("b"), F.sum(F.col("bad") + F.col("good")).alias("n"))
     ways = branches.select("host", "node").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.size("node")))).withColumn("prefix", F.expr("slice(node, 1, k)"))
     ways = ways.join(settle(nodes, "url-nodes"), ["host", "prefix"]).groupBy("host", "node").agg(F.sort_array(F.collect_list(F.struct("k", "b", "n"))).alias("way"))
-    start = F.struct(F.lit(float(prior)).alias("p"), F.lit(None).cast("double").alias("known"))
+    start = F.struct(F.lit(float(prior)).alias("p"), F.lit(-1).cast("long").alias("n"))
 
-    def down(state: Column, x: Column) -> Column:
-        p = (x["b"] + STRENGTH * state["p"]) / (x["n"] + STRENGTH)
-        return F.struct(p.alias("p"), F.when(x["n"] >= LEAST_LABELS, p).otherwise(state["known"]).alias("known"))
+    def down(above: Column, x: Column) -> Column:
+        p = F.when(x["n"] == above["n"], above["p"]).otherwise((x["b"] + STRENGTH * above["p"]) / (x["n"] + STRENGTH))
+        return F.struct(p.alias("p"), x["n"].alias("n"))
 
-    ways = ways.select("host", "node", F.aggregate("way", start, down).alias("end"))
-    rejected = F.coalesce(F.col("end.known") >= PURE, F.lit(False))
-    verdicts = ways.select("host", "node", F.concat(F.lit("/"), F.array_join("node", "/")).alias("template"), F.coalesce("end.known", "end.p").alias("purity"), rejected.alias("rejected"))
+    ways = ways.select("host", "node", F.aggregate("way", start, down)["p"].alias("purity"))
+    verdicts = ways.select("host", "node", F.concat(F.lit("/"), F.array_join("node", "/")).alias("template"), "purity", (F.col("purity") >= PURE).alias("rejected"))
     return branches.select("host", "branch", "node").join(verdicts, ["host", "node"]).select("host", "branch", "template", "purity", "rejected")
 
 
