@@ -61,12 +61,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def settle(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+def settle(df: DataFrame, name: str, *done: DataFrame, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it again; tables `done`, settled before and not needed any more, are deleted.
 
     Cuts the lineage, so a lost executor costs a read and not the work behind it, and gives the planner real sizes:
     whether a side is small enough to broadcast is then decided on the bytes that were written. What is not deleted
-    before goes at the end of the scratch() that it was written in, and at the latest when the driver ends.
+    before goes at the end of the scratch() that it was written in, unless it is to keep, and at the latest when the driver
+    ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern-tables/{name}-{uuid.uuid4().hex}"
@@ -75,7 +76,7 @@ def settle(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     out.settled_at = path
     at, store = _stored(out)
     store.deleteOnExit(at)
-    if _owners:
+    if _owners and not keep:
         _owners[-1].append(out)
     discard(*done)
     return out

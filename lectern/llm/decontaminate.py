@@ -151,7 +151,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE)
 
     A column `leaks` of docs is replaced. An item of n words is found where a stretch of the text is within
     floor(error_rate * n) word edits of it, so items of a few words where the text has just these. Of equal distances the
-    first place counts. Items without words or id are left out; of rows with one id and text each is given. Null and
+    first place counts. item_id holds whole numbers (one of another type that is no number is refused with an error);
+    doc_id may be of any type. Items without words or id are left out; of rows with one id and text each is given. Null and
     empty texts hold nothing; repeated rows are judged each; empty tables give empty results and empty lists.
 
     Items go through the driver in blocks of a bounded size, one after another: between two blocks the rows so far are

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import discard, settle
+from lectern.llm.common import discard, settle, unused
 from lectern.llm.components import components
 
 #: Shingles a block holds, about; a larger document is a block of its own.
@@ -387,7 +387,10 @@ def compare(texts: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame
 
 
 def stars(groups: DataFrame, percent: int, extra: int = EXTRA) -> DataFrame:
-    """key and meets: each class meets the hub that it shares most with; a hub meets its classes in parts of about STAR."""
+    """key and meets: each class meets the hub that it shares most with; a hub meets its classes in parts of about STAR.
+
+    extra: the percentage of a set that links share in groups at least; 0: one group.
+    """
     ties = groups.filter("key != hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n")).filter(F.col("shared") >= _needed(F.col("n"), percent, extra))
     best = ties.groupBy("key").agg(F.max(F.struct("shared", "hub"))["hub"].alias("hub"))
     best = settle(best, "jaccard-best")
@@ -413,11 +416,12 @@ def among(rows: DataFrame, name: str, keys: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(passes(bits.value, batch.column(batch.num_columns - 1).to_numpy())))
 
-    hashed = rows.withColumn("hashed", F.xxhash64(name))
-    return hashed.mapInArrow(select, hashed.schema).drop("hashed")
+    (own,) = unused(rows, "hashed")
+    hashed = rows.withColumn(own, F.xxhash64(name))
+    return hashed.mapInArrow(select, hashed.schema).drop(own)
 
 
-def _open(rows: DataFrame, percent: int, extra: int) -> DataFrame:
+def _open(rows: DataFrame, percent: int) -> DataFrame:
     """rows (shingle, key, component and others, settled) of groups of several components and of classes that still can
     link, and few others.
 
@@ -429,18 +433,17 @@ def _open(rows: DataFrame, percent: int, extra: int) -> DataFrame:
         apart = settle(apart, "jaccard-apart")
         rows = settle(among(rows, "shingle", apart), "jaccard-open", rows, apart)
         able = rows.groupBy("key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("shared"), F.max("room").alias("room"))
-        able = settle(able.filter((F.col("shared") >= _needed(F.col("n"), percent, extra)) & (F.col("room") >= _kept(F.col("n"), percent))).select("key"), "jaccard-can")
+        able = settle(able.filter((F.col("shared") >= _needed(F.col("n"), percent)) & (F.col("room") >= _kept(F.col("n"), percent))).select("key"), "jaccard-can")
         rows = settle(among(rows, "key", able), "jaccard-open", rows, able)
     return rows
 
 
-def meetings(groups: DataFrame, classes: DataFrame, percent: int, extra: int = EXTRA) -> DataFrame:
+def meetings(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """key and meets: the (pair, side) of every comparison of blocks that a class takes part in.
 
     groups: as _groups() gives them; classes: key, n and component so far. Groups inside one component are left out.
-    extra: the percentage of a set that links share in groups at least; 0: one group.
     """
-    rows = _open(settle(groups.join(classes.select("key", "component"), "key"), "jaccard-known"), percent, extra)
+    rows = _open(settle(groups.join(classes.select("key", "component"), "key"), "jaccard-known"), percent)
     ties = rows.filter("key != hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= TIES)
     families = components(ties.select(F.col("hub").alias("a"), F.col("key").alias("b")))
     members = rows.select("key", "n").distinct().join(families, F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce(families["component"], "key").alias("family"))
@@ -461,11 +464,11 @@ def meetings(groups: DataFrame, classes: DataFrame, percent: int, extra: int = E
     hot = settle(rows.join(at.filter(F.col("met") > HOT).select("shingle").distinct(), "shingle").select("shingle", "key", "n", "room", "component"), "jaccard-hot")
     heat = hot.groupBy("key").agg(F.count(F.lit(1)).alias("hot"))
     seen = rows.select("shingle", "block", "key", "n", "room").join(ends, ["shingle", "block"]).groupBy("key", "m").agg(F.max("n").alias("n"), F.max("room").alias("room"), F.count(F.lit(1)).alias("shared")).join(heat, "key", "left")
-    enough = F.col("shared") >= _needed(F.col("n"), percent, extra) - F.coalesce("hot", F.lit(0))
+    enough = F.col("shared") >= _needed(F.col("n"), percent) - F.coalesce("hot", F.lit(0))
     across = seen.filter(enough & (F.col("hot").isNotNull() | (F.col("room") >= _kept(F.col("n"), percent)))).select("key", "m")
 
     # links that may share such groups only: these are cut anew by size, so that only parts of fitting sizes meet
-    crowd = hot.join(heat, "key").filter(F.col("hot") >= _needed(F.col("n"), percent, extra)).drop("hot")
+    crowd = hot.join(heat, "key").filter(F.col("hot") >= _needed(F.col("n"), percent)).drop("hot")
     crowd = crowd.withColumn("step", (F.log(F.col("n").cast("double")) / F.log(F.lit(101.0 / percent))).cast("long"))
     wide = crowd.groupBy("shingle", "step").agg(F.ceil(F.sum("n") / BLOCK).alias("cuts"))
     cut = crowd.join(wide, ["shingle", "step"]).withColumn("block", F.xxhash64("shingle", "step", F.pmod(F.xxhash64("key"), "cuts")))
@@ -494,14 +497,14 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     some = settle(classes.join(groups.select("key").distinct(), "key"), "jaccard-some")
     texts = settle(class_texts(docs, some), "jaccard-texts")
     met = settle(stars(groups, percent), "jaccard-star-meets")
-    stars = settle(compare(texts.withColumn("component", F.col("key")), met, k, percent), "jaccard-stars", met)
-    some = settle(joined(some, stars).select("key", "n", "component"), "jaccard-starred", some)
+    star_links = settle(compare(texts.withColumn("component", F.col("key")), met, k, percent), "jaccard-stars", met)
+    some = settle(joined(some, star_links).select("key", "n", "component"), "jaccard-starred", some)
     met = meetings(groups, some, percent)
-    links = settle(compare(texts.join(some.select("key", "component"), "key"), met, k, percent).unionByName(stars), "jaccard-links")
+    links = settle(compare(texts.join(some.select("key", "component"), "key"), met, k, percent).unionByName(star_links), "jaccard-links")
     grouped = joined(classes, links)
     least = grouped.groupBy("component").agg(F.min(F.struct("rep", "mark")).alias("first"))
     out = settle(grouped.join(least, "component").select("key", "component", "first"), "jaccard-components")
-    discard(groups, texts, stars, some, met, links, classes)
+    discard(groups, texts, star_links, some, met, links, classes)
     return sets, out
 
 
@@ -509,7 +512,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text; other columns are ignored).
 
     Documents link when 100 * intersection >= percent * union of their shingle sets; component_id is the least doc_id
-    reachable by links, itself included. Texts without words have an empty set and stay alone. A null doc_id takes part
+    reachable by links, itself included. doc_id holds whole numbers: ids of another type are cast, and one that is no
+    number is refused with an error. Texts without words have an empty set and stay alone. A null doc_id takes part
     in no link and has a null component_id; repeated rows are documents of one class. An empty table gives an empty
     result. Sets compare by 64-bit hashes of their shingles.
     """
@@ -522,12 +526,16 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without near duplicates: of each component the document with the least doc_id stays.
 
     Rows that repeat a doc_id and its text are one document; other texts of the id are judged by themselves. Rows with
-    a null doc_id all stay.
+    a null doc_id all stay. doc_id holds whole numbers, as for jaccard_components(); all columns stay, whatever their names.
     """
     sets, classes = _classes(docs, k, percent)
-    alone = sets.filter("doc_id is not null and key is null").select(F.col("doc_id").alias("_keep"), F.col("mark").alias("_kept_mark")).distinct()
-    keep = classes.select("component", "first").distinct().select(F.col("first.rep").alias("_keep"), F.col("first.mark").alias("_kept_mark")).unionByName(alone)
-    order = Window.partitionBy("doc_id", "_mark").orderBy("text")
-    own = docs.filter("doc_id is not null").withColumn("_mark", _mark())
-    own = own.join(keep, (F.col("doc_id") == F.col("_keep")) & (F.col("_mark") == F.col("_kept_mark"))).drop("_keep", "_kept_mark")
-    return own.withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row", "_mark").unionByName(docs.filter("doc_id is null"))
+    mark, kept, row = unused(docs, "mark", "kept", "row")
+    keep = classes.select("component", "first").distinct().select("first.rep", "first.mark")
+    alone = sets.filter("doc_id is not null and key is null").select(F.col("doc_id").alias("rep"), "mark").distinct()
+    keep = settle(keep.unionByName(alone).select(F.xxhash64("rep", "mark").alias(kept)), "jaccard-keep")
+    own = docs.filter("doc_id is not null").withColumn(mark, _mark())
+    # most rows that go are left out before the shuffle, and one exchange serves the join and the window
+    own = among(own.withColumn(kept, F.xxhash64(F.col("doc_id").cast("long"), mark)), kept, keep)
+    own = own.join(keep.distinct(), kept, "left_semi")
+    first = own.withColumn(row, F.row_number().over(Window.partitionBy(kept, "doc_id", mark).orderBy(mark))).filter(F.col(row) == 1)
+    return first.select(docs.columns).unionByName(docs.filter("doc_id is null"))

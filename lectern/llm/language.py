@@ -19,8 +19,9 @@ from lectern.llm.common import crc_bucket, settle, text_or_empty, unused
 
 LONGEST = 4
 #: What is learned from: about so many documents and characters of each language at most (whole texts of documents whose
-#: id has a small hash), and about so many documents of all languages together. All their words and n-grams count.
-MAX_DOCS, MAX_CHARS, MAX_ALL = 1500, 20_000_000, 50_000
+#: id has a small hash), and about so many documents and characters of all languages together, shared evenly. All their
+#: words and n-grams count.
+MAX_DOCS, MAX_CHARS, MAX_ALL, MAX_ALL_CHARS = 1500, 20_000_000, 50_000, 80_000_000
 #: Rows of so many words are remembered by a worker (a cache: results don't depend on it).
 REMEMBERED = 300_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -39,8 +40,9 @@ def gram_counts(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_
     """
     rows = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
     have = settle(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("have"), F.sum(F.coalesce(F.length(F.col("text").cast("string")), F.lit(0))).alias("chars")), "lang-have")
-    most = min(float(max_docs), max_all / max(1, have.count()))
-    share = F.least(F.lit(most) / F.col("have"), F.lit(float(max_chars)) / F.greatest("chars", F.lit(1)))
+    langs = max(1, have.count())
+    most, most_chars = min(float(max_docs), max_all / langs), min(float(max_chars), MAX_ALL_CHARS / langs)
+    share = F.least(F.lit(most) / F.col("have"), F.lit(most_chars) / F.greatest("chars", F.lit(1)))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     sample = rows.join(have, "lang").filter(part < share)
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower(text_or_empty(F.col("text"))), F.lit(r"\p{L}+"), F.lit(0))).alias("gram"))

@@ -7,9 +7,10 @@
 3. BANDS bands of ROWS places make buckets. In a bucket the class that meets most others is the hub. Every class is
    compared with the hub that it shares most buckets with: as many candidates as classes, however large the buckets are.
    Full sets decide, and the links make first components.
-4. A star can miss links between classes that both differ from the hub. Buckets that still hold several components are
-   dealt to blocks of bounded size, which signature trees compare on full sets, so that every two classes of a bucket are
-   either compared or known to be connected. No pair of a bucket is written out.
+4. A star can miss links between classes that both differ from the hub. In buckets that still hold several components,
+   each set of members once, signature trees compare the full sets, so that every two classes of a bucket are either
+   compared or known to be connected. Large buckets are cut into blocks of bounded size, of which those of near sizes
+   meet. No pair of classes is written out.
 5. All links make the components.
 
 Two classes of similarity s share no bucket with probability (1 - s ** ROWS) ** BANDS: 2e-9 at 0.85.
@@ -115,6 +116,31 @@ def buckets(known: DataFrame) -> DataFrame:
     return out
 
 
+def open_buckets(groups: DataFrame, some: DataFrame, percent: int) -> DataFrame:
+    """key and meets: the (pair, side) of every comparison within buckets that hold several components.
+
+    groups: as buckets() gives them; some: key and component so far. Of buckets with the same classes one is compared.
+    """
+    rows = settle(groups.select("shingle", "key", "n").join(some.select("key", "component"), "key"), "minhash-known")
+    members = F.sum(F.xxhash64("key").cast("decimal(38,0)"))
+    each = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("classes"), members.alias("members"), F.sum("n").alias("size"))
+    once = each.filter("low != high").groupBy("classes", "members").agg(F.min_by("shingle", F.xxhash64("shingle")).alias("shingle"), F.max("size").alias("size"))
+    rows = settle(rows.drop("component").join(once.select("shingle", "size"), "shingle"), "minhash-open", rows)
+    meet = lambda side, *of: F.struct(F.xxhash64(*of).alias("pair"), F.lit(side).alias("side")).alias("m")
+    meets = rows.filter(F.col("size") <= sets_of.BLOCK).select("key", meet(0, "shingle"))
+    # a set is no more than 100 / percent times as large as one that it links with: that is one step of sizes at most
+    large = rows.filter(F.col("size") > sets_of.BLOCK).withColumn("step", (F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long"))
+    cuts = large.groupBy("shingle", "step").agg(F.ceil(F.sum("n") / sets_of.BLOCK).alias("cuts"))
+    cut = large.join(cuts, ["shingle", "step"]).withColumn("part", F.pmod(F.xxhash64("key"), "cuts"))
+    blocks = cuts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).drop("cuts")
+    other = blocks.withColumn("to", F.explode(F.array(F.col("step"), F.col("step") + 1))).select("shingle", F.col("to").alias("step"), F.col("step").alias("step_y"), F.col("part").alias("part_y"))
+    pairs = blocks.join(other, ["shingle", "step"]).filter("step != step_y or part <= part_y")
+    of = ("shingle", "step", "part", "step_y", "part_y")
+    ends = pairs.select("shingle", "step", "part", meet(0, *of)).unionByName(pairs.filter("step != step_y or part != part_y").select("shingle", F.col("step_y").alias("step"), F.col("part_y").alias("part"), meet(1, *of)))
+    meets = meets.unionByName(cut.join(ends, ["shingle", "step", "part"]).select("key", "m"))
+    return settle(meets.groupBy("key").agg(F.collect_list("m").alias("meets")), "minhash-meets", rows)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text; other columns are ignored).
 
@@ -133,7 +159,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     met = settle(sets_of.stars(groups, percent, extra=0), "minhash-star-meets")
     star_links = settle(sets_of.compare(texts.withColumn("component", F.col("key")), met, k, percent), "minhash-stars", met)
     some = settle(sets_of.joined(some, star_links).select("key", "n", "component"), "minhash-starred", some)
-    met = sets_of.meetings(groups, some, percent, extra=0)
+    met = open_buckets(groups, some, percent)
     links = settle(sets_of.compare(texts.join(some.select("key", "component"), "key"), met, k, percent).unionByName(star_links), "minhash-links")
     found = settle(components(links), "minhash-components")
     grouped = classes.join(found.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))

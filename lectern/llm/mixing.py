@@ -4,7 +4,8 @@ Each document of a source should be taken target / source size times on average.
 fraction is an inclusion probability, and the cube method's flight phase moves these probabilities through the null
 space of the balancing constraints (documents and words) until all but a few are 0 or 1. Flights run in blocks of one
 source at a time; what each leaves open goes into the next level's blocks, until one small landing problem a source is
-left, which is solved by the choice nearest to the word total.
+left, which is solved by the choice nearest to the word total. Exchanges of a taken document for another one of the last
+flight then close the gap that is left.
 """
 
 from __future__ import annotations
@@ -72,6 +73,36 @@ def landing(p: np.ndarray, docs: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def exchanged(taken: np.ndarray, size: np.ndarray, goal: float) -> np.ndarray:
+    """Choices (0 or 1) after exchanges of a taken unit for another, or changes of one unit, as long as one brings the
+    taken sizes nearer to the goal. In each turn the best of all is made; a unit for another keeps the number taken, so
+    among equals it goes first."""
+    taken = taken.copy()
+    gap = goal - float(taken @ size)
+    while abs(gap) > _TINY:
+        ins, outs = np.flatnonzero(taken == 0), np.flatnonzero(taken == 1)
+        ins, best = ins[np.argsort(size[ins], kind="stable")], (abs(gap), -1, -1)
+        if len(ins) and len(outs):
+            at = np.searchsorted(size[ins], size[outs] + gap)
+            for near in (np.maximum(at - 1, 0), np.minimum(at, len(ins) - 1)):
+                rest = abs(gap - (size[ins[near]] - size[outs]))
+                k = int(rest.argmin())
+                best = min(best, (float(rest[k]), int(ins[near[k]]), int(outs[k])))
+        for units, sign, place in ((ins, 1, 1), (outs, -1, 2)):
+            if len(units):
+                rest = abs(gap - sign * size[units])
+                k = int(rest.argmin())
+                if rest[k] < best[0] - _TINY:
+                    best = (float(rest[k]), *((int(units[k]), -1) if place == 1 else (-1, int(units[k]))))
+        if best[0] >= abs(gap) - _TINY:
+            break
+        for unit, value in ((best[1], 1.0), (best[2], 0.0)):
+            if unit >= 0:
+                taken[unit] = value
+        gap = goal - float(taken @ size)
+    return taken
+
+
 def targets(sources: DataFrame, total: float = TOTAL, most: float = MOST, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """source, source_size and target of each source (source, source_size).
 
@@ -104,7 +135,7 @@ def _fly(units: DataFrame, last: bool, level: int) -> DataFrame:
         flown = np.ones(len(p), dtype=bool)
         flown[reserve(p, size) if last else []] = False
         p[flown] = flight(p[flown], docs[flown], size[flown], (SEED * 1_000_003 + level * 8191 + int(pdf["order"].iloc[0])) % 2**63)
-        pdf["p"] = landing(p, docs, size) if last else p
+        pdf["p"] = exchanged(landing(p, docs, size), size, float(pdf["p"].to_numpy(float) @ size)) if last else p
         return pdf
 
     return units.groupBy("source", "block").applyInPandas(run, units.schema)
@@ -157,6 +188,7 @@ def expanded(mix: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **settings: float) -> DataFrame:
     """The documents of the mix, with size, copies and taken; those with no copies are left out."""
     mix = mix_sources(docs, **settings).filter("copies > 0").select("doc_id", "source", "size", "copies", "taken")
-    d, m = docs.drop("size", "copies", "taken").withColumn("_size", n_words(F.col("text"))).alias("d"), mix.alias("m")
-    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("m.source")) & (F.col("d._size") == F.col("m.size"))
-    return d.join(m, same).select("d.*", "m.size", "m.copies", "m.taken").drop("_size")
+    rest = docs.drop("size", "copies", "taken")
+    d, m = rest.withColumn("size", n_words(F.col("text"))).alias("d"), mix.alias("m")
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("m.source")) & (F.col("d.size") == F.col("m.size"))
+    return d.join(m, same).select("d.*", "m.copies", "m.taken")

@@ -108,7 +108,7 @@ def whiten(embeddings: DataFrame, components: int = COMPONENTS) -> DataFrame:
     turn[:, has] = vectors[:, has] / np.sqrt(values[has])
     parts = [turn[k : k + COLS] for k in range(0, width, COLS)]
     whitening = spark.sparkContext.parallelize([((k, 0), DenseMatrix(len(m), len(values), m.ravel(order="F"))) for k, m in enumerate(parts)])
-    projected = product(blocks, BlockMatrix(whitening, COLS, COLS, width, len(values)))
+    projected = product(blocks, BlockMatrix(whitening, COLS, len(values), width, len(values)))
     off = scatter(projected, n) / n - np.diag(has.astype(float))
     error = float(np.abs(off).max())
 
