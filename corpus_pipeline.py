@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import decontaminate, jaccard_join, mixing, quality_model, quality_rules
-from lectern.llm.common import shared_dir, table
+from lectern.llm.common import scratch, settle, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    at = f"{shared_dir(spark)}/lectern-pipeline/{uuid.uuid4().hex}"
+    """The documents that all stages leave. What a stage wrote for itself goes when its result is written, and that when
+    the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), ()
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
-        docs = spark.read.parquet(f"{at}/{k}")
+        with scratch():
+            docs = settle(stage(spark, docs, sf_dir), f"pipeline-{k}", *before, keep=True)
+        before = (docs,)
     return docs
