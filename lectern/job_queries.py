@@ -11,20 +11,45 @@ from lectern.registry import query
 from lectern.sources import files
 from lectern.sources import tables as S
 
+
+
 def _events(spark, d):
+    """Signups start, errors ask to stop, purchases end in one of three states, views and clicks are partial updates."""
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "error", "stop").when(F.col("event_type") == "purchase", "finish").otherwise("update")
-    return S.read(spark, d, "events").select(F.col("user_id").alias("project"), F.struct("ts", "event_id").alias("at"), kind.alias("kind"), (F.col("value") / 400).alias("fraction"), "event_id")
+    number, view = F.col("event_id"), F.col("event_type") == "view"
+    end = F.when(number % 3 == 0, "completed").when(number % 3 == 1, "failed").otherwise("stopped")
+    return S.read(spark, d, "events").select(
+        F.col("user_id").alias("project"), F.struct("ts", "event_id").alias("at"), kind.alias("kind"), "event_id",
+        F.when(kind == "finish", end).alias("state"), F.when(view | (kind == "finish"), F.col("value") / 400).alias("fraction"),
+        F.when(view, number % 50 - 2).alias("completed"), F.when(view & (number % 2 == 0), F.lit(40).cast("long")).alias("total"),
+        F.when(F.col("event_type") == "click", F.col("value")).alias("eta"), F.when(number % 5 == 0, F.concat(F.lit("chunk "), number % 7)).alias("phase"),
+        F.when(number % 4 == 0, F.concat(F.lit("event "), number)).alias("message"),
+    )
+
+
+_FOLD = f"""ev as (select user_id project, ts, event_id, case event_type when 'signup' then 'start' when 'error' then 'stop' when 'purchase' then 'finish' else 'update' end kind,
+      case when event_type = 'purchase' then case event_id % 3 when 0 then 'completed' when 1 then 'failed' else 'stopped' end end state, case when event_type in ('view', 'purchase') then value / 400 end fraction,
+      case when event_type = 'view' then event_id % 50 - 2 end completed, case when event_type = 'view' and event_id % 2 = 0 then 40::bigint end total, case when event_type = 'click' then value end eta,
+      case when event_id % 5 = 0 then 'chunk ' || event_id % 7 end phase, case when event_id % 4 = 0 then 'event ' || event_id end message from events),
+    li as (select project, list({{'kind': kind, 'state': state, 'phase': phase, 'message': message, 'fraction': fraction, 'completed': completed, 'total': total, 'eta': eta}} order by ts, event_id) l from ev group by 1),
+    fo as (select project, list_reduce(l, lambda a, x: case
+        when x.kind = 'start' and a.state not in ('running', 'stopping') then {{'kind': '', 'state': 'running', 'phase': 'starting', 'message': '{status.MESSAGES['starting']}', 'fraction': 0.0::double, 'completed': 0::bigint, 'total': 0::bigint, 'eta': null::double}}
+        when x.kind = 'update' then {{'kind': '', 'state': a.state, 'phase': coalesce(x.phase, a.phase), 'message': coalesce(x.message, a.message), 'fraction': case when x.fraction is null then a.fraction else greatest(0, least(1, x.fraction)) end, 'completed': case when x.completed is null then a.completed else greatest(0, x.completed) end, 'total': coalesce(x.total, a.total), 'eta': coalesce(x.eta, a.eta)}}
+        when x.kind = 'stop' and a.state in ('running', 'stopping') then {{'kind': '', 'state': 'stopping', 'phase': 'stopping', 'message': '{status.MESSAGES['stopping']}', 'fraction': a.fraction, 'completed': a.completed, 'total': a.total, 'eta': null::double}}
+        when x.kind = 'finish' then {{'kind': '', 'state': x.state, 'phase': x.state, 'message': coalesce(x.message, x.state), 'fraction': case when x.fraction is null then a.fraction else greatest(0, least(1, x.fraction)) end, 'completed': a.completed, 'total': a.total, 'eta': null::double}}
+        else a end, {{'kind': '', 'state': 'idle', 'phase': 'idle', 'message': '{status.MESSAGES['idle']}', 'fraction': 0.0::double, 'completed': 0::bigint, 'total': 0::bigint, 'eta': null::double}}) s from li)"""
+
+
+@query(f"with {_FOLD} select project, s.state state, s.phase phase, s.message message, round(s.fraction, 6) fraction, s.completed completed, s.total total, round(s.eta, 6) eta from fo")
+def job_state(spark, d):
+    return status.job_state(_events(spark, d)).withColumns({c: F.round(c, 6) for c in ("fraction", "eta")})
 
 
-@query("""with ev as (select user_id project, row_number() over (partition by user_id order by ts, event_id) i, event_type t, value / 400 f from events),
-    e as (select project, max(case when t = 'purchase' then i end) ended, min(case when t = 'signup' then i end) first from ev group by 1),
-    s as (select project, min(i) started from ev join e using (project) where t = 'signup' and i > coalesce(ended, 0) group by 1),
-    l as (select project, max_by(least(1, greatest(0, f)), i) filter (where t in ('view', 'click')) f, bool_or(t = 'error') asked from ev join s using (project) where i > started group by 1)
-    select project, case when started is not null then case when asked then 'stopping' else 'running' end when first < ended then 'complete' else 'idle' end state,
-    case when started is not null then 'interrupted' when first < ended then 'complete' else 'idle' end after_restart,
-    round(case when started is not null then coalesce(f, 0) when first < ended then 1 end, 6) fraction from e left join s using (project) left join l using (project)""")
-def job_state(spark, d):
-    return status.job_state(_events(spark, d)).withColumn("fraction", F.round("fraction", 6))
+@query(f"with {_FOLD}, r as (select project, s.state in ('running', 'stopping') active, s from fo) select project, case when active then 'interrupted' else s.state end state, case when active then 'interrupted' else s.phase end phase, case when not active then round(s.eta, 6) end eta, round(s.fraction, 6) fraction from r")
+def job_restart(spark, d):
+    """The jobs' snapshots as the next run finds them."""
+    again = status.restarted(status.job_state(_events(spark, d)))
+    return again.select("project", "state", "phase", F.round("eta", 6).alias("eta"), F.round("fraction", 6).alias("fraction"))
 
 
 @query("""with ev as (select user_id project, event_id, event_type t, row_number() over w i, count_if(event_type = 'purchase') over w g from events where event_type in ('signup', 'purchase') window w as (partition by user_id order by ts, event_id))
@@ -33,10 +58,10 @@ def single_slot(spark, d):
     return status.single_slot(_events(spark, d)).select("project", F.col("at.event_id").alias("event_id"), "accepted", F.col("holder.event_id").alias("holder"))
 
 
-@query("""with s as (select event_id, case event_type when 'signup' then 'starting' when 'error' then 'halted' when 'purchase' then 'complete' else 'running' end state, value / 450 fraction, case when event_id % 7 = 0 then null else value - 5 end eta, event_id % 40 - 1 completed from events)
+@query("""with s as (select event_id, case event_type when 'signup' then 'interrupted' when 'error' then 'halted' when 'purchase' then 'completed' else 'running' end state, value / 450 fraction, case when event_id % 7 = 0 then null else value - 5 end eta, event_id % 40 - 1 completed from events)
     select event_id, array_to_string(list_filter([case when state = 'halted' then 'state' end, case when fraction > 1 then 'fraction' end, case when eta < 0 then 'eta' end, case when completed < 0 then 'completed' end], lambda x: x is not null), ',') faults from s""")
 def snapshot_quarantine(spark, d):
-    state = F.when(F.col("event_type") == "signup", "starting").when(F.col("event_type") == "error", "halted").when(F.col("event_type") == "purchase", "complete").otherwise("running")
+    state = F.when(F.col("event_type") == "signup", "interrupted").when(F.col("event_type") == "error", "halted").when(F.col("event_type") == "purchase", "completed").otherwise("running")
     rows = S.read(spark, d, "events").select("event_id", state.alias("state"), (F.col("value") / 450).alias("fraction"), F.when(F.col("event_id") % 7 != 0, F.col("value") - 5).alias("eta"), (F.col("event_id") % 40 - 1).alias("completed"))
     return status.snapshot_faults(rows).select("event_id", F.array_join("faults", ",").alias("faults"))
 

@@ -7,28 +7,77 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 
-STATES = ("idle", "starting", "running", "stopping", "complete", "failed", "interrupted")
+# The states of a job, those in which it runs, and what a snapshot says in each
+STATES = ("idle", "running", "stopping", "completed", "stopped", "failed", "interrupted")
+ACTIVE = ("running", "stopping")
+MESSAGES = {
+    "idle": "No audiobook job is running.",
+    "starting": "Starting audiobook job…",
+    "stopping": "Stop requested; waiting for the current operation to finish…",
+    "interrupted": "The previous app session ended while this job was running. Its saved project can be resumed.",
+    "completed": "completed",
+    "stopped": "stopped",
+    "failed": "failed",
+}
+INTERRUPTED = {"state": "interrupted", "phase": "interrupted", "message": MESSAGES["interrupted"], "eta": None}
 
 
 def job_state(events: DataFrame) -> DataFrame:
-    """The last state of each project from (project, at, kind, fraction); kind is start, update, stop or finish.
+    """The last snapshot of each project: state, phase, message, fraction, completed, total, eta.
 
-    A start counts where no job is active, a stop and an update only where one is, and a finish ends it. Everything
-    after the last finish decides, so three aggregations with partial sums replace a fold over a project's events, and
-    a project with very many events stays spread. `at` must be unique in a project. Null fractions change nothing.
+    events: project, at (unique in a project), kind (start, update, stop, finish), and phase, message, fraction, completed,
+    total, eta and state (of a finish: idle, completed, stopped, failed or interrupted), which may be null. A start counts
+    where no job is active and clears all fields; an update sets the fields that it has, the fraction cut to 0 to 1, counts
+    to 0 and more; a stop counts where a job is active; a finish ends the job in its state. Stops and finishes clear the
+    estimate.
+
+    Instead of a fold over a project's events, four aggregations with partial sums find the last start that counts, the
+    finish after it, and the last event that sets each field, so a project with very many events stays spread.
     """
-    ends = events.groupBy("project").agg(F.max(F.when(F.col("kind") == "finish", F.col("at"))).alias("ended"), F.min(F.when(F.col("kind") == "start", F.col("at"))).alias("first"))
-    after = events.join(ends, "project").filter(F.col("ended").isNull() | (F.col("at") > F.col("ended")))
-    starts = after.filter("kind = 'start'").groupBy("project").agg(F.min("at").alias("started"))
-    live = after.drop("ended", "first").join(starts, "project").filter(F.col("at") > F.col("started"))
+    finish = (F.col("kind") == "finish") & F.col("state").isin(*[x for x in STATES if x not in ACTIVE])
+    e = events.filter(finish | F.col("kind").isin("start", "update", "stop"))
+    at = lambda cond: F.when(cond, F.col("at"))
+    start = F.col("kind") == "start"
+    last = e.groupBy("project").agg(F.max(at(start)).alias("last_start"))
+    ends = e.join(last, "project").groupBy("project").agg(F.max(at(finish & (F.col("at") < F.col("last_start")))).alias("before"), F.min(at(finish & (F.col("at") > F.col("last_start")))).alias("ended"))
+    first = e.join(ends, "project").filter(start & (F.col("before").isNull() | (F.col("at") > F.col("before")))).groupBy("project").agg(F.min("at").alias("started"))
+    spans = ends.join(first, "project", "left").select("project", "started", "ended")
+
+    row = e.join(spans, "project").filter(F.col("started").isNull() | (F.col("at") >= F.col("started")))
+    begins = F.col("started").isNotNull() & (F.col("at") == F.col("started"))
+    stops = (F.col("kind") == "stop") & (F.col("at") > F.col("started")) & (F.col("ended").isNull() | (F.col("at") < F.col("ended")))
+    update, said = F.col("kind") == "update", lambda c: F.col(c).isNotNull()
     fraction = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fraction")))
-    moved = F.when((F.col("kind") == "update") & F.col("fraction").isNotNull() & ~F.isnan("fraction"), F.struct("at", fraction.alias("f")))
-    live = live.groupBy("project").agg(F.max(moved)["f"].alias("f"), F.bool_or(F.col("kind") == "stop").alias("asked"))
-    s = ends.join(starts, "project", "left").join(live, "project", "left")
-    done = F.col("first") < F.col("ended")
-    state = F.when(F.col("started").isNotNull(), F.when(F.col("asked"), "stopping").otherwise("running")).when(done, "complete").otherwise("idle")
-    value = F.when(F.col("started").isNotNull(), F.coalesce("f", F.lit(0.0))).when(done, 1.0)
-    return s.select("project", state.alias("state"), F.when(F.col("started").isNotNull(), "interrupted").otherwise(state).alias("after_restart"), value.alias("fraction"))
+    count = lambda c: F.greatest(F.lit(0).cast("long"), F.col(c).cast("long"))
+    known = said("fraction") & ~F.isnan("fraction")
+
+    def latest(name: str, *cases: tuple[Column, Column]) -> Column:
+        """The value of the last event that one of the cases (whether it sets the field, to what) holds for."""
+        value, sets = F.lit(None), F.lit(False)
+        for cond, to in reversed(cases):
+            value, sets = F.when(cond, F.struct(to.alias("v"))).otherwise(value), sets | F.coalesce(cond, F.lit(False))
+        return F.max_by(F.when(sets, value), at(sets)).alias(name)
+
+    text = F.lit
+    got = row.groupBy("project").agg(
+        latest("state", (begins, text("running")), (stops, text("stopping")), (finish, F.col("state"))),
+        latest("phase", (begins, text("starting")), (stops, text("stopping")), (finish, F.col("state")), (update & said("phase"), F.col("phase"))),
+        latest("message", (begins, text(MESSAGES["starting"])), (stops, text(MESSAGES["stopping"])), (finish, F.coalesce("message", "state")), (update & said("message"), F.col("message"))),
+        latest("fraction", (begins, F.lit(0.0)), ((update | finish) & known, fraction)),
+        latest("completed", (begins, F.lit(0).cast("long")), ((update | finish) & said("completed"), count("completed"))),
+        latest("total", (begins, F.lit(0).cast("long")), ((update | finish) & said("total"), count("total"))),
+        latest("eta", (begins | stops | finish, F.lit(None).cast("double")), (update & said("eta") & ~F.isnan("eta"), F.col("eta"))),
+    )
+    start_as = {"state": F.lit("idle"), "phase": F.lit("idle"), "message": F.lit(MESSAGES["idle"]), "fraction": F.lit(0.0), "completed": F.lit(0).cast("long"), "total": F.lit(0).cast("long")}
+    every = events.select("project").distinct().join(got, "project", "left")
+    return every.select("project", *[F.coalesce(F.col(c)["v"], v).alias(c) for c, v in start_as.items()], F.col("eta")["v"].alias("eta"))
+
+
+def restarted(snapshots: DataFrame) -> DataFrame:
+    """snapshots as the next run finds them: active jobs are interrupted and have no estimate."""
+    active = F.col("state").isin(*ACTIVE)
+    own = {c: F.when(active, F.lit(v)).otherwise(F.col(c)) for c, v in INTERRUPTED.items()}
+    return snapshots.select(*[own[c].alias(c) if c in own else F.col(c) for c in snapshots.columns])
 
 
 def single_slot(events: DataFrame) -> DataFrame:
