@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import intervals, vectors
+from lectern.operators import intervals, speech, vectors
 
 FLOOR = 1e-12
 
 
 @dataclass(frozen=True)
 class Limits:
-    """What counts as an issue. Levels in dBFS; tones and centroids in units of a bin; lengths in frames."""
+    """What counts as an issue. Levels in dBFS; tones and centroids in units of a bin; lengths in frames, `edge` and
+    `no_speech` in seconds."""
 
+    # Fixed values
     silent: float = -50.0
-    edge: int = 12
+    edge: float = 3.0
     low_level: float = -35.0
     low_share: float = 0.80
     low_bin: int = 25
@@ -35,6 +39,8 @@ class Limits:
     centroid_off: float = 100.0
     tone_flatness: float = 0.04
     tone_frames: int = 8
+    no_speech: float = 1.0
+    no_speech_level: float = -38.0
 
 
 def features(frames: DataFrame, size: int, low: int) -> DataFrame:
@@ -43,19 +49,54 @@ def features(frames: DataFrame, size: int, low: int) -> DataFrame:
     return f.join(vectors.frame_levels(frames), "vec_id").join(vectors.frame_spectrum(frames, size, low), "vec_id")
 
 
-def edge_silence(levels: DataFrame, limits: Limits) -> DataFrame:
-    """Clips that are silent as a whole, and long enough silence at their start and end, as kind, start, end.
+def _stretch(start: Column, end: Column) -> list[Column]:
+    """n, total and power (sum of squares) of a piece's samples from start up to before end."""
+    lo = F.greatest(start - F.col("pos"), F.lit(0)).cast("int")
+    part = F.slice("samples", lo + 1, F.greatest(F.least(end - F.col("pos"), F.size("samples")).cast("int") - lo, F.lit(0)))
+    add = lambda f: F.aggregate(part, F.lit(0.0), lambda a, x: a + f(x.cast("double")))
+    return [F.size(part).cast("long").alias("n"), add(lambda x: x).alias("total"), add(lambda x: x * x).alias("power")]
 
-    Counts and extremes of frame numbers are all it takes, so a long clip is no one task's.
+
+def edge_silence(pieces: DataFrame, size: int, rate: int, limits: Limits) -> DataFrame:
+    """Clips that are silent as a whole, and long enough silence at their start and end: kind, start, end in samples.
+
+    pieces (clip, pos, samples) tile each clip, in whatever lengths. Frames of `size` samples are laid from the start for
+    the head and from the end for the tail, so no length has to be a multiple of theirs; where whole frames stay short of
+    the least silence, the exact first and last samples of that length decide. Each piece gives sums for the frames that
+    it touches, and clips meet in partial sums: a long clip is no one task's, and no row is a sample.
     """
-    loud = F.when(F.col("rms_dbfs") > limits.silent, F.col("frame_no"))
-    c = levels.groupBy("clip").agg((F.max("frame_no") + 1).alias("n"), F.min(loud).alias("first"), F.max(loud).alias("last"))
-    span = lambda kind, start, end: F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"))
-    zero = F.lit(0).cast("long")
-    whole = F.when(F.col("first").isNull(), span("silent", zero, F.col("n")))
-    head = F.when(F.col("first") >= limits.edge, span("leading", zero, F.col("first")))
-    tail = F.when(F.col("n") - 1 - F.col("last") >= limits.edge, span("trailing", F.col("last") + 1, F.col("n")))
-    return c.select("clip", F.explode(F.array_compact(F.array(whole, head, tail))).alias("x")).select("clip", "x.*")
+    edge = max(1, math.ceil(limits.edge * rate))
+    p = pieces.filter((F.size("samples") > 0) & F.col("clip").isNotNull())
+    clips = p.groupBy("clip").agg(F.max(F.col("pos") + F.size("samples")).alias("all"))
+    p = p.join(clips, "clip").withColumn("last", F.col("pos") + F.size("samples"))
+    count = F.floor(F.col("all") / size)
+
+    def frames(kind: str, offset: Column) -> DataFrame:
+        touched = F.sequence(F.floor((F.col("pos") - offset) / size), F.floor((F.col("last") - 1 - offset) / size))
+        rows = p.withColumn("no", F.explode(touched))
+        at = offset + F.col("no") * size
+        return rows.select("clip", "all", F.lit(kind).alias("of"), "no", *_stretch(at, at + size))
+
+    ends = [p.filter(F.col("all") >= edge).filter(touch).select("clip", "all", F.lit(kind).alias("of"), F.lit(0).cast("long").alias("no"), *_stretch(start, end)) for kind, touch, start, end in (("first", F.col("pos") < edge, F.lit(0), F.lit(edge)), ("final", F.col("last") > F.col("all") - edge, F.col("all") - edge, F.col("all")))]
+    parts = frames("head", F.lit(0)).unionByName(frames("tail", F.col("all") % size))
+    for x in ends:
+        parts = parts.unionByName(x)
+    sums = parts.groupBy("clip", "of", "no").agg(F.first("all").alias("all"), *[F.sum(c).alias(c) for c in ("n", "total", "power")])
+    spread = F.greatest(F.col("power") / F.col("n") - F.pow(F.col("total") / F.col("n"), 2), F.lit(0.0))
+    quiet = 20 * F.log10(F.sqrt(spread + FLOOR) + FLOOR) <= limits.silent
+    of = lambda kind: F.col("of") == kind
+    whole = (F.col("no") >= 0) & (F.col("no") < count)
+    c = sums.groupBy("clip").agg(
+        F.first("all").alias("all"), F.bool_and(quiet | ~of("head")).alias("silent"),
+        F.min(F.when(of("head") & whole & ~quiet, F.col("no"))).alias("loud"), F.max(F.when(of("tail") & whole & ~quiet, F.col("no"))).alias("late"),
+        F.bool_or(of("first") & quiet).alias("first"), F.bool_or(of("final") & quiet).alias("final"),
+    )
+    reach = lambda frames, exact: F.when((frames * size < edge) & exact, F.lit(edge)).otherwise(frames * size).cast("long")
+    c = c.withColumns({"head": reach(F.coalesce("loud", count), F.col("first")), "tail": reach(F.coalesce(count - 1 - F.col("late"), count), F.col("final"))})
+    span = lambda cond, kind, start, end: F.when(cond, F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end")))
+    some = ~F.col("silent") & (count > 0)
+    found = F.array(span(F.col("silent"), "silent", F.lit(0), F.col("all")), span(some & (F.col("head") >= edge), "leading", F.lit(0), F.col("head")), span(some & (F.col("tail") >= edge), "trailing", F.col("all") - F.col("tail"), F.col("all")))
+    return c.select("clip", F.explode(F.array_compact(found)).alias("x")).select("clip", "x.*")
 
 
 def _median(values: Column) -> Column:
@@ -83,15 +124,22 @@ def rolling_tone(frames: DataFrame, limits: Limits) -> DataFrame:
     return m.filter(near).select("clip", "x.frame_no").distinct()
 
 
-def issues(frames: DataFrame, limits: Limits) -> DataFrame:
-    """All issues of a clip as kind, start, end in frames: silence, low-frequency collapse, broadband noise, tones."""
+def issues(frames: DataFrame, pieces: DataFrame, size: int, rate: int, limits: Limits, include_vad: bool = False, loader: Callable[[], speech.Detector] = speech.EnergyDetector) -> DataFrame:
+    """All issues of a clip as kind, start, end in samples: silence, low-frequency collapse, broadband noise, tones, and
+    with include_vad what is loud and no speech by the detector that `loader` makes.
+
+    frames: the features of whole frames of `size` samples; pieces (clip, pos, samples) tile the clips.
+    """
     level = F.col("rms_dbfs")
     low = frames.select("clip", "frame_no", ((level >= limits.low_level) & (F.col("low_share") >= limits.low_share)).alias("flag"), ((level >= limits.low_level) & (F.col("dominant_bin") <= limits.low_bin)).alias("support"))
     noisy = (level >= limits.noise_level) & (F.col("zcr") >= limits.noise_zcr) & (F.col("centroid") >= limits.noise_centroid) & (F.col("flatness") >= limits.noise_flatness)
     tones = rolling_tone(frames, limits).withColumn("flag", F.lit(True))
-    found = edge_silence(frames, limits)
+    found = edge_silence(pieces, size, rate, limits)
     for kind, runs in (("low", intervals.expand_runs(low, limits.low_frames)), ("noise", intervals.flag_runs(frames.select("clip", "frame_no", noisy.alias("flag")), limits.noise_frames)), ("tone", intervals.flag_runs(tones, limits.tone_frames))):
-        found = found.unionByName(runs.select("clip", F.lit(kind).alias("kind"), "start", "end"))
+        found = found.unionByName(runs.select("clip", F.lit(kind).alias("kind"), (F.col("start") * size).alias("start"), (F.col("end") * size).alias("end")))
+    if include_vad:
+        gaps = speech.no_speech(pieces, rate, loader, limits.no_speech, limits.no_speech_level)
+        found = found.unionByName(gaps.select("clip", F.lit("no speech").alias("kind"), "start", "end"))
     return found
 
 

@@ -56,3 +56,34 @@ def balance_segments(entries: DataFrame, parts: int) -> DataFrame:
     inner = F.when(w > 1, F.sequence(F.lit(1), w - 1)).otherwise(F.array().cast("array<int>"))
     cuts = F.aggregate(inner, F.array(F.lit(0).cast("long")), step)
     return rows.select("book", F.posexplode(cuts).alias("segment_no", "first_entry"), "size").withColumn("last_entry", F.coalesce(F.lead("first_entry").over(Window.partitionBy("book").orderBy("segment_no")), F.col("size")) - 1).drop("size")
+
+
+#: Seconds by which the last marker may pass the end of its book.
+SLACK = 0.001
+
+
+def marker_faults(markers: DataFrame, books: DataFrame) -> DataFrame:
+    """books with chapters (markers found), faults (the rules that a finished book breaks) and valid (it breaks none).
+
+    markers: book, chapter_no, start, end in seconds. books: book (one row each), duration, and expected (seconds),
+    tolerance and chapters_expected, of which null ones aren't judged. Faults: `duration` (missing, not finite, not above
+    0), `length` (further from the expected seconds than the tolerance), `count` (another number of markers), `markers`
+    (one that is missing a time or has none that is finite, begins below 0, ends no later than it begins, begins before an
+    earlier one ends, or ends more than SLACK after the book). Markers of other books are left out.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    b = books.select("book", F.col("duration").cast("double").alias("long"))
+    m = markers.select("book", "chapter_no", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")).join(b, "book")
+    before = F.coalesce(F.max("end").over(Window.partitionBy("book").orderBy("chapter_no", "start", "end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sound = finite("start") & finite("end") & (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("start") >= before) & (~finite("long") | (F.col("end") <= F.col("long") + SLACK))
+    each = m.withColumn("sound", F.coalesce(sound, F.lit(False))).groupBy("book").agg(F.count(F.lit(1)).alias("chapters"), F.bool_and("sound").alias("sound"))
+    out = books.join(each, "book", "left").withColumn("chapters", F.coalesce("chapters", F.lit(0).cast("long")))
+    length = finite("duration") & (F.abs(F.col("duration") - F.col("expected")) > F.greatest(F.lit(0.0), F.coalesce("tolerance", F.lit(0.0))))
+    rules = {"duration": ~(finite("duration") & (F.col("duration") > 0)), "length": length, "count": F.col("chapters") != F.col("chapters_expected"), "markers": ~F.coalesce("sound", F.lit(True))}
+    faults = F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(name)) for name, broken in rules.items()]))
+    return out.withColumn("faults", faults).drop("sound").withColumn("valid", F.size("faults") == 0)
+
+
+def expected_tolerance(segments: Column) -> Column:
+    """Seconds by which a book of so many segments may differ from its source."""
+    return F.greatest(F.lit(2.0), 0.1 * segments)

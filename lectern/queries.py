@@ -370,13 +370,20 @@ def chapter_markers(spark, d):
     return timeline.chapter_markers(timeline.timeline(S.narration(spark, d), RATE), RATE)
 
 
-@query(f"""with {MARKERS}, bad as (select book, chapter_no, case when book % 5 = 0 and chapter_no = 2 then start_ms - 7 else start_ms end s, end_ms e from markers), t as (select *, lag(e) over (partition by book order by chapter_no) le from bad)
-    select book, bool_and(e > s and s >= 0 and (le is null or s >= le)) valid, count(*) chapters from t group by book""")
+@query(f"""with {MARKERS}, mk as (select book, chapter_no, (case when book % 5 = 0 and chapter_no = 2 then start_ms - 7 else start_ms end) / 1000 s, (case when book % 7 = 1 and chapter_no = 1 then end_ms + 5000 else end_ms end) / 1000 e from markers),
+    b as (select book, max(end_ms) / 1000 - case when book % 11 = 0 then 0.002 else 0 end duration, max(end_ms) / 1000 + book % 4 expected, greatest(2.0, 0.1 * count(*)) tolerance, count(*) - case when book % 9 = 0 then 1 else 0 end n from markers group by 1),
+    t as (select mk.*, duration, max(e) over (partition by book order by chapter_no rows between unbounded preceding and 1 preceding) le from mk join b using (book)),
+    f as (select book, count(*) chapters, bool_and(s >= 0 and e > s and s >= coalesce(le, 0) and e <= duration + 0.001) ok from t group by 1)
+    select book, chapters, array_to_string(list_filter([case when duration <= 0 then 'duration' end, case when abs(duration - expected) > tolerance then 'length' end, case when chapters != n then 'count' end, case when not ok then 'markers' end], lambda x: x is not null), ',') faults from b join f using (book)""")
 def marker_topology(spark, d):
-    m = chapter_markers(spark, d).withColumn("s", F.when((F.col("book") % 5 == 0) & (F.col("chapter_no") == 2), F.col("start_ms") - 7).otherwise(F.col("start_ms")))
-    last = F.lag("end_ms").over(Window.partitionBy("book").orderBy("chapter_no"))
-    m = m.withColumn("ok", (F.col("end_ms") > F.col("s")) & (F.col("s") >= 0) & (last.isNull() | (F.col("s") >= last)))
-    return m.groupBy("book").agg(F.bool_and("ok").alias("valid"), F.count(F.lit(1)).alias("chapters"))
+    """Books whose markers, length or number of chapters were tampered with, and the rules that they break."""
+    m, book, no = chapter_markers(spark, d), F.col("book"), F.col("chapter_no")
+    start = F.when((book % 5 == 0) & (no == 2), F.col("start_ms") - 7).otherwise(F.col("start_ms"))
+    end = F.when((book % 7 == 1) & (no == 1), F.col("end_ms") + 5000).otherwise(F.col("end_ms"))
+    whole = m.groupBy("book").agg((F.max("end_ms") / 1000).alias("whole"), F.count(F.lit(1)).alias("n"))
+    books = whole.select("book", (F.col("whole") - F.when(book % 11 == 0, 0.002).otherwise(0.0)).alias("duration"), (F.col("whole") + book % 4).alias("expected"), timeline.expected_tolerance(F.col("n")).alias("tolerance"), (F.col("n") - F.when(book % 9 == 0, 1).otherwise(0)).alias("chapters_expected"))
+    faults = timeline.marker_faults(m.select("book", "chapter_no", (start / 1000).alias("start"), (end / 1000).alias("end")), books)
+    return faults.select("book", "chapters", F.array_join("faults", ",").alias("faults"))
 
 
 @query(f"with {ENTRIES} select book, cast(round_even(max(\"end\") * 1000 / {RATE}, 0) as bigint) duration_ms from entries group by book")

@@ -39,3 +39,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = read(spark, sf_dir, "embeddings").withColumn("frame_no", no)
     amp = F.when(F.floor(F.col("frame_no") / 13) % 3 == F.col("label") % 3, 0.0001).otherwise(1.0)
     return f.select("vec_id", F.col("label").alias("clip"), "frame_no", F.transform("embedding", lambda x: x.cast("double") * amp).alias("samples"))
+
+
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames as pieces of their clips' signals; the last frame of a clip is cut short, so lengths are no multiples."""
+    f = frames(spark, sf_dir).withColumn("last", F.max("frame_no").over(Window.partitionBy("clip")))
+    short = F.slice("samples", F.lit(1), (21 + 4 * F.pmod("clip", F.lit(10))).cast("int"))
+    return f.select("clip", (F.col("frame_no") * 64).alias("pos"), F.when(F.col("frame_no") == F.col("last"), short).otherwise(F.col("samples")).alias("samples"))
