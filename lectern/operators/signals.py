@@ -157,42 +157,60 @@ def gain_to_target(frames: DataFrame, target: float, ceiling: float) -> DataFram
     return first.join(second, "clip", "left").select("clip", F.round(level, 4).alias("level"), F.round(F.least(target - level, F.when(F.col("mean").isNotNull(), ceiling - top)), 4).alias("gain"))
 
 
-def samples(frames: DataFrame, size: int) -> DataFrame:
-    """A row for each sample of the clips' frames, which are `size` samples long."""
-    s = frames.select("clip", "frame_no", F.posexplode("samples").alias("i", "x"))
-    return s.select("clip", (F.col("frame_no") * size + F.col("i")).alias("pos"), "x")
+def _meet(pieces: DataFrame, spans: DataFrame, bin_width: int = 1 << 14) -> DataFrame:
+    """Each piece (clip, pos, samples) with each span (clip, start, end) that it overlaps, by coarse bins: an equi-join."""
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / bin_width), F.floor((b - 1) / bin_width)))
+    dealt = spans.filter(F.col("end") > F.col("start")).withColumn("bin", bins(F.col("start"), F.col("end")))
+    p = pieces.filter(F.size("samples") > 0).withColumn("last", F.col("pos") + F.size("samples"))
+    met = p.withColumn("bin", bins(F.col("pos"), F.col("last"))).join(dealt, ["clip", "bin"]).filter((F.col("pos") < F.col("end")) & (F.col("last") > F.col("start")))
+    return met.filter(F.col("bin") == F.greatest(F.floor(F.col("pos") / bin_width), F.floor(F.col("start") / bin_width))).drop("bin", "last")  # once
 
 
-def pause_cuts(signal: DataFrame, rate: int, most: float, level: float = -50.0) -> DataFrame:
+def pause_cuts(pieces: DataFrame, rate: int, most: float, level: float = -50.0) -> DataFrame:
     """clip, start, end of what to cut so that no pause between two sounds is longer than `most` seconds.
 
-    Sounds are 10 ms frames at `level` dBFS and above. Half of the allowed length stays at each side of a pause; the cut
-    moves outwards by up to 5 ms to the quietest sample. The few candidates of a cut meet the samples by equality.
+    pieces (clip, pos, samples) tile the clips. Sounds are whole 10 ms frames at `level` dBFS and above. Half of the
+    allowed length stays at each side of a pause; the cut moves outwards by up to 5 ms to the quietest sample, the first
+    of equals. A row is a frame or a pause, never a sample.
     """
     size, cap, radius = max(1, round(rate * 0.01)), round(most * rate), round(rate * 0.005)
-    f = signal.groupBy("clip", F.floor(F.col("pos") / size).alias("no")).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("x") * F.col("x")) + FLOOR).alias("rms"))
-    active = f.filter((F.col("n") == size) & (F.col("rms") >= 10 ** (level / 20)))
+    p = pieces.filter(F.size("samples") > 0)
+    f = p.withColumn("no", F.explode(F.sequence(F.floor(F.col("pos") / size), F.floor((F.col("pos") + F.size("samples") - 1) / size))))
+    f = f.select("clip", "no", *_stretch(F.col("no") * size, (F.col("no") + 1) * size)).groupBy("clip", "no").agg(F.sum("n").alias("n"), F.sum("power").alias("power"))
+    active = f.filter((F.col("n") == size) & (F.sqrt(F.col("power") / F.col("n") + FLOOR) >= 10 ** (level / 20)))
     pauses = active.select("clip", (F.lag("no").over(Window.partitionBy("clip").orderBy("no")) + 1).alias("a"), F.col("no").alias("b"))
     pauses = pauses.filter((F.col("b") - F.col("a")) * size > cap)
     left, right = F.col("a") * size + cap // 2, F.col("b") * size - (cap - cap // 2)
-    ends = pauses.select("clip", F.col("a"), F.explode(F.array(F.struct(F.lit("start").alias("end_of"), (left - radius).alias("lo"), left.alias("hi")), F.struct(F.lit("end").alias("end_of"), right.alias("lo"), (right + radius).alias("hi")))).alias("e"))
-    tries = ends.select("clip", "a", "e.end_of", F.explode(F.sequence("e.lo", "e.hi")).alias("pos"))
-    best = tries.join(signal, ["clip", "pos"]).groupBy("clip", "a").agg(*[F.min(F.when(F.col("end_of") == k, F.struct(F.abs("x").alias("v"), "pos")))["pos"].alias(k) for k in ("start", "end")])
+    side = lambda name, lo, hi: F.struct(F.lit(name).alias("side"), lo.alias("start"), (hi + 1).alias("end"))
+    tries = pauses.select("clip", "a", F.explode(F.array(side("start", left - radius, left), side("end", right, right + radius))).alias("t")).select("clip", "a", "t.*")
+    met = _meet(p, tries)
+    lo = F.greatest(F.col("start") - F.col("pos"), F.lit(0)).cast("int")
+    part = F.slice("samples", lo + 1, (F.least(F.col("end") - F.col("pos"), F.size("samples")) - lo).cast("int"))
+    own = F.array_min(F.transform(part, lambda x, i: F.struct(F.abs(x).alias("v"), (F.col("pos") + lo + i).alias("pos"))))
+    best = met.select("clip", "a", "side", own.alias("q")).groupBy("clip", "a").agg(*[F.min(F.when(F.col("side") == k, F.col("q")))["pos"].alias(k) for k in ("start", "end")])
     return best.filter(F.col("end") > F.col("start")).select("clip", "start", "end")
 
 
-def pause_apply(signal: DataFrame, cuts: DataFrame, bin_width: int = 4096) -> DataFrame:
-    """The samples that no cut (start up to before end) covers; cuts are dealt to the bins that they touch."""
-    at = lambda c: F.floor(c / bin_width)
-    dealt = cuts.select("clip", "start", "end", F.explode(F.sequence(at(F.col("start")), at(F.col("end") - 1))).alias("bin")).alias("c")
-    s = signal.withColumn("bin", at(F.col("pos"))).alias("s")
-    inside = (F.col("s.clip") == F.col("c.clip")) & (F.col("s.bin") == F.col("c.bin")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
-    return s.join(dealt, inside, "left_anti").drop("bin")
+def pause_apply(pieces: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The pieces (clip, pos, samples) without the samples that a cut (clip, start, up to before end) covers.
+
+    pos stays that of the piece's first sample before cutting; pieces that nothing is left of go.
+    """
+    own = _meet(pieces, cuts).groupBy("clip", "pos").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
+    p = pieces.join(own, ["clip", "pos"], "left")
+    left = F.filter("samples", lambda x, i: ~F.exists("cuts", lambda c: (F.col("pos") + i >= c["start"]) & (F.col("pos") + i < c["end"])))
+    out = p.withColumn("samples", F.when(F.col("cuts").isNull(), F.col("samples")).otherwise(left)).select("clip", "pos", "samples")
+    return out.filter(F.size("samples") > 0)
 
 
-def join_parts(parts: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """The samples of a group's parts in order, with `gap` zeros between; for groups of a few parts."""
-    rows = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "samples"))).alias("p"))
+def join_parts(parts: DataFrame, keys: list[str], gap: int, placeholder: int | None = None) -> DataFrame:
+    """The samples of a group's parts in order, with `gap` zeros between; for groups of a few parts.
+
+    A part without samples (null: it failed) is silence of `placeholder` samples, so that what follows keeps its place;
+    without a placeholder the group's result is null.
+    """
+    own = F.col("samples") if placeholder is None else F.coalesce("samples", F.array_repeat(F.lit(0.0), placeholder))
+    rows = parts.withColumn("samples", own).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "samples"))).alias("p"))
     pieces = F.transform("p", lambda x, i: F.concat(F.array_repeat(F.lit(0.0), F.when(i > 0, gap).otherwise(0)), x["samples"]))
     return rows.select(*keys, F.flatten(pieces).alias("samples"))
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +31,49 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("n", norm(F.col("v"))).select("label", F.transform("v", lambda x: x / F.col("n")).alias("centroid"))
 
 
-def voice_similarity(vectors: DataFrame, others: DataFrame, k: int) -> DataFrame:
-    """The k most similar centroids of each vector by cosine; others is a table of a few rows a label."""
-    sims = vectors.crossJoin(others.withColumnRenamed("label", "other")).select("vec_id", "other", F.round(dot(F.col("embedding"), F.col("centroid")) / norm(F.col("embedding")), 6).alias("similarity"))
-    order = Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "other")
-    return sims.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+#: Centroids in a block: a matrix of so many rows is broadcast at a time.
+CENTROIDS = 4096
+
+
+def voice_similarity(vectors: DataFrame, others: DataFrame, k: int, block: int = CENTROIDS) -> DataFrame:
+    """The k most similar centroids of each vector by cosine, with their rank: vec_id, other, similarity, rank.
+
+    Equal similarities (of six digits) rank by label. Centroids go through the driver in blocks of a bounded size; a batch
+    of vectors meets a block as one matrix product, and k rows a vector and block are all that moves. Null vectors and
+    centroids have no row, a vector of zeros none either. Rows that repeat a vec_id are ranked together.
+    """
+    spark, kind = vectors.sparkSession, others.schema["label"].dataType.simpleString()
+    schema = f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, other {kind}, similarity double"
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter("v is not null")
+
+    def against(labels: list, matrix: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast((labels, matrix))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, m = shared.value
+            for batch in batches:
+                v = np.array(batch["v"].tolist(), dtype=float).reshape(len(batch), -1)
+                length = np.sqrt((v * v).sum(axis=1))
+                ids, v = batch["vec_id"].to_numpy()[length > 0], v[length > 0]
+                x = v @ m.T / length[length > 0, None]
+                x = np.sign(x) * np.floor(np.abs(x) * 1e6 + 0.5) / 1e6
+                # labels are in order, so a stable sort ranks equals by label
+                top = np.argsort(-x, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"vec_id": np.repeat(ids, top.shape[1]), "other": [names[i] for i in top.ravel()], "similarity": np.take_along_axis(x, top, axis=1).ravel()})
+
+        return rows.mapInPandas(best, schema)
+
+    found, labels, held = spark.createDataFrame([], schema), [], []
+    for r in others.filter("label is not null and centroid is not null").select("label", "centroid").orderBy("label").toLocalIterator():
+        labels.append(r["label"])
+        held.append(r["centroid"])
+        if len(held) == block:
+            found, labels, held = found.unionByName(against(labels, np.array(held, dtype=float))), [], []
+    if held:
+        found = found.unionByName(against(labels, np.array(held, dtype=float)))
+    tops = found.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "other"))), 1, k).alias("x"))
+    ranked = tops.select("vec_id", F.posexplode("x").alias("i", "x"))
+    return ranked.select("vec_id", "x.other", (-F.col("x.s")).alias("similarity"), (F.col("i") + 1).alias("rank"))
 
 
 def stats_pool(vectors: DataFrame) -> DataFrame:
@@ -65,26 +106,37 @@ def frame_levels(frames: DataFrame) -> DataFrame:
 def frame_spectrum(frames: DataFrame, size: int, low: int = 8) -> DataFrame:
     """Hann-windowed power spectrum of each frame without its mean: dominant bin, centroid, flatness, share up to bin `low`.
 
-    A relational transform: the samples meet a table of size * (size / 2 + 1) constants, then sums by frame and bin.
+    A batch of frames is one matrix and one real Fourier transform; no row moves. Frames (vec_id, samples) that are null,
+    of another length or with a null among their samples are left out.
     """
-    spark = frames.sparkSession
-    basis = spark.range(size).select(F.col("id").cast("int").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(size // 2))).alias("bin"))
-    angle, hann = F.col("dim") * F.col("bin") * (-2 * math.pi / size), 0.5 - 0.5 * F.cos(F.col("dim") * (2 * math.pi / size))
-    basis = basis.select("dim", "bin", (hann * F.cos(angle)).alias("re"), (hann * F.sin(angle)).alias("im"))
-    x = frames.select("vec_id", F.posexplode("samples").alias("dim", "x"))
-    x = x.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("vec_id")))
-    power = x.join(F.broadcast(basis), "dim").groupBy("vec_id", "bin").agg((F.pow(F.sum(F.col("x") * F.col("re")), 2) + F.pow(F.sum(F.col("x") * F.col("im")), 2)).alias("p"))
-    power = power.withColumn("p", F.when(F.col("bin") == 0, F.lit(0.0)).otherwise(F.col("p")))
-    flat = F.exp(F.avg(F.log(F.col("p") + 1e-30))) / (F.avg("p") + 1e-30)
-    return power.groupBy("vec_id").agg(F.max_by("bin", "p").cast("long").alias("dominant_bin"), F.round(F.sum(F.col("bin") * F.col("p")) / (F.sum("p") + 1e-30), 4).alias("centroid"), F.round(flat, 6).alias("flatness"), F.round(F.sum(F.when(F.col("bin") <= low, F.col("p")).otherwise(F.lit(0.0))) / (F.sum("p") + 1e-30), 6).alias("low_share"))
+    window = 0.5 - 0.5 * np.cos(np.arange(size) * (2 * math.pi / size))
+    kind = frames.schema["vec_id"].dataType.simpleString()
+
+    def spectra(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bins = np.arange(size // 2 + 1)
+        for batch in batches:
+            x = np.array(batch["samples"].tolist(), dtype=float).reshape(len(batch), size)
+            p = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * window, axis=1)) ** 2
+            p[:, 0] = 0
+            total = p.sum(axis=1) + 1e-30
+            flat = np.exp(np.log(p + 1e-30).mean(axis=1)) / (p.mean(axis=1) + 1e-30)
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "dominant_bin": p.argmax(axis=1), "centroid": p @ bins / total, "flatness": flat, "low_share": p[:, : low + 1].sum(axis=1) / total})
+
+    whole = frames.select("vec_id", F.col("samples").cast("array<double>").alias("samples")).filter((F.size("samples") == size) & ~F.exists("samples", lambda v: v.isNull()))
+    out = whole.mapInPandas(spectra, f"vec_id {kind}, dominant_bin long, centroid double, flatness double, low_share double")
+    return out.select("vec_id", "dominant_bin", F.round("centroid", 4).alias("centroid"), F.round("flatness", 6).alias("flatness"), F.round("low_share", 6).alias("low_share"))
 
 
 def pad_ragged(rows: DataFrame) -> DataFrame:
-    """Arrays (label, vec_id, v) padded right with zeros to their label's longest, and the mask of the padding."""
-    most = F.max(F.size("v")).over(Window.partitionBy("label"))
-    r = rows.withColumns({"most": most, "own": F.size("v")})
+    """Arrays (label, vec_id, v) padded right with zeros to their label's longest, and the mask of the padding.
+
+    The longest are found by partial sums and joined back, so a label with very many arrays is no one task's. Null arrays
+    have null results.
+    """
+    most = rows.groupBy(F.col("label").alias("_label")).agg(F.max(F.size("v")).alias("most"))
+    r = rows.join(most, F.col("label").eqNullSafe(F.col("_label"))).withColumn("own", F.size("v"))
     padding = F.array_repeat(F.lit(False), F.col("own")), F.array_repeat(F.lit(True), F.col("most") - F.col("own"))
-    return r.select("vec_id", F.concat("v", F.array_repeat(F.lit(0.0), F.col("most") - F.col("own"))).alias("v"), F.concat(*padding).alias("mask"))
+    return r.select("vec_id", F.concat("v", F.array_repeat(F.lit(0.0), F.col("most") - F.col("own"))).alias("v"), F.when(F.col("v").isNotNull(), F.concat(*padding)).alias("mask"))
 
 
 def trim_tokens(tokens: Column, first: int, last: int, limit: int, most: int = 1001) -> Column:

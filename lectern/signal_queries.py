@@ -100,15 +100,21 @@ _CUTS = f"""{_AMP}, s as (select label clip, frame_no * 64 + generate_subscripts
     cuts as (select pq.clip, a, min_by(pos, (abs(x), pos)) filter (where pos between l - 1 and l) s, min_by(pos, (abs(x), pos)) filter (where pos between r and r + 1) e from pq join s on s.clip = pq.clip and (pos between l - 1 and l or pos between r and r + 1) group by 1, 2)"""
 
 
+def _whole(spark, d):
+    return S.frames(spark, d).select("clip", (F.col("frame_no") * 64).alias("pos"), "samples")
+
+
 @query(f'with {_CUTS} select clip, s "start", e "end" from cuts where e > s')
 def pause_cuts(spark, d):
-    return signals.pause_cuts(signals.samples(S.frames(spark, d), 64), 256, 0.5)
+    return signals.pause_cuts(_whole(spark, d), 256, 0.5)
 
 
 @query(f"with {_CUTS} select clip, count(*) samples, round(sum(x), 5) total from s where not exists (select 1 from cuts c where c.clip = s.clip and c.e > c.s and s.pos >= c.s and s.pos < c.e) group by 1")
 def pause_apply(spark, d):
-    s = signals.samples(S.frames(spark, d), 64)
-    return signals.pause_apply(s, signals.pause_cuts(s, 256, 0.5)).groupBy("clip").agg(F.count(F.lit(1)).alias("samples"), F.round(F.sum("x"), 5).alias("total"))
+    p = _whole(spark, d)
+    left = signals.pause_apply(p, signals.pause_cuts(p, 256, 0.5))
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
+    return left.groupBy("clip").agg(F.sum(F.size("samples")).alias("samples"), F.round(F.sum(total), 5).alias("total"))
 
 
 @query("""with s as (select vec_id, embedding[1 : 40 + vec_id % 25] x from embeddings), f as (select vec_id, x, unnest(range(0, len(x) // 25)) frame_no from s)
