@@ -35,21 +35,23 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (host, path and one column `row` of all else) with rule and rule_verdict, null where none fits.
 
     rules: host, path, verdict (allow or block). A rule fits its host and all subdomains where the path starts with the
-    rule's; the longest (host and path together) wins, block before allow between equals. Rules reach the rows through
-    the distinct hosts, each with the list of the rules of its suffixes, so the rule table may be large: a join spreads
-    it, and the planner broadcasts a side only where its written size allows that.
+    rule's; the longest (host and path together) wins, block before allow between equals. A url meets rules by equality:
+    of each suffix of its host and the start of its path, in each length that the suffix's rules have. So both tables may
+    be large, and a host's array holds lengths, never rules.
     """
     rules = rules.filter("host is not null and host != ''").groupBy("host", F.coalesce("path", F.lit("")).alias("path")).agg(F.max("verdict").alias("verdict"))
-    hosts = urls.select("host").distinct().filter("host != ''")
+    rules = settle(rules.select(F.col("host").alias("suffix"), F.col("path").alias("start"), "verdict"), "url-rules")
+    lengths = rules.groupBy("suffix").agg(F.collect_set(F.length("start")).alias("lengths"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    spread = hosts.select("host", F.explode(suffixes).alias("suffix"))
-    own = spread.join(rules.select(F.col("host").alias("suffix"), "path", "verdict"), "suffix")
-    own = own.groupBy("host").agg(F.collect_list(F.struct(F.concat("suffix", "path").alias("rule"), F.col("path").alias("start"), "verdict")).alias("rules"))
-    joined = urls.join(settle(own, "url-host-rules"), "host", "left")
-    fits = F.filter("rules", lambda r: F.startswith(F.col("path"), r["start"]))
-    best = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("n"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
-    return joined.withColumn("best", best).withColumn("rule", F.col("best.rule")).withColumn("rule_verdict", F.col("best.verdict")).drop("rules", "best")
+    spread = urls.select("host").distinct().filter("host != ''").select("host", F.explode(suffixes).alias("suffix"))
+    tries = settle(spread.join(lengths, "suffix").select("host", "suffix", F.explode("lengths").alias("n")), "url-tries")
+    own = urls.select("host", "path").distinct().join(tries, "host").filter(F.length("path") >= F.col("n"))
+    met = own.withColumn("start", F.left("path", F.col("n"))).join(rules, ["suffix", "start"])
+    rule = F.concat("suffix", "start")
+    best = met.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("n"), rule.alias("rule"), "verdict")).alias("best"))
+    joined = urls.join(settle(best, "url-best", tries), ["host", "path"], "left")
+    return joined.withColumn("rule", F.col("best.rule")).withColumn("rule_verdict", F.col("best.verdict")).drop("best")
 
 
 def shape(path: Column) -> Column:
