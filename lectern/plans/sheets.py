@@ -25,3 +25,13 @@ def marker_sheet(tags: DataFrame, markers: DataFrame) -> DataFrame:
     block = F.array(F.lit("[CHAPTER]"), F.lit("TIMEBASE=1/1000"), at("start_ms", "START="), at("end_ms", "END="), F.concat(F.lit("title="), escape(F.coalesce("title", F.lit("")))))
     body = markers.select("book", "chapter_no", F.posexplode(block).alias("k", "line"))
     return head.unionByName(body.select("book", (F.col("chapter_no") * 10 + F.col("k")).cast("long").alias("line_no"), "line"))
+
+
+MANIFEST = "title string, completed long, total long, chunks array<struct<index: int, text: string, audio_file: string>>"
+
+
+def manifest(title: Column, chunks: Column, completed: Column) -> Column:
+    """A book's manifest as JSON: its chunks in order, with the name of a file for the first `completed` ones."""
+    name = lambda i: F.when(i < completed, F.format_string("chunks/%06d.wav", i))
+    each = F.transform(chunks, lambda t, i: F.struct(i.alias("index"), t.alias("text"), name(i).alias("audio_file")))
+    return F.to_json(F.struct(title.alias("title"), completed.alias("completed"), F.size(chunks).cast("long").alias("total"), each.alias("chunks")))

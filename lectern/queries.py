@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import intervals, vectors
-from lectern.plans import resume, status, timeline
+from lectern.plans import resume, sheets, status, timeline
 from lectern.registry import ORACLE_SQL, QUERIES, query
 from lectern.sources import tables as S
 
@@ -123,6 +123,16 @@ def chunk_manifest(spark, d):
     return c.select("source", "idx", "doc_id", F.col("of").alias("text_md5"), F.when(F.col("idx") % 7 < 5, F.format_string("chunks/%06d.wav", "idx")).alias("audio_file"))
 
 
+@query(f"""with {CHUNKS}, b as (select doc_id, cs, doc_id % (len(cs) + 1) done from chunks where len(cs) > 0)
+    select doc_id, cast(len(cs) as bigint) total, cast(done as bigint) completed, md5(array_to_string(cs, chr(10))) texts_md5, md5(array_to_string(list_transform(range(done), lambda i: printf('chunks/%06d.wav', i)), ',')) files_md5 from b""")
+def book_manifest(spark, d):
+    """Each document's nested manifest as JSON, read back: its chunks in order, with a file for those that are complete."""
+    c = _chunks(spark, d).filter(F.size("cs") > 0).select("doc_id", "cs", F.pmod("doc_id", F.size("cs") + 1).cast("long").alias("done"))
+    back = c.select("doc_id", F.from_json(sheets.manifest(F.col("doc_id").cast("string"), F.col("cs"), F.col("done")), sheets.MANIFEST).alias("m"))
+    join = lambda field, by: F.md5(F.array_join(f"m.chunks.{field}", by).cast("binary"))
+    return back.select("doc_id", F.col("m.total").alias("total"), F.col("m.completed").alias("completed"), join("text", "\n").alias("texts_md5"), join("audio_file", ",").alias("files_md5"))
+
+
 @query(f"""with {CHUNKS}, each as (select doc_id, unnest(cs) c, generate_subscripts(cs, 1) pos from chunks),
     n as (select source, row_number() over (partition by source order by doc_id, pos) - 1 i from each join documents using (doc_id))
     select source, cast(i // {BATCH} as bigint) batch_no, cast(min(i) as bigint) first_index, count(*) size, cast(42 + min(i) as bigint) seed from n group by source, i // {BATCH}""")
@@ -436,6 +446,42 @@ def scan_work(spark, d):
     return resume.scan_work(f, f.filter("cached and idx % 2 = 0").select("project", "idx", "size", "mtime")).select("project", "idx", "size")
 
 
+_SCAN = f"""{PREFIX}, cache as (select project, idx, size + case when idx % 4 = 3 then 1 else 0 end size, mtime, 1 + project % 2 v from files where cached),
+    work as (select f.project, f.idx, f.size, f.mtime from files f join prefix using (project) where f.idx < prefix and not exists (select 1 from cache c where c.v = 2 and c.project = f.project and c.idx = f.idx and c.size = f.size and c.mtime = f.mtime))"""
+
+
+def _scan(spark, d):
+    """Caches of two versions of the detector, some of their entries of another size."""
+    f = S.files(spark, d)
+    size = F.col("size") + F.when(F.col("idx") % 4 == 3, 1).otherwise(0)
+    return resume.scan_plan(f, f.filter("cached").select("project", "idx", size.alias("size"), "mtime", (1 + F.col("project") % 2).alias("detector_version")), 2)
+
+
+@query(f"with {_SCAN} select project, idx, size from work")
+def scan_remainder(spark, d):
+    """Files below the frontier that this version of the detector has not found clean."""
+    return _scan(spark, d)[0].select("project", "idx", "size")
+
+
+@query(f"""with {_SCAN}, t as (select project, count(*) n from work group by 1), st as (select project, count(*) n from cache join prefix using (project) where idx >= prefix group by 1)
+    select project, cast(prefix as bigint) durable, coalesce(t.n, 0) to_scan, cast(prefix as bigint) - coalesce(t.n, 0) cached_skipped, coalesce(st.n, 0) stale from prefix left join t using (project) left join st using (project)""")
+def scan_counts(spark, d):
+    """How many files of each project are scanned, spared by the cache, and dropped from it."""
+    return _scan(spark, d)[1]
+
+
+@query(f"""with {FILES}, old as (select project, idx, true known, case when idx % 5 = 0 then null else size end size from files where cached),
+    new as (select project, idx, true known, case when idx % 7 = 0 then null when idx % 3 = 0 then size + 1 else size end size from files where valid)
+    select project, count(*) filter (ia is null) added, count(*) filter (ib is null) removed, count(*) filter (ia and ib and x is distinct from y) changed
+    from (select coalesce(a.project, b.project) project, a.known ia, b.known ib, a.size x, b.size y from old a full join new b on a.project = b.project and a.idx = b.idx) group by 1 having added + removed + changed > 0""")
+def cache_changes(spark, d):
+    """Effective changes from one verified set to the next."""
+    f = S.files(spark, d)
+    size = F.when(F.col("idx") % 7 != 0, F.when(F.col("idx") % 3 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    old = f.filter("cached").select("project", "idx", F.when(F.col("idx") % 5 != 0, F.col("size")).alias("size"))
+    return resume.cache_changes(old, f.filter("valid").select("project", "idx", size.alias("size")))
+
+
 @query(f"""with {FILES}, t as (select project, idx, mtime + (idx % 3 - 1) * interval 1 day mtime from files where idx % 2 = 1), c as (select project, idx, mtime done from files where valid)
     select t.project, min(t.idx) cap from t left join c on t.project = c.project and t.idx = c.idx where done is null or done <= t.mtime group by t.project""")
 def debris_guard(spark, d):
