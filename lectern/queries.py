@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -70,21 +70,32 @@ def collapse_ws(spark, d):
     return S.read(spark, d, "documents").select("doc_id", T.collapse_ws(F.col("text")).alias("collapsed"))
 
 
-@query(f"with {SENTENCES} select doc_id, cast(len(ss) as bigint) n_sentences, md5(array_to_string(ss, chr(10))) sentences_md5 from lists")
+@query(f"with {SENTENCES} select d.doc_id, cast(coalesce(len(ss), 0) as bigint) n_sentences, md5(coalesce(array_to_string(ss, chr(10)), '')) sentences_md5 from documents d left join lists using (doc_id)")
 def sentences(spark, d):
-    docs = S.read(spark, d, "documents").filter(T.has_words(F.col("text"))).withColumn("ss", T.sentences(F.col("text")))
-    return docs.select("doc_id", F.size("ss").cast("long").alias("n_sentences"), F.md5(F.array_join("ss", "\n").cast("binary")).alias("sentences_md5"))
+    """Documents without words, or without text, have none."""
+    docs = S.read(spark, d, "documents").withColumn("ss", T.sentences(F.col("text")))
+    return docs.select("doc_id", _size("ss").alias("n_sentences"), _digest("ss").alias("sentences_md5"))
 
 
-@query(f"with {SENTENCES} select doc_id, cast(count(*) as bigint) n_dialogue from sents where length(s) >= 80 and regexp_matches(s, '{T.DIALOGUE_MARKS}') group by doc_id")
+def _size(array: str) -> Column:
+    return F.coalesce(F.size(array), F.lit(0)).cast("long")
+
+
+def _digest(array: str) -> Column:
+    return F.md5(F.coalesce(F.array_join(array, "\n"), F.lit("")).cast("binary"))
+
+
+@query(f"with {SENTENCES}, n as (select doc_id, count(*) n from sents where length(s) >= 80 and regexp_matches(s, '{T.DIALOGUE_MARKS}') group by doc_id) select d.doc_id, coalesce(n, 0) n_dialogue from documents d left join n using (doc_id)")
 def dialogue_turns(spark, d):
-    s = S.read(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
-    return s.filter(T.is_dialogue(F.col("s"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_dialogue"))
+    docs = S.read(spark, d, "documents").withColumn("said", F.filter(T.sentences(F.col("text")), T.is_dialogue))
+    return docs.select("doc_id", _size("said").alias("n_dialogue"))
 
 
-@query(f"with {CHUNKS} select doc_id, cast(len(cs) as bigint) n_chunks, md5(array_to_string(cs, chr(10))) chunks_md5 from chunks where len(cs) > 0")
+@query(f"with {CHUNKS} select d.doc_id, cast(coalesce(len(cs), 0) as bigint) n_chunks, md5(coalesce(array_to_string(cs, chr(10)), '')) chunks_md5 from documents d left join chunks using (doc_id)")
 def pack_chunks(spark, d):
-    return _chunks(spark, d).filter(T.has_words(F.col("text"))).select("doc_id", F.size("cs").cast("long").alias("n_chunks"), F.md5(F.array_join("cs", "\n").cast("binary")).alias("chunks_md5"))
+    """Documents without words, or without text, have none."""
+    docs = S.read(spark, d, "documents").withColumn("cs", T.pack_chunks(T.sentences(F.col("text")), LIMIT))
+    return docs.select("doc_id", _size("cs").alias("n_chunks"), _digest("cs").alias("chunks_md5"))
 
 
 @query(f"with {CHUNKS} select doc_id, para, cast(sid as bigint) sid, cast(len(ps) as bigint) n_parts, md5(array_to_string(ps, chr(10))) parts_md5 from parts where length(s) > {LIMIT}".replace("doc_id, para, cast(sid as bigint) sid,", "doc_id, md5(s) sentence_md5,"))
@@ -243,9 +254,9 @@ def cleanup_summary(spark, d):
     return rows.groupBy("batch", "category").agg(F.sum("n").alias("changes"), F.count(F.lit(1)).alias("prompts"))
 
 
-@query(f"select doc_id, md5({_norm_sql('text')}) normal_md5 from documents where text is not null")
+@query(f"select doc_id, md5({_norm_sql('text')}) normal_md5 from documents")
 def punc_norm(spark, d):
-    return S.read(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(T.punc_norm(F.col("text")).cast("binary")).alias("normal_md5"))
+    return S.read(spark, d, "documents").select("doc_id", F.md5(T.punc_norm(F.col("text")).cast("binary")).alias("normal_md5"))
 
 
 @query(f"with {PREPARED} select doc_id, md5('<' || lang || '>[START]' || {_norm_sql('cleaned')} || '[STOP]') prompt_md5, {_norm_sql('cleaned')} != cleaned normalized from cleaned")

@@ -11,6 +11,7 @@ import posixpath
 import re
 import wave
 import zipfile
+import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
@@ -69,34 +70,60 @@ def _local(element) -> str:
     return element.tag.rsplit("}", 1)[-1]
 
 
-def _book(content: bytes) -> Iterator[tuple]:
-    """Rows (kind, pos, name, value, type, properties, text) of an archive: its metadata, spine and items."""
+def _book(content: bytes, document_bytes: int, book_bytes: int) -> Iterator[tuple]:
+    """Rows (kind, pos, name, value, type, properties, text) of an archive: its metadata, spine and items. Texts are those
+    of the documents in the spine, or of all where there is no spine; their sizes are checked before one is unpacked."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
+        sizes = {i.filename: i.file_size for i in z.infolist()}
         root = next(e.get("full-path") for e in ElementTree.fromstring(z.read("META-INF/container.xml")).iter() if _local(e) == "rootfile")
         folder = posixpath.dirname(root)
-        for pos, e in enumerate(ElementTree.fromstring(z.read(root)).iter()):
+        tree = list(ElementTree.fromstring(z.read(root)).iter())
+        spine = [e.get("idref") for e in tree if _local(e) == "itemref"]
+        items = {}
+        for pos, e in enumerate(tree):
+            if _local(e) == "item":
+                member = posixpath.normpath(posixpath.join(folder, unquote((e.get("href") or "").split("#")[0])))
+                items[pos] = e.get("id"), member, e.get("media-type") or "", e.get("properties") or ""
+        last = {name: (member, media) for name, member, media, _ in items.values()}
+        read = [last[i][0] for i in (spine or last) if i in last and last[i][0] in sizes and last[i][1] in (*TEXT_TYPES, "")]
+        for member in read:
+            if sizes[member] > document_bytes:
+                raise TooLarge(f"a document of {sizes[member]} bytes: {member}")
+        if sum(sizes[m] for m in read) > book_bytes:
+            raise TooLarge(f"documents of {sum(sizes[m] for m in read)} bytes together")
+        for pos, e in enumerate(tree):
             kind = _local(e)
             if kind == "itemref":
                 yield "spine", pos, e.get("idref"), None, None, None, None
             elif kind == "meta" and e.get("name"):
                 yield "meta", pos, e.get("name"), e.get("content"), None, None, None
             elif kind == "item":
-                member = posixpath.normpath(posixpath.join(folder, unquote((e.get("href") or "").split("#")[0])))
+                name, member, media, properties = items[pos]
                 if member.startswith(("../", "/")):
-                    yield "reject", pos, e.get("id"), "path outside the archive", None, None, None
+                    yield "reject", pos, name, "path outside the archive", None, None, None
                     continue
-                media = e.get("media-type") or ""
-                readable = member in names and media in (*TEXT_TYPES, "")
+                readable = member in read and media in (*TEXT_TYPES, "")
                 text = "\n\n".join(_lines(z.read(member).decode("utf-8", "replace"))) if readable else None
-                yield "item", pos, e.get("id"), member, media, e.get("properties") or "", text
+                yield "item", pos, name, member, media, properties, text
             elif e.text and e.text.strip() and e.tag.startswith("{http://purl.org/dc/"):
                 yield "data", pos, kind, " ".join(e.text.split()), None, None, None
 
 
-def read_books(spark: SparkSession, path: str, glob: str = "*.epub") -> DataFrame:
+# Bytes of a document and of all of a book's documents, and archives that can't be read
+DOCUMENT_BYTES, BOOK_BYTES = 8 << 20, 64 << 20
+UNREADABLE = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, EOFError, OSError, KeyError, StopIteration, NotImplementedError, RuntimeError, UnicodeError, ElementTree.ParseError)
+
+
+class TooLarge(ValueError):
+    """An archive with more text than is read."""
+
+
+def read_books(spark: SparkSession, path: str, glob: str = "*.epub", document_bytes: int = DOCUMENT_BYTES, book_bytes: int = BOOK_BYTES) -> DataFrame:
     """book (path), kind, pos, name, value, type, properties, text of the archives in a folder.
 
+    An archive that is broken or encrypted, lacks a part, or whose documents have more bytes than one or all may have
+    (by the sizes that it states, before anything is unpacked) has one row of kind reject.
+
     Kinds: data (metadata by element name), meta, spine (references to item ids), item (member, its type and visible
     text) and reject (with the reason).
     """
@@ -105,8 +132,8 @@ def read_books(spark: SparkSession, path: str, glob: str = "*.epub") -> DataFram
         for batch in batches:
             for book, content in zip(batch["path"], batch["content"]):
                 try:
-                    rows = list(_book(bytes(content)))
-                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError) as e:
+                    rows = list(_book(bytes(content), document_bytes, book_bytes))
+                except (TooLarge, *UNREADABLE) as e:
                     rows = [("reject", 0, None, f"{type(e).__name__}: {e}", None, None, None)]
                 yield pd.DataFrame([(book, *r) for r in rows], columns=["book", "kind", "pos", "name", "value", "type", "properties", "text"])
 
@@ -127,11 +154,11 @@ def readable_chapters(books: DataFrame) -> DataFrame:
 
 
 def book_metadata(books: DataFrame) -> DataFrame:
-    """book, title (else the file's stem), authors in order, language, publisher, identifier."""
+    """book, title (else the file's stem), authors in order, language, publisher, identifier, description, date."""
     data = books.filter("kind = 'data'")
     first = lambda name: F.min_by(F.when(F.col("name") == name, F.col("value")), F.when(F.col("name") == name, F.col("pos")))
     authors = F.transform(F.sort_array(F.collect_list(F.when(F.col("name") == "creator", F.struct("pos", "value")))), lambda x: x["value"])
-    found = data.groupBy("book").agg(authors.alias("authors"), *[first(n).alias(n) for n in ("title", "language", "publisher", "identifier")])
+    found = data.groupBy("book").agg(authors.alias("authors"), *[first(n).alias(n) for n in ("title", "language", "publisher", "identifier", "description", "date")])
     stem = F.regexp_extract("book", r"([^/]*?)(\.[^./]*)?$", 1)
     out = books.filter("kind != 'reject'").select("book").distinct().join(found, "book", "left")
     return out.withColumn("title", F.coalesce("title", stem))

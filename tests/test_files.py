@@ -30,6 +30,30 @@ def test_books(spark, tmp_path):
     assert books.filter("kind = 'reject'").count() == 2
 
 
+def test_large_and_broken_books(spark, tmp_path):
+    """Documents of the spine have limits, one by one and together; what isn't read has none; broken archives are told."""
+    texts = {"OEBPS/a a.xhtml": "<p>" + "a" * 93 + "</p>", "OEBPS/b.xhtml": "<p>" + "b" * 193 + "</p>", "OEBPS/p.png": "x" * 5000}
+    for name in ("fits", "cut", "locked"):
+        with zipfile.ZipFile(tmp_path / f"{name}.epub", "w", zipfile.ZIP_DEFLATED) as z:
+            for member, text in (("META-INF/container.xml", CONTAINER), ("OEBPS/content.opf", OPF.replace("<dc:title>", "<dc:description>About it</dc:description><dc:date>1901</dc:date><dc:title>")), *texts.items()):
+                z.writestr(member, text)
+    whole = (tmp_path / "cut.epub").read_bytes()
+    (tmp_path / "cut.epub").write_bytes(whole[: len(whole) // 2])
+    data = bytearray(whole)
+    data[6] |= 1  # the first entry is marked as encrypted
+    data[data.index(b"PK\x01\x02") + 8] |= 1
+    (tmp_path / "locked.epub").write_bytes(bytes(data))
+
+    def rejects(**limits):
+        rows = files.read_books(spark, str(tmp_path), **limits).filter("kind = 'reject' and pos = 0").collect()
+        return {r["book"].rsplit("/", 1)[-1]: r["name"] or r["value"] for r in rows}
+
+    assert set(rejects(document_bytes=200, book_bytes=300)) == {"cut.epub", "locked.epub"}
+    assert set(rejects(document_bytes=199)) == set(rejects(book_bytes=299)) == {"cut.epub", "locked.epub", "fits.epub"}
+    meta = files.book_metadata(files.read_books(spark, str(tmp_path), "fits.epub")).first()
+    assert (meta["description"], meta["date"]) == ("About it", "1901")
+
+
 def test_wavs(spark, tmp_path):
     for name, channels, n in (("good", 1, 50), ("stereo", 2, 50), ("empty", 1, 0)):
         with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
