@@ -20,7 +20,7 @@ SYMBOLS = "#*$%&|<>"
 MEASURES = {"mean_word_chars": "both", "other_share": "high", "upper_share": "high", "dup_line_share": "high", "repeat_share": "high"}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Widths of the middle half from a quartile to the fence, and documents for which the wider group counts.
-REACH, PRIOR = 7.0, 100
+REACH, PRIOR = 8.0, 100
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SKETCH_K = 400
 
