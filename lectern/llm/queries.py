@@ -140,4 +140,21 @@ ORACLE_SQL = {
         from turns group by conv_id""",
     "op6_jaccard_join": _components_sql(4, "least(doc_id, coalesce(y, doc_id)) component_id"),
     "op11_minhash_dedup": _components_sql(3, "least(doc_id, coalesce(y, doc_id)) component_id, doc_id <= coalesce(y, doc_id) kept"),
+    "op12_phrase_mining": r"""
+        with pieces as (
+            select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p from documents
+        ), words as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x != '') w from pieces
+        ), grams as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) g from words, (values (1), (2), (3)) x(k) where len(w) >= k
+        ), f as (select lang, k, g, count(*) n from grams group by all
+        ), found as (select lang, k, g, n a, string_split(g, ' ') s from f where k > 1 and n >= 10
+        ), cuts as (select *, array_to_string(s[1:j], ' ') x, array_to_string(s[j + 1:], ' ') y from found, (values (1), (2)) x(j) where j < k
+        ), scored as (
+            select c.lang, c.g, c.a, j, fx.n l, fy.n r, cast((1000000::hugeint * a * a) // (fx.n::hugeint * fy.n) as bigint) score
+            from cuts c join f fx on fx.lang = c.lang and fx.k = j and fx.g = x join f fy on fy.lang = c.lang and fy.k = c.k - j and fy.g = y
+        ), lowest as (select * from scored qualify row_number() over (partition by lang, g order by score, j) = 1
+        ), longer as (select lang, g, max(a) m from (select lang, unnest([array_to_string(s[1:2], ' '), array_to_string(s[2:3], ' ')]) g, a from found where k = 3) group by all
+        ), total as (select lang, cast(sum(n) as bigint) n from f where k = 1 group by lang)
+        select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.g) "rank", b.g phrase, a, l, r, t.n n, score
+        from lowest b join total t on t.lang = b.lang left join longer m on m.lang = b.lang and m.g = b.g
+        where m.m is null or 100 * m.m < 50 * a qualify "rank" <= 2000""",
 }
