@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.functions import multilingual
+from lectern.functions import multilingual, segment
 from lectern.functions import text as T
 from lectern.plans import recovery
 from lectern.registry import query
@@ -41,3 +41,14 @@ def normalize_multilingual(spark, d):
     prompt = F.concat(F.lit("<"), "lang", F.lit(">[START]"), T.punc_norm(F.col("cleaned")), F.lit("[STOP]"))
     done = multilingual.normalize_multilingual(docs.select("doc_id", prompt.alias("prompt")))
     return done.select("doc_id", F.md5(F.col("normalized").cast("binary")).alias("normalized_md5"))
+
+
+@query(r"""with recursive names as (select p_partkey, replace(p_name, ' ', '') t from part), dict as (select distinct unnest(string_split(p_name, ' ')) w from part where p_partkey % 3 = 0),
+    places as (select distinct t from names), seg as (select t, t rest, '' done from places union all
+      select t, substr(rest, n + 1), done || case when done = '' then '' else ' ' end || left(rest, n) from (select s.t, s.rest, s.done, coalesce(max(length(w)), 1) n from seg s left join dict on starts_with(s.rest, w) and w != '' where s.rest != '' group by all))
+    select p_partkey, done words from names join seg using (t) where rest = ''""")
+def word_segments(spark, d):
+    """Names of parts without their spaces, cut into words by the words of every third name."""
+    part = S.read(spark, d, "part")
+    words = part.filter("p_partkey % 3 = 0").select(F.explode(F.split("p_name", " ")).alias("word"))
+    return part.select("p_partkey", segment.word_breaker(words)(F.replace("p_name", F.lit(" "), F.lit(""))).alias("words"))
