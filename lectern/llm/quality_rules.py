@@ -85,8 +85,8 @@ def fences(sketches: DataFrame, reach: float = REACH, prior: float = PRIOR) -> D
     quartiles weigh n / (n + prior) against its language's, and these as much against those of all documents. Where the
     quartiles that come out are equal the measure has no spread to go by, and no fence (infinity).
     """
-    fine = settle(_merged(sketches, "lang", "source"), "quality-fine")
-    coarse = settle(_merged(fine, "lang"), "quality-coarse")
+    fine = _merged(sketches, "lang", "source")
+    coarse = _merged(fine, "lang")
     rows = fine.alias("f").join(coarse.alias("c"), F.col("f.lang").eqNullSafe(F.col("c.lang"))).join(_merged(coarse).alias("a"))
     out = []
     for m, side in MEASURES.items():
