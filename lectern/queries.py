@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import tables as table_functions
 from lectern.functions import text as T
 from lectern.operators import intervals, vectors
 from lectern.plans import resume, sheets, status, timeline
@@ -98,6 +99,14 @@ def pack_chunks(spark, d):
     return docs.select("doc_id", _size("cs").alias("n_chunks"), _digest("cs").alias("chunks_md5"))
 
 
+@query(f"with {CHUNKS} select doc_id, cast(generate_subscripts(cs, 1) - 1 as bigint) pos, md5(unnest(cs)) chunk_md5 from chunks")
+def chunk_text(spark, d):
+    """Every chunk of every document, by the table function for SQL."""
+    table_functions.register(spark)
+    S.read(spark, d, "documents").createOrReplaceTempView("lectern_documents")
+    return spark.sql(f"select doc_id, cast(pos as bigint) pos, md5(cast(chunk as binary)) chunk_md5 from lectern_documents, lateral chunk_text(text, {LIMIT})")
+
+
 @query(f"with {CHUNKS} select doc_id, para, cast(sid as bigint) sid, cast(len(ps) as bigint) n_parts, md5(array_to_string(ps, chr(10))) parts_md5 from parts where length(s) > {LIMIT}".replace("doc_id, para, cast(sid as bigint) sid,", "doc_id, md5(s) sentence_md5,"))
 def split_oversized(spark, d):
     s = S.read(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s")).filter(F.length("s") > LIMIT)

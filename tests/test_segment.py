@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions import multilingual, segment
+from lectern.functions import multilingual, segment, tables
+from lectern.functions import text as T
 
 
 def brute(text, entries):
@@ -53,3 +54,16 @@ def test_dictionaries_have_a_limit(spark, monkeypatch):
     monkeypatch.setattr(segment, "MOST_CHARS", 5)
     with pytest.raises(ValueError, match=re.escape("6 characters")):
         segment.word_breaker(spark.createDataFrame([("abc",), ("def",)], "word string"))
+
+
+def test_table_function_equals_the_column(spark):
+    """Hard texts in SQL by lateral join, at several limits, null and blank ones too."""
+    rng = random.Random(5)
+    bits = ["Dr. Rivera", "e.g.", "J. R.", "said:", "\"Sit down!\"", "then;", "x" * 70, "y" * 300, "—", "« long", "»", "…", "3.5", "p.m.", "Really?!", "\n", "\n\n", "\u00a0", "a,b", "word", "end.", "mr.)", "A.", "...", "é.”"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(0, 90))) for _ in range(150)] + [None, "", " \n ", "Mr. " * 90 + "said \"" + "so " * 60 + "\"."]
+    tables.register(spark)
+    spark.createDataFrame(list(enumerate(texts)), "i int, t string").createOrReplaceTempView("hard_texts")
+    for limit in (40, 280):
+        got = spark.sql(f"select i, sort_array(collect_list(struct(pos, chunk))).chunk c from hard_texts, lateral chunk_text(t, {limit}) group by i")
+        want = spark.table("hard_texts").select("i", T.pack_chunks(T.sentences(F.col("t")), limit).alias("c")).filter("size(c) > 0")
+        assert {r["i"]: r["c"] for r in got.collect()} == {r["i"]: r["c"] for r in want.collect()}
