@@ -104,7 +104,7 @@ def chapter_title(spark, d):
 def spine_manifest(spark, d):
     """Ordered references meet their items; unknown ones are skipped, and of two items with one id the last wins."""
     items = S.read(spark, d, "customer").filter("c_custkey % 5 != 0").groupBy(F.col("c_custkey").alias("item")).agg(F.max_by("c_name", "c_custkey").alias("path"))
-    return S.read(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("item")).join(items, "item").select("pos", "item", "path").orderBy("pos")
+    return S.read(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("item")).join(items, "item").select("pos", "item", "path")
 
 
 @query("select book, item, tier from (select p_brand book, p_partkey item, case when p_partkey % 97 = 0 then 0 when p_type like 'PROMO%' then 1 when p_type like '%STEEL%' then 2 else 3 end tier, row_number() over (partition by p_brand order by case when p_partkey % 97 = 0 then 0 when p_type like 'PROMO%' then 1 when p_type like '%STEEL%' then 2 else 3 end, p_partkey) r from part) where r = 1")

@@ -540,7 +540,7 @@ def progress_override(spark, d):
 def incomplete_projects(spark, d):
     n = S.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_linestatus") == "F").alias("done"))
     o = S.read(spark, d, "orders").filter("o_orderstatus != 'F'").join(n, F.col("o_orderkey") == F.col("l_orderkey")).filter("done < n")
-    return o.select("o_orderkey", F.concat("o_orderpriority", F.lit(" ("), F.format_number("done", 0), F.lit("/"), F.format_number("n", 0), F.lit(")")).alias("label")).orderBy(F.desc("label"), "o_orderkey")
+    return o.select("o_orderkey", F.concat("o_orderpriority", F.lit(" ("), F.format_number("done", 0), F.lit("/"), F.format_number("n", 0), F.lit(")")).alias("label"))
 
 
 @query("select event_id, case when s < 60 then printf('%ds', s) when s < 3600 then printf('%dm %02ds', s // 60, s % 60) else printf('%dh %02dm', s // 3600, s // 60 % 60) end duration from (select event_id, greatest(0, cast(round_even(value * 20 - 500, 0) as bigint)) s from events)")
