@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import intervals, signals, vectors
+from lectern import queries as Q
 from lectern.plans import status, timeline
 import __spark_entry__  # noqa: F401
 from lectern.registry import ORACLE_SQL, QUERIES
@@ -55,6 +56,15 @@ def test_clean_order_and_counts(spark):
     assert all(rows[3][c] is None for c in T.CHANGES) and not any(rows[1][c] for c in T.CHANGES)
 
 
+def test_first_letter_is_raised_to_one_letter(spark, duck):
+    texts = ["ßachzu ein", "ŉ x", "ﬁn", "ᾳ", "ᾠ b", "ǆ", "ﬗ", "ä", "Ab", "1", "", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").createOrReplaceTempView("raised")
+    got = [r[0] for r in spark.table("raised").orderBy("doc_id").select(T.punc_norm(F.col("text"))).collect()]
+    assert got[:8] == ["ẞachzu ein.", "ŉ x.", "ﬁn.", "ᾼ.", "ᾨ b.", "Ǆ.", "ﬗ.", "Ä."]
+    sql = Q._norm_sql("t")
+    assert got == [r[0] for r in duck.execute(f"select {sql} from (select unnest(?::varchar[]) t)", [texts]).fetchall()]
+
+
 def balanced(text):
     """All cuts tried, by places in the text."""
     t = " ".join(text.split())
