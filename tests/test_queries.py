@@ -65,6 +65,12 @@ def test_first_letter_is_raised_to_one_letter(spark, duck):
     assert got == [r[0] for r in duck.execute(f"select {sql} from (select unnest(?::varchar[]) t)", [texts]).fetchall()]
 
 
+def test_prompt_of_a_text_that_begins_with_sharp_s(spark, duck, tmp_path):
+    duck.sql("copy (select 1 doc_id, 'ßheit, nicht' \"text\", 'de' lang) to '%s/documents.parquet'" % tmp_path)
+    want = duck.sql(ORACLE_SQL["wrap_prompt"].replace("from documents", f"from '{tmp_path}/documents.parquet'")).df()
+    same_rows(QUERIES["wrap_prompt"](spark, str(tmp_path)).toPandas(), want)
+
+
 def balanced(text):
     """All cuts tried, by places in the text."""
     t = " ".join(text.split())
