@@ -4,6 +4,7 @@ import pytest
 from conftest import SF, same_rows
 from pyspark.sql import functions as F
 
+from lectern.functions import tables as table_functions
 from lectern.functions import text as T
 from lectern.operators import intervals, signals, vectors
 from lectern import queries as Q
@@ -189,3 +190,23 @@ def test_rest_works_without_training_data(monkeypatch):
 
     monkeypatch.setattr(builtins, "__import__", without)
     assert "corpus_summary" in __spark_entry__.queries()
+
+
+def test_sentences_and_chunks_by_patterns_are_those_of_the_rules(spark):
+    """Against the table function's plain code, and without a fold where texts come from sentences()."""
+    texts = ["Mr. A. B. C. D. E. F. G. H. I. J. x.y.z.a.b.c.d.e.f.g.h. End. no.’ He e.g. said: \"No.\" Yes!) done", " \n\t a  b  c.\u0085 D?! \n \n E.. f ...no. g x.no. h No.) i", "", " ", "\n",
+             "One two. " * 60, "w" * 450 + " b, " + "clause of words " * 20 + "; c", ("“Said " + "very " * 30 + "long.” ") * 3 + "After.", "é😀 " * 150 + ". 😀b. c", "z" * 200 + ". " + "y" * 400]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for limit in (1, 20, 200):
+        got = [r.c for r in df.orderBy("i").select(T.pack_chunks(T.sentences(F.col("t")), limit).alias("c")).collect()]
+        want = [list(table_functions._packed(((p, len(s) >= 80 and table_functions._SAID.search(s) is not None, False) for s in table_functions._sentences(t) for p in ([s] if len(s) <= limit else table_functions._packed(table_functions._parts(s, limit), limit))), limit)) for t in texts]
+        assert got == want
+    said = [r.c for r in df.orderBy("i").select(T.sentences(F.col("t")).alias("c")).collect()]
+    assert said == [list(table_functions._sentences(t)) for t in texts]
+    tabs = spark.createDataFrame([(["a\tb", "c\nd", "e"],)], "s array<string>").select(T.pack_chunks(F.col("s"), 5).alias("c")).first().c
+    assert tabs == ["a\tb", "c\nd e"]
+
+
+def test_books_are_chunked_once_for_their_manifest(spark):
+    plan = QUERIES["book_manifest"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "lambda" in x]
