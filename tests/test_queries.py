@@ -72,6 +72,14 @@ def test_prompt_of_a_text_that_begins_with_sharp_s(spark, duck, tmp_path):
     same_rows(QUERIES["wrap_prompt"](spark, str(tmp_path)).toPandas(), want)
 
 
+@pytest.mark.parametrize("name", ["wrap_prompt", "clean_chars"])
+def test_prompts_of_rare_code_points(spark, duck, tmp_path, name):
+    texts = ["noted .7 .8", "a.1 !2 ?3", "𠀀² ok", "z𐄇³. 𝟗.7 𝟗x", "a\u0378b\uffff", "\u0870 x", "ⱟ x\u1ac1", "ƛ x", "ɤ x", "a\u0890\U00011f50.5", "\U0001f600 .4 \u200b", "x²\n³ A.B. 𠀀A.B."]
+    duck.execute(f"copy (select row_number() over () doc_id, t \"text\", 'de' lang from (select unnest(?::varchar[]) t)) to '{tmp_path}/documents.parquet'", [texts])
+    want = duck.sql(ORACLE_SQL[name].replace("from documents", f"from '{tmp_path}/documents.parquet'")).df()
+    same_rows(QUERIES[name](spark, str(tmp_path)).toPandas(), want)
+
+
 def balanced(text):
     """All cuts tried, by places in the text."""
     t = " ".join(text.split())
