@@ -1,9 +1,10 @@
 """Chat formatting: reply trees become conversations.
 
 Paths from roots to leaves are found by iterative self-joins that double their reach: after k joins every node knows
-its ancestor 2^k steps up, and the leaves then collect their ancestors with as many joins again. Depth d takes
-2 log2(d) joins of ids alone, each written to the shared folder; texts are joined once, to the finished paths. The rows
-held are the nodes plus the paths themselves. A path ends as one row, so the task that formats it holds that one path.
+its ancestor 2^k steps up, and every leaf its 2^k nearest ones, for both meet the same pointers in one join. Depth d
+takes log2(d) + 1 joins of ids alone, each written to the shared folder in place of the one before; texts are joined
+once, to the finished paths. The rows held are the nodes plus the paths themselves. A path ends as one row, so the task
+that formats it holds that one path.
 """
 
 from __future__ import annotations
@@ -36,19 +37,24 @@ def unescape(text: str, role: bool = False) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if role and m[1] == "n" else m[1], text, flags=re.S) if "\\" in text else text
 
 
-def _pointers(nodes: DataFrame) -> list[DataFrame]:
-    """For each k the ancestor 2^k steps up, until no node has one."""
-    n = nodes.count()
-    here = nodes.select("tree", "node", F.col("parent").alias("up"))
-    known = nodes.select("tree", F.col("node").alias("up"))
-    here = settle(here.join(known.withColumn("known", F.lit(True)), ["tree", "up"], "left").select("tree", "node", F.when(F.col("known"), F.col("up")).alias("up")), "chat-up") if n else here
-    out: list[DataFrame] = []
-    while n >= 2 ** len(out) and not here.filter(F.col("up").isNotNull()).isEmpty():
-        here = here.filter(F.col("up").isNotNull())
-        out.append(here)
-        step = here.select("tree", F.col("node").alias("up"), F.col("up").alias("next"))
-        here = settle(here.join(step, ["tree", "up"]).select("tree", "node", F.col("next").alias("up")), "chat-up")
-    return out
+def _ancestors(nodes: DataFrame, n: int) -> DataFrame:
+    """Every leaf (tree, leaf) with each of its ancestors (node), itself first, and how many steps up that is (up).
+
+    nodes: n rows, at most one of each node. A leaf below a cycle gets n steps or more.
+    """
+    here = nodes.select("tree", F.col("node").alias("source"), F.col("parent").alias("at"))
+    known = nodes.select("tree", F.col("node").alias("at"))
+    pointers = here.join(known, ["tree", "at"], "left_semi").select("tree", "source", "at", F.lit(1).alias("up"), F.lit(False).alias("path"))
+    leaves = nodes.select("tree", "node").join(nodes.select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
+    steps = settle(pointers.unionByName(leaves.select("tree", F.col("node").alias("source"), F.col("node").alias("at"), F.lit(0).alias("up"), F.lit(True).alias("path"))), "chat-steps")
+    reach = 1
+    while n >= reach and not steps.filter("not path").isEmpty():
+        # each round is written: united with a join of itself, the plan would double
+        jumps = steps.filter("not path").select("tree", F.col("source").alias("at"), F.col("at").alias("next"))
+        further = steps.join(jumps, ["tree", "at"]).select("tree", "source", F.col("next").alias("at"), (F.col("up") + reach).alias("up"), "path")
+        steps = settle(steps.filter("path").unionByName(further), "chat-steps", steps)
+        reach *= 2
+    return steps.filter("path").select("tree", F.col("source").alias("leaf"), F.col("at").alias("node"), "up")
 
 
 def reply_paths(nodes: DataFrame) -> DataFrame:
@@ -64,19 +70,10 @@ def reply_paths(nodes: DataFrame) -> DataFrame:
     one = F.min(F.struct(F.col("parent_id").alias("parent"), text_or_empty(F.col("role")).alias("role"), text_or_empty(F.col("text")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))).alias("x")
     nodes = nodes.filter(F.col("node_id").isNotNull()).groupBy(F.struct("tree_id").alias("tree"), F.col("node_id").alias("node")).agg(one).select("tree", "node", "x.*")
     nodes = settle(nodes, "chat-nodes")
-    ups = _pointers(nodes)
-    paths = nodes.select("tree", "node").join(nodes.select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
-    paths = settle(paths.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up")), "chat-paths")
-    for k in reversed(range(len(ups))):
-        # each round is written: united with a join of itself, the plan would double
-        higher = paths.join(ups[k].withColumnRenamed("up", "next"), ["tree", "node"])
-        paths = settle(paths.unionByName(higher.select("tree", "leaf", F.col("next").alias("node"), (F.col("up") + 2**k).alias("up"))), "chat-paths")
-    whole = Window.partitionBy("tree", "leaf")
-    rows = paths.join(nodes, ["tree", "node"]).withColumn("last", F.max("up").over(whole))
-    rows = rows.withColumn("pos", F.col("last") - F.col("up"))
-    known = nodes.select("tree", F.col("node").alias("parent")).withColumn("known", F.lit(True))
-    cyclic = rows.filter("pos = 0").join(known, ["tree", "parent"]).select("tree", "leaf") if ups else None
-    rows = rows.join(cyclic, ["tree", "leaf"], "left_anti") if cyclic is not None else rows
+    n = nodes.count()
+    rows = _ancestors(nodes, n).join(nodes, ["tree", "node"]).withColumn("last", F.max("up").over(Window.partitionBy("tree", "leaf")))
+    # a path has n nodes at most; more are on a cycle
+    rows = rows.filter(F.col("last") < n).withColumn("pos", F.col("last") - F.col("up"))
     return rows.select("tree", "leaf", "pos", "role", "text", "score")
 
 

@@ -57,6 +57,17 @@ def test_deep_conversation(spark, depth):
     assert out[1]["n_turns"] == depth and out[2]["n_turns"] == 1 and out[1]["loss_chars"] == 0
 
 
+def test_paths_take_one_join_a_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(chat, "settle", lambda df, name, *done, settle=chat.settle: written.append(name) or settle(df, name, *done))
+    rows = [(t, i, i - 1, "user", str(i), 0.0) for t in (1, 2) for i in range(33)] + [(2, 40, 20, "user", "b", 0.0), (3, 1, 2, "user", "", 0.0), (3, 2, 1, "user", "", 0.0), (3, 3, 2, "user", "", 0.0)]
+    paths = chat.reply_paths(spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, role string, text string, score double"))
+    got = Counter((r["tree"]["tree_id"], r["leaf"]) for r in paths.collect())
+    assert got == {(1, 32): 33, (2, 32): 33, (2, 40): 22}
+    assert [r["text"] for r in paths.filter("leaf = 40").orderBy("pos").collect()] == [*map(str, range(21)), "b"]
+    assert len(written) <= 9  # the nodes, the first steps, and 7 rounds for 70 nodes with a cycle
+
+
 def test_named_trees(spark):
     """Ids need not be numbers, and the digests keep them."""
     rows = [("t", 1, None, "user", "hi", 0.0), ("t", 2, 1, "assistant", "a", 1.0), (None, 1, None, "user", None, None)]
