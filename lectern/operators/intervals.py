@@ -17,10 +17,12 @@ def flag_runs(frames: DataFrame, least: int) -> DataFrame:
 def expand_runs(frames: DataFrame, least: int) -> DataFrame:
     """flag_runs() grown over adjacent support frames, then merged where they overlap or touch."""
     w = Window.partitionBy("clip").orderBy("frame_no")
+    back = Window.partitionBy("clip").orderBy(F.desc("frame_no"))
     stop = F.when(~F.col("support"), F.col("frame_no"))
     f = frames.withColumns({
         "left": F.coalesce(F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(0)),
-        "right": F.coalesce(F.min(stop).over(w.rowsBetween(1, Window.unboundedFollowing)), F.count(F.lit(1)).over(Window.partitionBy("clip"))),
+        # backwards, as a frame that ends with its clip is read anew for each row
+        "right": F.coalesce(F.min(stop).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.count(F.lit(1)).over(Window.partitionBy("clip"))),
         "island": F.col("frame_no") - F.sum(F.col("flag").cast("int")).over(w),
     })
     runs = f.filter("flag").groupBy("clip", "island").agg(F.count(F.lit(1)).alias("n"), F.min_by("left", "frame_no").alias("start"), F.max_by("right", "frame_no").alias("end"))

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import let
 from lectern.operators import intervals, speech, vectors
 
 FLOOR = 1e-12
@@ -100,8 +101,8 @@ def edge_silence(pieces: DataFrame, size: int, rate: int, limits: Limits) -> Dat
 
 
 def _median(values: Column) -> Column:
-    v, n = F.sort_array(values), F.size(values)
-    return (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+    middle = lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2
+    return let(F.sort_array(values), middle)
 
 
 def _deviation(values: Column, middle: Column) -> Column:
@@ -109,19 +110,24 @@ def _deviation(values: Column, middle: Column) -> Column:
 
 
 def rolling_tone(frames: DataFrame, limits: Limits) -> DataFrame:
-    """Frames (clip, frame_no) that belong to a sustained tone: members, within limits, of an accepted window of frames."""
+    """Frames (clip, frame_no) that belong to a sustained tone: members, within limits, of an accepted window of frames.
+
+    A window's medians are values of their own within the condition; as columns they would be sorted anew for each member.
+    """
     n = limits.tone_frames
     w = Window.partitionBy("clip").orderBy("frame_no").rowsBetween(0, n - 1)
     member = F.struct("frame_no", "rms_dbfs", F.col("dominant_bin").cast("double").alias("bin"), "centroid", "flatness")
+    own = F.named_struct(F.lit("tone"), _median(F.col("m.bin")), F.lit("middle"), _median(F.col("m.centroid")))
+
+    def sustained(t: Column) -> Column:
+        ok = (t["tone"] >= limits.tone_bin) & (_deviation(F.col("m.bin"), t["tone"]) <= limits.tone_mad)
+        return ok & (_deviation(F.col("m.centroid"), t["middle"]) <= limits.centroid_mad) & (_deviation(F.col("m.centroid"), t["tone"]) <= limits.centroid_off)
+
+    level = (F.array_min("m.rms_dbfs") >= limits.tone_level) & (F.array_max("m.rms_dbfs") - F.array_min("m.rms_dbfs") <= limits.tone_range)
     f = frames.select("clip", F.collect_list(member).over(w).alias("m")).filter(F.size("m") == n)
-    f = f.withColumns({"tone": _median(F.col("m.bin")), "middle": _median(F.col("m.centroid"))})
-    ok = (F.array_min("m.rms_dbfs") >= limits.tone_level) & (F.array_max("m.rms_dbfs") - F.array_min("m.rms_dbfs") <= limits.tone_range)
-    ok &= (F.col("tone") >= limits.tone_bin) & (_deviation(F.col("m.bin"), F.col("tone")) <= limits.tone_mad)
-    ok &= (_deviation(F.col("m.centroid"), F.col("middle")) <= limits.centroid_mad) & (_median(F.transform("m.centroid", lambda x: F.abs(x - F.col("tone")))) <= limits.centroid_off)
-    ok &= _median(F.col("m.flatness")) <= limits.tone_flatness
-    m = f.filter(ok).select("clip", "tone", "middle", F.explode("m").alias("x"))
-    near = (F.abs(F.col("x.bin") - F.col("tone")) <= 2 * limits.tone_mad) & (F.abs(F.col("x.centroid") - F.col("middle")) <= 2 * limits.centroid_mad)
-    return m.filter(near).select("clip", "x.frame_no").distinct()
+    f = f.filter(level & (_median(F.col("m.flatness")) <= limits.tone_flatness) & let(own, sustained))
+    near = lambda t: F.filter("m", lambda x: (F.abs(x["bin"] - t["tone"]) <= 2 * limits.tone_mad) & (F.abs(x["centroid"] - t["middle"]) <= 2 * limits.centroid_mad))
+    return f.select("clip", F.explode(let(own, near)).alias("x")).select("clip", "x.frame_no").distinct()
 
 
 def issues(frames: DataFrame, pieces: DataFrame, size: int, rate: int, limits: Limits, include_vad: bool = False, loader: Callable[[], speech.Detector] = speech.EnergyDetector) -> DataFrame:

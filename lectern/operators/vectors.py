@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -96,8 +98,8 @@ def mean_norm(vectors: DataFrame) -> DataFrame:
 def frame_levels(frames: DataFrame) -> DataFrame:
     """Level in dBFS with the mean removed, and the share of sign changes, of each frame (vec_id, samples)."""
     n = F.size("samples")
-    f = frames.withColumn("mean", F.aggregate("samples", F.lit(0.0), lambda s, x: s + x) / n)
-    f = f.withColumn("c", F.transform("samples", lambda x: x - F.col("mean")))
+    # the planner would put a column of the mean into the function, which then sums all samples for each of them
+    f = frames.withColumn("c", let(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x) / n, lambda mean: F.transform("samples", lambda x: x - mean)))
     signs = F.zip_with(F.slice("c", 1, n - 1), F.slice("c", 2, n - 1), lambda a, b: F.when((a < 0) != (b < 0), 1).otherwise(0))
     rms = F.sqrt(dot(F.col("c"), F.col("c")) / n)
     return f.select("vec_id", F.round(20 * F.log10(rms + 1e-12), 4).alias("rms_dbfs"), F.round(F.aggregate(signs, F.lit(0), lambda s, x: s + x) / (n - 1), 6).alias("zcr"))
